@@ -127,3 +127,126 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 2, bucket: in
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicates at a chosen similarity ----------------------------------------------------
+
+BITS = 1024
+#: Coordinates of which the strongest makes a code of a block.
+GROUP = 64
+ROTATIONS = 5
+#: Smallest shingle hashes that a document carries along for verification.
+BOTTOM = 64
+
+
+def _hadamard(rows: np.ndarray) -> np.ndarray:
+    n, d = rows.shape
+    h = 1
+    while h < d:
+        pair = rows.reshape(n, d // (2 * h), 2, h)
+        rows = np.stack((pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]), axis=2).reshape(n, d)
+        h *= 2
+    return rows
+
+
+def _signs() -> np.ndarray:
+    return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.float32), size=(ROTATIONS + 1, 3, BITS))
+
+
+def wide_fingerprints(sketches: np.ndarray, codes_per_block: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-byte fingerprints and the block keys (64-bit) of count sketches."""
+    signs = _signs()
+    turned = []
+    for r in range(ROTATIONS + 1):
+        x = sketches
+        for s in signs[r]:
+            x = _hadamard(x * s) / np.float32(32)
+        turned.append(x)
+    prints = np.packbits(turned[0] > 0, axis=1)
+    grouped = np.concatenate(turned[1:], axis=1).reshape(len(sketches), -1, GROUP)
+    at = np.abs(grouped).argmax(axis=2)
+    codes = (2 * at + (np.take_along_axis(grouped, at[:, :, None], axis=2)[:, :, 0] > 0)).astype(np.uint64)
+    tables = codes.shape[1] // codes_per_block
+    codes = codes[:, : tables * codes_per_block].reshape(len(sketches), tables, codes_per_block)
+    keys = np.tile(np.arange(tables, dtype=np.uint64), (len(sketches), 1))
+    for c in range(codes_per_block):
+        keys = keys * np.uint64(2 * GROUP) + codes[:, :, c]
+    return prints, keys
+
+
+def _marks(words: int, codes_per_block: int):
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                sketches = np.zeros((len(part), BITS), dtype=np.float32)
+                bottoms, shapes = [], []
+                for i, text in enumerate(part["text"]):
+                    h = np.unique(shingle_hashes(text, words))
+                    sketches[i] = np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), weights=((h >> np.uint64(20)) & np.uint64(1)) * 2.0 - 1.0, minlength=BITS)
+                    bottoms.append(h[:BOTTOM].astype(np.int64))
+                    seq = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+                    shapes.append(xxhash.xxh128_digest(seq))
+                prints, keys = wide_fingerprints(sketches, codes_per_block)
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "text_key": part["text_key"].to_numpy(), "shape": shapes, "fp": [p.tobytes() for p in prints], "keys": list(keys.astype(np.int64)), "bottom": bottoms})
+
+    return mark
+
+
+def hamming_limit(similarity: float) -> int:
+    """Bits that documents of this Jaccard similarity differ in, on average, and one standard deviation more."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(BITS * share + (BITS * share * (1 - share)) ** 0.5)
+
+
+def codes_for(n: int) -> int:
+    """Codes (of 7 bits) in a block: enough that chance meetings are few among n documents."""
+    return max(3, -(-(max(2, n).bit_length() + 2) // 7))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text) and keep (boolean) of rows; one document of each group is kept.
+
+    Documents of equal word sequences are one node.  A node's block key joins it with the smallest
+    node of its bucket; the pair is verified by the Hamming distance of their 1024-bit fingerprints and by
+    the overlap of their smallest shingle hashes, which is exact for documents of few shingles.  Blocks take
+    the sign and place of the strongest of 64 rotated coordinates, which small edits seldom change, three codes to a
+    block and 26 blocks (more codes as documents grow in number).  Of a group the row of smallest
+    doc_id stays (then smallest text_key); null ids come last.  Documents without words are one group.
+    """
+    rows = texts(docs).withColumn("text_key", F.xxhash64("text"))
+    per_block = codes_for(rows.count())
+    marked = written(rows.mapInPandas(_marks(words, per_block), "doc_id long, text_key long, shape binary, fp binary, keys array<long>, bottom array<long>"), "marks")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    shapes = marked.groupBy("shape").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bottom").alias("bottom"))
+    nodes = written(shapes.withColumn("node", F.xxhash64("shape")), "nodes")
+    blocks = nodes.select("node", F.explode("keys").alias("key"))
+    heads = blocks.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    met = blocks.join(heads, "key").where("node <> head").select("node", "head").distinct()
+    sides = nodes.select("node", "fp", "bottom")
+    pairs = met.join(sides, "node").join(sides.select(F.col("node").alias("head"), F.col("fp").alias("fp2"), F.col("bottom").alias("bottom2")), "head")
+    near = pairs.where(_verified(hamming_limit(similarity), similarity)("fp", "fp2", "bottom", "bottom2")).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    names = connected_components(near)
+    grouped = nodes.select("node", "shape", "place").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = grouped.groupBy("component").agg(F.min("place").alias("best"))
+    chosen = grouped.join(best, "component").select("shape", "best")
+    return marked.join(chosen, "shape").select("doc_id", "text_key", place.eqNullSafe(F.col("best")).alias("keep"))
+
+
+def _verified(limit: int, similarity: float):
+    @F.pandas_udf("boolean")
+    def verified(a: pd.Series, b: pd.Series, low_a: pd.Series, low_b: pd.Series) -> pd.Series:
+        out = []
+        for x, y, u, v in zip(a, b, low_a, low_b, strict=True):
+            both = np.union1d(u, v)
+            whole = len(u) < BOTTOM and len(v) < BOTTOM
+            both = both if whole else both[:BOTTOM]
+            shared = np.isin(both, u, assume_unique=True) & np.isin(both, v, assume_unique=True)
+            overlap = shared.mean() if len(both) else 1.0
+            apart = int(np.bitwise_count(np.frombuffer(x, dtype=np.uint8) ^ np.frombuffer(y, dtype=np.uint8)).sum())
+            out.append(bool(overlap >= similarity) if whole else apart <= limit and bool(overlap >= similarity - 0.15))
+        return pd.Series(out, dtype=bool)
+
+    return verified

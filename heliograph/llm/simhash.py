@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import table, texts, written
 from .components import connected_components
 
 SEED = 42
@@ -139,31 +139,22 @@ ROTATIONS = 5
 BOTTOM = 64
 
 
-def _hadamard(rows: np.ndarray) -> np.ndarray:
-    n, d = rows.shape
-    h = 1
-    while h < d:
-        pair = rows.reshape(n, d // (2 * h), 2, h)
-        rows = np.stack((pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]), axis=2).reshape(n, d)
-        h *= 2
-    return rows
+def _turns() -> np.ndarray:
+    """Fixed random rotations (Gaussian, so that coordinates of any sketch are spread alike)."""
+    global _turned
+    if _turned is None:
+        _turned = np.random.default_rng(SEED).standard_normal((BITS, (ROTATIONS + 1) * BITS), dtype=np.float32)
+    return _turned
 
 
-def _signs() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.float32), size=(ROTATIONS + 1, 3, BITS))
+_turned: np.ndarray | None = None
 
 
 def wide_fingerprints(sketches: np.ndarray, codes_per_block: int) -> tuple[np.ndarray, np.ndarray]:
     """128-byte fingerprints and the block keys (64-bit) of count sketches."""
-    signs = _signs()
-    turned = []
-    for r in range(ROTATIONS + 1):
-        x = sketches
-        for s in signs[r]:
-            x = _hadamard(x * s) / np.float32(32)
-        turned.append(x)
-    prints = np.packbits(turned[0] > 0, axis=1)
-    grouped = np.concatenate(turned[1:], axis=1).reshape(len(sketches), -1, GROUP)
+    turned = sketches @ _turns()
+    prints = np.packbits(turned[:, :BITS] > 0, axis=1)
+    grouped = turned[:, BITS:].reshape(len(sketches), -1, GROUP)
     at = np.abs(grouped).argmax(axis=2)
     codes = (2 * at + (np.take_along_axis(grouped, at[:, :, None], axis=2)[:, :, 0] > 0)).astype(np.uint64)
     tables = codes.shape[1] // codes_per_block

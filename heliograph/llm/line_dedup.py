@@ -117,18 +117,17 @@ def _without(text: str, gone: np.ndarray | None) -> tuple[str, int, int, int, in
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The input rows with ``__kept`` (text without repeated chunks) and ``__lines`` (counts).
+    """row (a struct of the input's columns), kept (text without repeated chunks) and lines (counts).
 
-    A null text is empty and stays null in its own column.  Rows equal in doc_id and text are one document and get the
+    A null text is empty and stays null in its row.  Rows equal in doc_id and text are one document and get the
     same result.  A null doc_id counts as larger than any other; chunks that only such rows hold stay.
     """
-    keyed = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("__key", F.xxhash64("__text")).withColumn("__id", F.col("doc_id").cast("long"))
-    gone = removals(keyed.select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"), F.col("__text").alias("text"))).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__own"), F.col("removed").alias("__removed"))
-    rows = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__own")), "left")
-    rows = rows.withColumn("__lines", without(F.col("__text"), F.col("__removed"))).withColumn("__kept", F.col("__lines.kept"))
-    return rows.drop("__text", "__key", "__id", "__doc", "__own", "__removed")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")).withColumn("key", F.xxhash64("body"))
+    gone = removals(keyed.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("body").alias("text")))
+    rows = keyed.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    return rows.select("row", without(F.col("body"), F.col("removed")).alias("lines")).select("row", F.col("lines.kept").alias("kept"), "lines")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(texts(table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "__lines.n_chunks", "__lines.n_removed", "__lines.words_removed", "__lines.lines_removed", F.length("__kept").cast("long").alias("kept_chars"), F.sha2(F.encode("__kept", "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "lines.n_chunks", "lines.n_removed", "lines.words_removed", "lines.lines_removed", F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))

@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
 
 
 def score_documents(docs: DataFrame, model: SentenceModel, locate: bool = False) -> DataFrame:
-    """The input rows with ``__score`` and, if asked for, ``__offending`` (array of start, end, score)."""
+    """row (a struct of the input's columns), score and, if asked for, offending (array of start, end, score)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     kind = "score double, offending array<struct<start:long,end:long,score:double>>"
 
@@ -169,9 +169,7 @@ def score_documents(docs: DataFrame, model: SentenceModel, locate: bool = False)
             spots = [own.offending(t or "") if locate else [] for t in batch]
             yield pd.DataFrame({"score": pd.Series(got, dtype=float), "offending": pd.Series(spots, dtype=object)})
 
-    rows = docs.withColumn("__toxicity", scored(F.col("text").cast("string")))
-    rows = rows.withColumn("__score", F.col("__toxicity.score"))
-    return (rows.withColumn("__offending", F.col("__toxicity.offending")) if locate else rows).drop("__toxicity")
+    return docs.select(F.struct("*").alias("row"), scored(F.col("text").cast("string")).alias("toxicity")).select("row", "toxicity.score", "toxicity.offending")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
@@ -181,7 +179,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN
     Without labels of both kinds every text gets the share of toxic labels.
     """
     rows = score_documents(texts(docs), fit(docs, labels, max_train_docs), locate=True)
-    return rows.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), F.col("__offending").alias("offending"))
+    return rows.select("row.doc_id", (crc_fold(F.col("row.doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,8 @@ def tally(sample: DataFrame, max_features: int = MAX_FEATURES) -> tuple[dict[str
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 seen[toxic].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
             for toxic, counts in seen.items():
+                if not counts:
+                    continue
                 yield pd.DataFrame({"feature": list(counts), "pos": [n * toxic for n in counts.values()], "neg": [n * (1 - toxic) for n in counts.values()]})
 
     there = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}

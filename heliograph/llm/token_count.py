@@ -26,7 +26,7 @@ from .common import table, texts
 
 SPACE = "▁"
 #: Segments remembered in a worker before it starts afresh.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 
 
 def read_pieces(path: str) -> tuple[list[tuple[str, float]], float]:

@@ -29,7 +29,7 @@ MAX_TRAIN_DOCS = 12_000
 MAX_FEATURES = 4_000
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
-REMEMBER = 1_000_000
+REMEMBER = 200_000
 
 
 def features(word: str) -> list[str]:
@@ -47,7 +47,13 @@ class SentenceModel:
     weights: dict[str, float]
     known: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        #: Every feature of a word starts as the word does, so other openings weigh nothing.
+        self.openings = {f.lstrip("^")[:3] for f in self.weights}
+
     def word(self, word: str) -> float:
+        if word[:3] not in self.openings:
+            return 0.0
         got = self.known.get(word)
         if got is None:
             if len(self.known) > REMEMBER:
@@ -56,25 +62,36 @@ class SentenceModel:
         return got
 
     def sentence_logits(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
-        spans = sentences(text)
-        low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        spans, low = sentences(text), lowered(text)
         return spans, np.array([self.bias + sum(map(self.word, WORD.findall(low, a, b))) for a, b in spans])
 
-    def score(self, text: str) -> float:
-        """Noisy-or over the sentences; an empty text scores as one sentence without words."""
-        low = text.lower()
-        got = list(map(self.word, WORD.findall(low)))
-        if any(got):
-            _, z = self.sentence_logits(text)
+    def judge(self, text: str, threshold: float = 0.5) -> tuple[float, list[dict]]:
+        """The document's score, and the sentences at or over the threshold.
+
+        A text without words scores as one sentence without words.
+        """
+        low, openings = lowered(text), self.openings
+        if any(self.word(w) for w in WORD.findall(low) if w[:3] in openings):
+            spans, z = self.sentence_logits(text)
         else:  # no word weighs anything: only the number of sentences counts
-            z = np.full(sum(1 for s in re.split(r"[.!?\n]+", low) if s.strip()), self.bias)
+            pieces = low.replace("!", ".").replace("?", ".").replace("\n", ".").split(".")
+            spans, z = [], np.full(sum(1 for p in pieces if WORD.search(p)), self.bias)
         z = z if len(z) else np.array([self.bias])
-        return float(-np.expm1(-np.logaddexp(0.0, z).sum()))
+        cut = math.log(threshold / (1 - threshold))
+        found = [{"start": a, "end": b, "score": float(1 / (1 + math.exp(-x)))} for (a, b), x in zip(spans, z, strict=False) if x >= cut]
+        return float(-np.expm1(-np.logaddexp(0.0, z).sum())), found
+
+    def score(self, text: str) -> float:
+        return self.judge(text)[0]
 
     def offending(self, text: str, threshold: float = 0.5) -> list[dict]:
-        spans, z = self.sentence_logits(text)
-        cut = math.log(threshold / (1 - threshold))
-        return [{"start": a, "end": b, "score": float(1 / (1 + math.exp(-x)))} for (a, b), x in zip(spans, z, strict=True) if x >= cut]
+        return self.judge(text, threshold)[1]
+
+
+def lowered(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def tally(sample: DataFrame, max_features: int = MAX_FEATURES) -> tuple[dict[str, int], int, int]:
@@ -167,9 +184,8 @@ def score_documents(docs: DataFrame, model: SentenceModel, locate: bool = False)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = SentenceModel(*shared.value)
         for batch in batches:
-            got = [own.score(t or "") for t in batch]
-            spots = [own.offending(t or "") if locate else [] for t in batch]
-            yield pd.DataFrame({"score": pd.Series(got, dtype=float), "offending": pd.Series(spots, dtype=object)})
+            got = [own.judge(t or "") for t in batch]
+            yield pd.DataFrame({"score": pd.Series([g[0] for g in got], dtype=float), "offending": pd.Series([g[1] if locate else [] for g in got], dtype=object)})
 
     return docs.select(F.struct("*").alias("row"), scored(F.col("text").cast("string")).alias("toxicity")).select("row", "toxicity.score", "toxicity.offending")
 

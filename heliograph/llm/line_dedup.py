@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import small_batches, table, texts
 
 #: A line of so many words is a passage by itself.
 LONG = 30
@@ -122,6 +122,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A null text is empty and stays null in its row.  Rows equal in doc_id and text are one document and get the
     same result.  A null doc_id counts as larger than any other; chunks that only such rows hold stay.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")).withColumn("key", F.xxhash64("body"))
     gone = removals(keyed.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("body").alias("text")))
     rows = keyed.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")

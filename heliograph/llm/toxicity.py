@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table, texts, written
+from .common import crc_fold, small_batches, table, texts, written
 
 #: Labelled rows that the classifier is fitted on, at most (those of smallest hash).
 MAX_TRAIN_DOCS = 12_000
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
 
 def score_documents(docs: DataFrame, model: SentenceModel, locate: bool = False) -> DataFrame:
     """row (a struct of the input's columns), score and, if asked for, offending (array of start, end, score)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     kind = "score double, offending array<struct<start:long,end:long,score:double>>"
 

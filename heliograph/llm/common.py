@@ -20,7 +20,7 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 def small_batches(spark: SparkSession) -> None:
     """Hold the session's Arrow batches to BATCH_ROWS and BATCH_BYTES unless they are smaller already."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(spark.conf.get(key, "0"))
+        now = spark.conf.get(key)
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 

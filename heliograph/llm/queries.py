@@ -6,6 +6,7 @@ from .binary_output import op4_training_order
 from .chat_format import op3_chat_format
 from .decontamination import op9_decontamination
 from .line_dedup import op10_line_dedup
+from .oracle import ORACLE_SQL
 from .packing import op5_packing
 from .pii import op7_pii
 from .quality import op8_ablation, op8_quality
@@ -27,4 +28,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -65,10 +65,10 @@ def _frame(rows: list) -> pd.DataFrame:
 def numbered(seqs: DataFrame) -> tuple[DataFrame, int]:
     """The sequences, written, with a dense ``number``, and how many there are."""
     kept = written(seqs.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "sequences")
-    counts = kept.groupBy("part").agg(F.count("*").alias("n"))  # a row for each written partition
+    counts = kept.groupBy("part").agg(F.count("*").alias("n"))  # a row for each written partition: some bytes a file
     first = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     total = counts.agg(F.sum("n")).head()[0] or 0
-    return kept.join(first, "part").withColumn("number", F.col("first") + F.col("pos")).drop("first", "part", "pos"), total
+    return kept.join(F.broadcast(first), "part").withColumn("number", F.col("first") + F.col("pos")).drop("first", "part", "pos"), total
 
 
 def feistel_slot(number: Column, total: int, key: str) -> Column:

@@ -27,7 +27,7 @@ measured as (
   from docs d left join per_word using (row) left join lines using (row) left join covered using (row)),
 ledger as (
   select *, cast(case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end + case when 10 * n_symbols > n_words and n_words > 0 then 4 else 0 end
-    + case when n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines then 8 else 0 end + case when n_letters > 0 and 2 * n_upper > n_letters then 16 else 0 end + case when 10 * n_bangs > 3 * n_words and n_words > 0 then 32 else 0 end
+    + case when n_lines >= 4 and 2 * n_dup_lines > n_lines then 8 else 0 end + case when n_letters > 0 and 2 * n_upper > n_letters then 16 else 0 end + case when 10 * n_bangs > 3 * n_words and n_words > 0 then 32 else 0 end
     + case when word_chars < 2 * n_words or word_chars > 14 * n_words then 64 else 0 end + case when n_words >= 50 and 20 * n_distinct < n_words and n_words < 1000 then 128 else 0 end as bigint) as fail_bits from measured)
 """
 

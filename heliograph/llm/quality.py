@@ -25,7 +25,7 @@ RULES = (
     ("too_short", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words and n_words > 0"),
-    ("duplicate_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     ("upper_case", "n_letters > 0 and 2 * n_upper > n_letters"),
     ("exclamation", "10 * n_bangs > 3 * n_words and n_words > 0"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),

@@ -4,7 +4,7 @@ A document is a bag of sentences.  Sentence s has probability p(s) = sigmoid(bia
 words' weights); the document's score is the noisy-or 1 - prod(1 - p(s)).  Only document labels
 train it, and the trained sentence scores then locate the offending sentences.
 
-A word's weight is the sum over its features: the whole word and its prefixes of 3 to 6 letters,
+A word's weight is the sum over its features: the whole word and its prefixes of 3 to 8 letters,
 so that inflected forms of a stem share what is learnt.
 """
 
@@ -26,14 +26,16 @@ from .common import crc_fold, small_batches, table, texts, written
 #: Labelled rows that the classifier is fitted on, at most (those of smallest hash).
 MAX_TRAIN_DOCS = 12_000
 #: Features kept from the training rows, at most.
-MAX_FEATURES = 4_000
+MAX_FEATURES = 400
+#: Share of the toxic training rows that a feature stands in at least (and 3 rows), and its least log odds.
+LEAST_SHARE, LEAST_ODDS = 0.015, 1.5
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
 REMEMBER = 200_000
 
 
 def features(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in range(3, 7) if len(word) >= n)]
+    return [word, *("^" + word[:n] for n in range(3, 9) if len(word) >= n)]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -111,7 +113,7 @@ def tally(sample: DataFrame, max_features: int = MAX_FEATURES) -> tuple[dict[str
     pos, neg = there.get(1, 0), there.get(0, 0)
     odds = F.log((F.col("pos") + 0.3) / (pos + 0.6)) - F.log((F.col("neg") + 0.3) / (neg + 0.6))
     counts = sample.select("text", "toxic").mapInPandas(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = counts.where("pos >= 2").withColumn("odds", odds).where("odds > 1").orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "feature").limit(max_features)
+    best = counts.where(F.col("pos") >= max(3, math.ceil(LEAST_SHARE * pos))).withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "feature").limit(max_features)
     return {r.feature: i for i, r in enumerate(best.select("feature").collect())}, pos, neg
 
 
@@ -133,8 +135,11 @@ def encode(sample: DataFrame, chosen: dict[str, int]) -> list:
     return sample.mapInPandas(bags, "doc_id long, toxic int, n int, sentence array<int>, feature array<int>").collect()
 
 
-def train(rows: list, chosen: dict[str, int], rounds: int = 250, ridge: float = 2e-5) -> SentenceModel:
+def train(rows: list, chosen: dict[str, int], rounds: int = 250, ridge: float = 1e-4) -> SentenceModel:
     """Gradient ascent on the noisy-or likelihood; weights stay at or above 0."""
+    if not chosen:
+        share = sum(r.toxic for r in rows) / len(rows)
+        return SentenceModel(math.log(share / (1 - share)), {})
     rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.n))
     sizes = np.array([r.n for r in rows], dtype=np.int64)
     first = np.cumsum(sizes) - sizes

@@ -8,6 +8,7 @@ from ..functions import intervals as iv
 from ..functions import quality as q
 from ..functions import vectors as v
 from ..operators import clusters
+from ..operators.scores import best_similarities
 from .base import query, table
 
 # Faces: a line item's numbers scaled to pixels, degrees and probabilities.
@@ -187,8 +188,8 @@ def scene_tag_scores(spark, sf_dir):
     tags = tag_vectors(spark, sf_dir)
     names = tags.select(F.col("label").alias("tag_id"), F.col("tag").alias("t"))
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("scene"), "embedding")
-    frames = e.crossJoin(F.broadcast(names)).groupBy("scene", "tag_id").agg(F.max(v.cosine(F.col("embedding"), F.col("t"))).alias("f"))  # a tag for each label: a fixed few
-    scene = tags.select(F.col("label").alias("scene"), F.col("tag").alias("s")).crossJoin(F.broadcast(names)).select("scene", "tag_id", v.cosine(F.col("s"), F.col("t")).alias("c"))
+    frames = best_similarities(e, names, ["scene"]).withColumnRenamed("best", "f")
+    scene = best_similarities(tags.select(F.col("label").alias("scene"), F.col("tag").alias("embedding")), names, ["scene"]).withColumnRenamed("best", "c")
     return scene.join(frames, ["scene", "tag_id"]).select("scene", "tag_id", F.round(v.scene_tag_score(F.col("c"), F.col("f"), 0.4, 2.0), 6).alias("score"))
 
 
@@ -196,7 +197,7 @@ def scene_tag_scores(spark, sf_dir):
 select vec_id, arg_max(tag_id, struct_pack(s := round({COS.format(a='v', b='t')}, 9), o := -tag_id)) as nearest from e cross join tags group by vec_id""")
 def nearest_label(spark, sf_dir):
     names = tag_vectors(spark, sf_dir).select(F.col("label").alias("tag_id"), F.col("tag").alias("t"))
-    both = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(names)).withColumn("s", F.round(v.cosine(F.col("embedding"), F.col("t")), 9))
+    both = best_similarities(table(spark, sf_dir, "embeddings"), names, ["vec_id"]).withColumn("s", F.round("best", 9))
     return both.groupBy("vec_id").agg(F.max_by("tag_id", F.struct("s", -F.col("tag_id"))).alias("nearest"))
 
 

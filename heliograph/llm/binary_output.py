@@ -136,6 +136,12 @@ def read_slots(shard_rows: DataFrame, length: int = 2048) -> DataFrame:
     return shard_rows.mapInPandas(read, "shard long, slot long, byte_offset long, n_ids long, ids_crc32 long")
 
 
+def read_range(shard_rows: DataFrame, first: int, end: int, length: int = 2048) -> DataFrame:
+    """Slots first to end - 1, in order within a shard: what a reader that stopped at first goes on with. Other shards aren't read."""
+    near = shard_rows.where((F.col("first_slot") < end) & (F.col("first_slot") + F.col("n_slots") > first))
+    return read_slots(near, length).where(F.col("slot").between(first, end - 1))
+
+
 def materialise(docs: DataFrame, vocabulary: str, key: str = "epoch-0", length: int = 2048, per_shard: int = 512) -> tuple[DataFrame, DataFrame]:
     """The ledger (doc_id, seq_no, n_ids, slot of each sequence) and the written shards."""
     rows, total = numbered(sequences(docs, vocabulary, length))

@@ -83,6 +83,7 @@ def test_training_order_round_trip(spark, documents, bpe):
             assert not any(one[4 + 2 * n :])
     for r in documents.collect():
         assert [x for k in sorted(found[r.doc_id]) for x in found[r.doc_id][k]] == bpe(r.text or "") + [1]
+    assert sorted(r.slot for r in binary_output.read_range(shards, 13, 40, 100).collect()) == list(range(13, 40))
     order = [slots[s] for s in sorted(slots)]
     assert order != sorted(order)
 

@@ -22,7 +22,9 @@ def interval_times(duration: Column, step: Column) -> Column:
     Times are the running sum of steps, not multiples: the sum's drift may give one more time.
     """
     most = F.greatest(F.ceil(duration / step), F.lit(0)).cast("int") + 1
-    summed = F.aggregate(F.sequence(F.lit(1), most), F.array(F.lit(0.0)), lambda acc, _: F.concat(acc, F.array(F.element_at(acc, -1) + step)))
+    folded = F.aggregate(F.sequence(F.lit(1), most), F.array(F.lit(0.0)), lambda acc, _: F.concat(acc, F.array(F.element_at(acc, -1) + step)))
+    even = F.transform(F.sequence(F.lit(0), most), lambda i: i * step)
+    summed = F.when(step * 1024 == F.floor(step * 1024), even).otherwise(folded)  # sums of such steps are exact, so multiples are the same
     below = F.filter(summed, lambda t: t < duration)
     return F.transform(below, lambda t: F.least(t, duration - 0.1))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 OPENING_MEDIUM = r"(?i)^((?:A|The|This|In\s+this)\s+)(?:photograph|image|photo|picture)\b"
 FIRST_MEDIUM = r"(?is)^(.*?)\b(?:photograph|image|photo(?!graphy)|picture)\b"
 CAPTION_OPENING = r"(?i)^(A|This|The) (photograph|image|picture|photo)\b"
-NOISE_SENTENCES = (r"(?i)[^.]*watermark[^.]*\.", r"(?i)[^.]*compression artifacts?[^.]*\.", r"(?i)[^.]*resolution[^.]*\.")
+NOISE = ("watermark", "compression artifact", "resolution")
 REFUSALS = (
     r"(?i)can'?t\s+creat[a-z]+\s+explicit\s+content",
     r"(?i)cannot\s+creat[a-z]+\s+explicit\s+content",
@@ -38,9 +38,11 @@ def fix_caption(caption: Column, frame_index: Column) -> Column:
 def clean_caption(caption: Column) -> Column:
     """Without sentences on watermarks, compression artifacts or resolution; white space runs become one space."""
     text = F.regexp_replace(caption, CAPTION_OPENING, "The frame")
-    for pattern in NOISE_SENTENCES:
-        text = F.regexp_replace(text, pattern, "")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    parts = F.split(text, r"\.")  # what follows the last full stop is no sentence and stays
+    noisy = lambda s: F.lower(s).contains(NOISE[0]) | F.lower(s).contains(NOISE[1]) | F.lower(s).contains(NOISE[2])
+    whole = F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda s: ~noisy(s))
+    kept = F.array_join(F.concat(whole, F.slice(parts, -1, 1)), ".")
+    return F.trim(F.regexp_replace(kept, r"\s+", " "))
 
 
 def is_refusal(text: Column, min_length: int | None = None) -> Column:

@@ -106,9 +106,9 @@ def nearest_frame(spark, sf_dir):
 
 
 @query("sample_timestamps", """
-select o_orderkey as video, i as place, round(least(i * 2.0, d - 0.1), 6) as t from (select o_orderkey, floor(o_totalprice) / 1000 as d from orders), (select unnest(range(1000)) as i) where i * 2.0 < d""")
+select o_orderkey as video, i as place, round(least(i * 2.0, d - 0.1), 6) as t from (select o_orderkey, floor(o_totalprice) / 10000 as d from orders), (select unnest(range(1000)) as i) where i * 2.0 < d""")
 def sample_timestamps(spark, sf_dir):
-    videos = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), (F.floor("o_totalprice") / 1000).alias("d"))
+    videos = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), (F.floor("o_totalprice") / 10000).alias("d"))
     times = videos.select("video", F.posexplode(iv.interval_times(F.col("d"), F.lit(2.0))).alias("place", "t"))
     return times.select("video", F.col("place").cast("long").alias("place"), F.round("t", 6).alias("t"))
 

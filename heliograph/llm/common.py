@@ -28,6 +28,7 @@ def small_batches(spark: SparkSession) -> None:
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text only (a null text is empty): other columns can't clash with an operator's own."""
     small_batches(docs.sparkSession)
+    shared_dir(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that occurs in ``links`` (a, b).
@@ -13,6 +15,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     name roots, and goes on with the links between roots; that at least halves the nodes that
     still have links.  Every round's tables are checkpointed.
     """
+    shared_dir(links.sparkSession)
     both = links.where("a <> b").select("a", "b").distinct().checkpoint()
     names = both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("component")).checkpoint()
     while not both.isEmpty():

@@ -61,7 +61,40 @@ WORDED_PART = re.compile(rf" (?:(?P<at>{_any(AT_WORDS)})|(?P<dot>{_any(DOT_WORDS
 _word = rf"(?:{_any(sorted(DIGIT_WORDS, key=len, reverse=True))})"
 SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|más|mas)[ -]+)?(?:{_word}|[0-9]+)(?:(?:[ -]+(?:(?:{_any(DOT_WORDS)})[ -]+)?|[ ]?\.[ ]?)(?:{_word}|[0-9]+))+(?!\w)", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"(?P<plus>plus|más|mas)[ -]+|(?P<word>{_word})|(?P<digits>[0-9]+)|[ -]+(?:{_any(DOT_WORDS)})[ -]+(?P<dot>)|[ -]+(?P<gap>)|[ ]?\.[ ]?(?P<stop>)", re.IGNORECASE)
-HINTS = re.compile(rf"(?<!\w)(?:{_word})[ -]|[(\[{{<][ ]*(?:{_any(AT_WORDS + DOT_WORDS)}|[@.])[ ]*[)\]}}>]| (?:{_any(DOT_WORDS)}) ", re.IGNORECASE)
+BRACKET = re.compile(r"[(\[{<]")
+FOLDED_LATIN = [chr(c) for c in FOLD if 127 < c < 256]
+BEYOND_LATIN = frozenset(chr(c) for c in FOLD if c > 255)
+BETWEEN = frozenset((*DOT_WORDS, "plus", "más", "mas"))
+
+
+def shows_folded(text: str) -> bool:
+    """Whether a character stands for an ASCII one; texts in Latin-1 can only hold a few such."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        if not BEYOND_LATIN.isdisjoint(text):
+            return True
+    return any(c in text for c in FOLDED_LATIN)
+
+
+def shows_spelled(low: str) -> bool:
+    """Whether three digit words stand together, with digits and dots between them at most."""
+    words = low.replace("-", " ").replace(".", " ").split()
+    if sum(map(DIGIT_WORDS.__contains__, words)) < 3:
+        return False
+    run = 0
+    for w in words:
+        if w not in DIGIT_WORDS:
+            w = w.strip("()[]{}<>,;:!?\"'")
+        if w in DIGIT_WORDS:
+            run += 1
+            if run == 3:
+                return True
+        elif not (w in BETWEEN or w.lstrip("+").isdigit()):
+            run = 0
+    return False
 
 
 def luhn(digits: str) -> bool:
@@ -160,15 +193,22 @@ class Rewritten:
 
 def deobfuscate(text: str) -> Rewritten | None:
     """The text with its disguises undone; None if it shows none."""
-    folded = not text.isascii() and FOLDED.search(text)
-    if not folded and not HINTS.search(text):
-        return None
+    folded = shows_folded(text)
     out = Rewritten(text)
     if folded:
         out = out.apply([(m.start(), m.end(), FOLD[ord(m.group())]) for m in FOLDED.finditer(text)])
-    out = out.apply([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(out.text)])
-    worded = [(w.start() + p.start(), w.start() + p.end(), "@" if p["at"] else ".") for w in WORDED.finditer(out.text) for p in _joints(w.group())]
-    out = out.apply(worded)
+    low = out.text.lower()
+    bracketed = BRACKET.search(out.text) and BRACKETED.search(out.text)
+    dotted = any(f" {w} " in low for w in DOT_WORDS) and any(f" {w} " in low for w in AT_WORDS)
+    spelled_out = shows_spelled(low)
+    if not (folded or bracketed or dotted or spelled_out):
+        return None
+    if bracketed:
+        out = out.apply([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(out.text)])
+    if dotted:
+        out = out.apply([(w.start() + p.start(), w.start() + p.end(), "@" if p["at"] else ".") for w in WORDED.finditer(out.text) for p in _joints(w.group())])
+    if not spelled_out:
+        return out
     spelled = []
     for m in SPELLED.finditer(out.text):
         parts = list(SPELLED_PART.finditer(m.group()))

@@ -57,7 +57,8 @@ def nearest_start(points: DataFrame, entries: DataFrame, key: str, point_key: li
     asked = points.select(key, F.col(time).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(dict(first_of.dtypes)["entry"]).alias("entry"), *point_key)
     w = Window.partitionBy(key).orderBy("__t", "__kind")
     before = F.last("entry", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("entry", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    backward = Window.partitionBy(key).orderBy(F.desc("__t"), F.desc("__kind"))  # a running frame; one that looks ahead would be taken anew for each row
+    after = F.last("entry", ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, -1))
     laid = first_of.unionByName(asked).select("*", before.alias("__before"), after.alias("__after")).where("__kind = 1")
     b, a, t = F.col("__before"), F.col("__after"), F.col("__t")
     nearer = (a["start"] - t < t - b["start"]) | ((a["start"] - t == t - b["start"]) & (a["neg_ord"] > b["neg_ord"]))

@@ -31,14 +31,16 @@ def stride(length: int) -> int:
 
 
 def sequences(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1) -> DataFrame:
-    """doc_id, seq_no, n_ids, ids (binary, 16 bits each), part, pos of every row's sequences.
+    """doc_id, seq_no, n_ids, ids (16 bits each, compressed with zstd for the way to their shard) of every row's sequences.
 
-    A null or empty text gives one sequence, the end id alone.  part is the partition that wrote
-    the row and pos its place there; repeated rows have sequences of their own.
+    A null or empty text gives one sequence, the end id alone; repeated rows have sequences of their own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pack_vocabulary(vocabulary))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         enc, end = encoder(shared.value), np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
             out, held = [], 0
@@ -46,9 +48,9 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int
                 ids = enc.ids(text) + end
                 for n, at in enumerate(range(0, len(ids), 2 * length)):
                     one = ids[at : at + 2 * length]
-                    out.append((None if doc_id is None or doc_id != doc_id else int(doc_id), n, len(one) // 2, one))
+                    out.append((None if doc_id is None or doc_id != doc_id else int(doc_id), n, len(one) // 2, squeeze(one)))
                     held += len(one)
-                if held > 16 << 20:
+                if held > 4 << 20:
                     yield _frame(out)
                     out, held = [], 0
             yield _frame(out)
@@ -106,6 +108,9 @@ def shards(slotted: DataFrame, total: int, length: int = 2048, per_shard: int =
     size = stride(length)
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         shard = int(key[0])
         first = shard * per_shard
         n = min(per_shard, total - first)
@@ -113,7 +118,7 @@ def shards(slotted: DataFrame, total: int, length: int = 2048, per_shard: int =
         for slot, n_ids, ids in zip(rows["slot"], rows["n_ids"], rows["ids"], strict=True):
             at = (int(slot) - first) * size
             payload[at : at + 4] = int(n_ids).to_bytes(4, "little")
-            payload[at + 4 : at + 4 + len(ids)] = ids
+            payload[at + 4 : at + 4 + 2 * int(n_ids)] = unsqueeze(ids)
         return pd.DataFrame({"shard": [shard], "first_slot": [first], "n_slots": [n], "payload": [bytes(payload)]})
 
     ranged = slotted.select("slot", "n_ids", "ids", F.floor(F.col("slot") / per_shard).cast("long").alias("shard")).repartitionByRange("shard")
@@ -146,7 +151,7 @@ def materialise(docs: DataFrame, vocabulary: str, key: str = "epoch-0", length:
     """The ledger (doc_id, seq_no, n_ids, slot of each sequence) and the written shards."""
     rows, total = numbered(sequences(docs, vocabulary, length))
     slotted = rows.withColumn("slot", feistel_slot(F.col("number"), total, key))
-    return slotted.select("doc_id", "seq_no", "slot"), written(shards(slotted, total, length, per_shard), "shards")
+    return slotted.select("doc_id", "seq_no", "slot"), written(shards(slotted, total, length, per_shard), "shards", "zstd")
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

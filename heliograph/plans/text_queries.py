@@ -42,9 +42,8 @@ select doc_id, md5(trim(string_split(text, chr(10))[1])) as title from documents
 def title_clean(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     first = F.trim(F.element_at(F.split("text", "\n"), 1))
-    raw = F.concat(F.lit("\n  Title: \""), F.col("text"))
     quoted = F.concat(F.lit("\n  Title: \""), first, F.lit("\" \n"), F.col("text"))
-    return d.where(F.length(first) > 0).select("doc_id", F.md5(t.clean_title(F.when(F.lit(True), quoted).otherwise(raw))).alias("title"))
+    return d.where(F.length(first) > 0).select("doc_id", F.md5(t.clean_title(quoted)).alias("title"))
 
 
 @query("url_kind", """

@@ -17,7 +17,7 @@ import numpy as np
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 #: Pieces remembered in a worker before it starts afresh, and the longest of them.
-REMEMBER, LONGEST = 250_000, 48
+REMEMBER, LONGEST = 450_000, 48
 
 
 def byte_symbols() -> dict[str, int]:

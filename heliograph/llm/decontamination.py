@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. The test items' word 3-grams are looked up in every document.  Hits of one item that lie within
    an item's length of each other open a passage, with an item's length of words on either side.
-2. A seed's frequency is the number of passages that it opens in the whole corpus.  Seeds are rare up
-   to RARE passages, or up to four times the rarest seed of their item, so an item that leaked
-   everywhere keeps its seeds.  Passages and items join on two rare seeds (or on all an item has).
+2. A passage goes on with two seeds (or all an item has), however often these stand in other documents.
+   It is left out only if the words that it shares with the item, repeats counted, are too few for the
+   threshold: an alignment matches no more words than that, so no passage is lost.
 3. Smith-Waterman aligns the words of passage and item: +2 for a match, -1 for a mismatch or gap.
    The score is the best alignment's share of what the whole item would reach.
 
@@ -14,7 +14,7 @@ The benchmark goes over the documents in blocks of a bounded size, whatever its
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,7 +28,6 @@ from .common import table, texts, written
 WORD = re.compile(r"\w+")
 N = 3
 MATCH, MISS, GAP = 2, -1, 1
-RARE = 64
 THRESHOLD = 0.5
 #: Characters of benchmark text that are broadcast at a time.
 BLOCK_CHARS = 8_000_000
@@ -49,7 +48,7 @@ class SeedIndex:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         where = defaultdict(list)
         self.size = np.int64(len(self.vocabulary) + 1)
-        self.n_seeds = []
+        self.n_seeds, self.counts = [], [Counter(words) for _, words in self.items]
         for k, (_, words) in enumerate(self.items):
             codes = self.codes(np.array([self.vocabulary[w] for w in words], dtype=np.int64))
             self.n_seeds.append(len(set(codes.tolist())))
@@ -65,8 +64,8 @@ class SeedIndex:
         a, b, c = ids[:-2], ids[1:-1], ids[2:]
         return np.where((a >= 0) & (b >= 0) & (c >= 0), (a * self.size + b) * self.size + c, -1)
 
-    def passages(self, text: str) -> Iterator[tuple[int, int, int, list[int], list[str]]]:
-        """(item's place, first word, end word, distinct seeds, words) of every passage with two seeds, or all an item has."""
+    def passages(self, text: str, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, list[str]]]:
+        """(item's place, first word, words) of every passage with two seeds, or all an item has, that may reach the threshold."""
         words = words_of(text)
         ids = np.fromiter((self.vocabulary.get(w, -1) for w in words), dtype=np.int64, count=len(words))
         codes = self.codes(ids)
@@ -86,10 +85,11 @@ class SeedIndex:
                 if hit is not None and hit[0] - region[-1][0] <= m:
                     region.append(hit)
                     continue
-                seeds = sorted({s for _, s in region})
-                if len(seeds) >= min(2, self.n_seeds[item]):
+                if len({s for _, s in region}) >= min(2, self.n_seeds[item]):
                     first, end = max(0, region[0][0] - m), min(len(words), region[-1][0] + N + m)
-                    yield item, first, end, seeds, words[first:end]
+                    shared = (Counter(words[first:end]) & self.counts[item]).total()
+                    if shared / m >= threshold:
+                        yield item, first, words[first:end]
                 region = [hit]
 
 
@@ -122,7 +122,7 @@ def align(passage: list[str], item: list[str]) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end
 
 
-def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items)
     cached: dict[int, SeedIndex] = {}
@@ -135,8 +135,8 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = index()
         for batch in batches:
-            rows = [(doc, key, *p[:4], " ".join(p[4])) for doc, key, text in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["text"], strict=True) for p in own.passages(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "item", "first", "end", "seeds", "passage"]).astype({"doc_id": "Int64"})
+            rows = [(doc, key, item, first, " ".join(passage)) for doc, key, text in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["text"], strict=True) for item, first, passage in own.passages(text, threshold)]
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "item", "first", "passage"]).astype({"doc_id": "Int64"})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = index()
@@ -147,17 +147,8 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 rows.append((doc, key, own.items[item][0], s, first + a, first + b))
             yield pd.DataFrame(rows, columns=["doc_id", "text_key", "item_id", "score", "first_word", "end_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    found = written(docs.mapInPandas(seek, "doc_id long, text_key long, item int, first long, end long, seeds array<long>, passage string"), "passages")
-    own = SeedIndex(items)
-    seeds = spark.createDataFrame([(k, i) for i, where in enumerate(own.where) for k in {k for k, _ in where}] or [(-1, -1)], "item int, seed long")
-    opened = found.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("df"))  # a row for each seed of the block
-    rated = seeds.join(opened, "seed", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    lowest = rated.where("df > 0").groupBy("item").agg(F.min("df").alias("least"))
-    rare = rated.join(lowest, "item").where((F.col("df") > 0) & (F.col("df") <= F.greatest(F.lit(RARE), 4 * F.col("least"))))
-    per_item = rare.groupBy("item").agg(F.collect_list("seed").alias("rare"))  # bounded by the block
-    enough = F.size(F.array_intersect("seeds", "rare"))
-    joined = found.join(F.broadcast(per_item), "item").where(enough >= F.least(F.lit(2), F.size("rare")))
-    return joined.select("doc_id", "text_key", "item", "first", "passage").repartition(F.xxhash64("doc_id", "text_key", "item", "first")).mapInPandas(score, "doc_id long, text_key long, item_id long, score double, first_word long, end_word long")
+    found = written(docs.mapInPandas(seek, "doc_id long, text_key long, item int, first long, passage string"), "passages")
+    return found.repartition(F.xxhash64("doc_id", "text_key", "item", "first")).mapInPandas(score, "doc_id long, text_key long, item_id long, score double, first_word long, end_word long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -174,7 +165,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     found = []
     for b in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
-        found.append(_block(rows, [(r.item_id, r.text) for r in block]))
+        found.append(_block(rows, [(r.item_id, r.text) for r in block], threshold))
     scored = reduce(DataFrame.unionByName, found).where(F.col("score") >= threshold)
     best = F.max_by(F.struct("first_word", "end_word"), F.struct("score", -F.col("first_word")))
     return scored.groupBy("doc_id", "text_key", "item_id").agg(F.max("score").alias("score"), best.alias("span")).select("doc_id", "text_key", "item_id", "score", "span.first_word", "span.end_word")

@@ -167,6 +167,19 @@ def test_exact_leaks_of_the_given_documents(spark, data, documents):
                 assert (d.doc_id, i) in got
 
 
+def test_leaks_that_many_documents_repeat_with_one_edit(spark):
+    rng = random.Random(17)
+    words = sentence_words(rng, 45)
+    edit, part = [*words[:20], "zzz", *words[21:]], words[:30]
+    around = lambda body: " ".join([*sentence_words(rng, 5), *body, *sentence_words(rng, 5)])
+    rows = [(0, around(words))] + [(d, around(edit if d <= 1000 else part)) for d in range(1, 1101)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontamination.decontaminate(docs, items).collect()}
+    assert set(got) == set(range(1101))
+    assert got[0] == 1.0 and min(got[d] for d in range(1, 1001)) > 0.95 and min(got[d] for d in range(1001, 1101)) > 0.65
+
+
 def brute_lines(rows):
     """Texts after line dedup, by plain grouping of chunk bytes."""
     chunks = defaultdict(list)

@@ -135,6 +135,8 @@ BITS = 1024
 #: Coordinates of which the strongest makes a code of a block.
 GROUP = 64
 ROTATIONS = 5
+#: Codes (of 7 bits) in a block, at every number of documents: more would lose pairs.
+CODES = 3
 #: Smallest shingle hashes that a document carries along for verification.
 BOTTOM = 64
 
@@ -150,7 +152,7 @@ def _turns() -> np.ndarray:
 _turned: np.ndarray | None = None
 
 
-def wide_fingerprints(sketches: np.ndarray, codes_per_block: int) -> tuple[np.ndarray, np.ndarray]:
+def wide_fingerprints(sketches: np.ndarray, codes_per_block: int = CODES) -> tuple[np.ndarray, np.ndarray]:
     """128-byte fingerprints and the block keys (64-bit) of count sketches."""
     turned = sketches @ _turns()
     prints = np.packbits(turned[:, :BITS] > 0, axis=1)
@@ -165,7 +167,7 @@ def wide_fingerprints(sketches: np.ndarray, codes_per_block: int) -> tuple[np.nd
     return prints, keys
 
 
-def _marks(words: int, codes_per_block: int):
+def _marks(words: int):
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -180,7 +182,7 @@ def _marks(words: int, codes_per_block: int):
                     bottoms.append(h[:BOTTOM].astype(np.int64))
                     seq = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
                     shapes.append(xxhash.xxh128_digest(seq))
-                prints, keys = wide_fingerprints(sketches, codes_per_block)
+                prints, keys = wide_fingerprints(sketches)
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "text_key": part["text_key"].to_numpy(), "shape": shapes, "fp": [p.tobytes() for p in prints], "keys": list(keys.astype(np.int64)), "bottom": bottoms})
 
     return mark
@@ -192,11 +194,6 @@ def hamming_limit(similarity: float) -> int:
     return int(BITS * share + (BITS * share * (1 - share)) ** 0.5)
 
 
-def codes_for(n: int) -> int:
-    """Codes (of 7 bits) in a block: enough that chance meetings are few among n documents."""
-    return max(3, -(-(max(2, n).bit_length() + 2) // 7))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text) and keep (boolean) of rows; one document of each group is kept.
 
@@ -204,12 +201,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     node of its bucket; the pair is verified by the Hamming distance of their 1024-bit fingerprints and by
     the overlap of their smallest shingle hashes, which is exact for documents of few shingles.  Blocks take
     the sign and place of the strongest of 64 rotated coordinates, which small edits seldom change, three codes to a
-    block and 26 blocks (more codes as documents grow in number).  Of a group the row of smallest
+    block and 26 blocks at every number of documents.  Of a group the row of smallest
     doc_id stays (then smallest text_key); null ids come last.  Documents without words are one group.
     """
     rows = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    per_block = codes_for(rows.count())
-    marked = written(rows.mapInPandas(_marks(words, per_block), "doc_id long, text_key long, shape binary, fp binary, keys array<long>, bottom array<long>"), "marks")
+    marked = written(rows.mapInPandas(_marks(words), "doc_id long, text_key long, shape binary, fp binary, keys array<long>, bottom array<long>"), "marks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     shapes = marked.groupBy("shape").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bottom").alias("bottom"))
     nodes = written(shapes.withColumn("node", F.xxhash64("shape")), "nodes")

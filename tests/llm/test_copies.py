@@ -126,6 +126,14 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert len(kept & {2000, 2001, 2002}) == 1
 
 
+def test_blocks_hold_their_share_of_pairs(spark):
+    rng = np.random.default_rng(31)
+    shared, own = rng.choice([-1.0, 1.0], (300, 1024)) * (rng.random((300, 1024)) < 0.35), lambda: rng.choice([-1.0, 1.0], (300, 1024)) * (rng.random((300, 1024)) < 0.03)
+    keys = [simhash.wide_fingerprints((shared + own()).astype(np.float32))[1] for _ in range(2)]
+    assert keys[0].shape == (300, 26) and (keys[0] == keys[1]).any(axis=1).mean() > 0.95
+    assert not hasattr(simhash, "codes_for")  # nothing changes them with the number of documents
+
+
 def test_smith_waterman_against_plain_programming():
     rng = random.Random(3)
     for _ in range(200):

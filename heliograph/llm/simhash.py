@@ -137,8 +137,10 @@ GROUP = 64
 ROTATIONS = 5
 #: Codes (of 7 bits) in a block, at every number of documents: more would lose pairs.
 CODES = 3
-#: Smallest shingle hashes that a document carries along for verification.
-BOTTOM = 64
+#: Shingles under which documents that meet are compared whatever their fingerprints.
+FEW = 64
+#: Members of a part of a bucket; parts are compared two by two.
+PART = 512
 
 
 def _turns() -> np.ndarray:
@@ -167,7 +169,7 @@ def wide_fingerprints(sketches: np.ndarray, codes_per_block: int = CODES) -> tup
     return prints, keys
 
 
-def _marks(words: int):
+def _marks(words: int, similarity: float):
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -175,15 +177,18 @@ def _marks(words: int):
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
                 sketches = np.zeros((len(part), BITS), dtype=np.float32)
-                bottoms, shapes = [], []
+                sizes, shapes, sets = [], [], {}
                 for i, text in enumerate(part["text"]):
                     h = np.unique(shingle_hashes(text, words))
                     sketches[i] = np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), weights=((h >> np.uint64(20)) & np.uint64(1)) * 2.0 - 1.0, minlength=BITS)
-                    bottoms.append(h[:BOTTOM].astype(np.int64))
+                    sizes.append(len(h))
+                    if len(h) / (len(h) + 1) < similarity:  # only an equal set is similar
+                        sets[i] = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], dtype=np.uint64)
                     seq = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
                     shapes.append(xxhash.xxh128_digest(seq))
                 prints, keys = wide_fingerprints(sketches)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "text_key": part["text_key"].to_numpy(), "shape": shapes, "fp": [p.tobytes() for p in prints], "keys": list(keys.astype(np.int64)), "bottom": bottoms})
+                keys = [sets.get(i, k).astype(np.int64) for i, k in enumerate(keys)]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "text_key": part["text_key"].to_numpy(), "shape": shapes, "fp": [p.tobytes() for p in prints], "keys": keys, "size": sizes})
 
     return mark
 
@@ -198,42 +203,107 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """doc_id, text_key (xxhash64 of the text) and keep (boolean) of rows; one document of each group is kept.
 
     Documents of equal word sequences are one node.  A node's block key joins it with the smallest
-    node of its bucket; the pair is verified by the Hamming distance of their 1024-bit fingerprints and by
-    the overlap of their smallest shingle hashes, which is exact for documents of few shingles.  Blocks take
+    node of its bucket.  Members that this leaves outside the component of the bucket's smallest node are then
+    compared with all members of other components, a part of the bucket with a part at a time, so that every two
+    nodes that share a bucket end in one component if they are similar.  Pairs within the limit of Hamming
+    distance of their 1024-bit fingerprints (or of few shingles) are decided by their whole shingle sets.  Blocks take
     the sign and place of the strongest of 64 rotated coordinates, which small edits seldom change, three codes to a
     block and 26 blocks at every number of documents.  Of a group the row of smallest
     doc_id stays (then smallest text_key); null ids come last.  Documents without words are one group.
     """
     rows = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    marked = written(rows.mapInPandas(_marks(words), "doc_id long, text_key long, shape binary, fp binary, keys array<long>, bottom array<long>"), "marks")
+    limit = hamming_limit(similarity)
+    marked = written(rows.mapInPandas(_marks(words, similarity), "doc_id long, text_key long, shape binary, fp binary, keys array<long>, size long"), "marks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    shapes = marked.groupBy("shape").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bottom").alias("bottom"))
+    shapes = marked.groupBy("shape").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"))
     nodes = written(shapes.withColumn("node", F.xxhash64("shape")), "nodes")
     blocks = nodes.select("node", F.explode("keys").alias("key"))
     heads = blocks.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     met = blocks.join(heads, "key").where("node <> head").select("node", "head").distinct()
-    sides = nodes.select("node", "fp", "bottom")
-    pairs = met.join(sides, "node").join(sides.select(F.col("node").alias("head"), F.col("fp").alias("fp2"), F.col("bottom").alias("bottom2")), "head")
-    near = pairs.where(_verified(hamming_limit(similarity), similarity)("fp", "fp2", "bottom", "bottom2")).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    names = connected_components(near)
+    sides = nodes.select("node", "fp", "size")
+    pairs = met.join(sides, "node").join(sides.select(F.col("node").alias("head"), F.col("fp").alias("fp2"), F.col("size").alias("size2")), "head")
+    likely = pairs.where(_likely(limit, similarity)("fp", "fp2", "size", "size2")).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = _similar(likely, nodes, rows, words, similarity)
+    rest = _similar(_left_over(blocks, heads, sides, connected_components(near), limit, similarity), nodes, rows, words, similarity)
+    names = connected_components(near.unionByName(rest))
     grouped = nodes.select("node", "shape", "place").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = grouped.groupBy("component").agg(F.min("place").alias("best"))
     chosen = grouped.join(best, "component").select("shape", "best")
     return marked.join(chosen, "shape").select("doc_id", "text_key", place.eqNullSafe(F.col("best")).alias("keep"))
 
 
-def _verified(limit: int, similarity: float):
+def _likely(limit: int, similarity: float):
+    """Whether fingerprints are within the limit, or shingles few, and sizes allow the similarity."""
+
+    @F.pandas_udf("boolean")
+    def likely(a: pd.Series, b: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), dtype=np.uint64).reshape(len(s), -1) for s in (a, b))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        least, most = np.minimum(m, n).to_numpy(), np.maximum(m, n).to_numpy()
+        return pd.Series((least >= similarity * most - 1e-9) & ((apart <= limit) | (most < FEW)))
+
+    return likely
+
+
+def _left_over(blocks: DataFrame, heads: DataFrame, sides: DataFrame, names: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """Likely pairs (a, b) of different components within buckets; one of them is outside the component of the bucket's head."""
+    of = lambda node, name: names.select(F.col("node").alias(node), F.col("component").alias(name))
+    named = blocks.join(heads.where("n > 2"), "key").where("n > 2").join(of("node", "own"), "node", "left").join(of("head", "first"), "head", "left")
+    own = F.coalesce("own", "node")
+    member = written(named.select("key", "node", "n", own.alias("own"), (own != F.coalesce("first", "head")).alias("rest")), "members")
+    live = member.where("rest").groupBy("key").agg(F.count("*").alias("n_rest"))
+    held = member.join(live, "key").join(sides, "node")
+    parts = lambda n: F.ceil(n / F.lit(PART)).cast("int")
+    own_part = lambda n: F.pmod(F.xxhash64("node"), parts(F.col(n))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(F.col(n)) - 1))
+    columns = ("key", "node", "own", "rest", "fp", "size")
+    left = held.where("rest").select(*columns, F.lit(True).alias("turned"), own_part("n_rest").alias("i"), every("n").alias("j"))
+    right = held.select(*columns, F.lit(False).alias("turned"), every("n_rest").alias("i"), own_part("n").alias("j"))
+    each = F.struct("turned", "rest", "node", "own", "size", "fp")
+    cells = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list(each).alias("c"))
+    cells = cells.select(*(F.col(f"c.{x}").alias(x) for x in ("turned", "rest", "node", "own", "size", "fp")))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for turned, rest, node, own, size, fp in batch.itertuples(index=False):
+                turned, rest, size = np.asarray(turned, dtype=bool), np.asarray(rest, dtype=bool), np.asarray(size)
+                node, own = np.asarray(node), np.asarray(own)
+                bits = np.frombuffer(b"".join(fp), dtype=np.uint64).reshape(len(node), -1)
+                other = np.nonzero(~turned)[0]
+                found = []
+                for k in np.nonzero(turned)[0].tolist():
+                    least, most = np.minimum(size[k], size[other]), np.maximum(size[k], size[other])
+                    ok = (own[other] != own[k]) & (~rest[other] | (node[k] < node[other])) & (least >= similarity * most - 1e-9)
+                    at = other[ok]
+                    if len(at):
+                        apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                        found += [(int(node[k]), b) for b in node[at[(apart <= limit) | (most[ok] < FEW)]].tolist()]
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+    return cells.mapInPandas(compare, "a long, b long").distinct()
+
+
+def _similar(likely: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have the similarity."""
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "hashes": [np.unique(shingle_hashes(t, words)).astype(np.int64) for t in batch["text"]]})
+
     @F.pandas_udf("boolean")
-    def verified(a: pd.Series, b: pd.Series, low_a: pd.Series, low_b: pd.Series) -> pd.Series:
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
-        for x, y, u, v in zip(a, b, low_a, low_b, strict=True):
-            both = np.union1d(u, v)
-            whole = len(u) < BOTTOM and len(v) < BOTTOM
-            both = both if whole else both[:BOTTOM]
-            shared = np.isin(both, u, assume_unique=True) & np.isin(both, v, assume_unique=True)
-            overlap = shared.mean() if len(both) else 1.0
-            apart = int(np.bitwise_count(np.frombuffer(x, dtype=np.uint8) ^ np.frombuffer(y, dtype=np.uint8)).sum())
-            out.append(bool(overlap >= similarity) if whole else apart <= limit and bool(overlap >= similarity - 0.15))
+        for x, y in zip(a, b, strict=True):
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            either = len(x) + len(y) - shared
+            out.append(shared >= similarity * either - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    return verified
+    likely = written(likely, "likely")
+    needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    where = nodes.join(needed, "node").select("node", F.col("place.doc_id").alias("id"), F.col("place.text_key").alias("key"))
+    found = rows.join(where, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).select("node", "text").dropDuplicates(["node"])
+    sets = written(found.mapInPandas(whole, "node long, hashes array<long>"), "shingles")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
+    return written(likely.join(side("a"), "a").join(side("b"), "b").where(similar("of_a", "of_b")).select("a", "b"), "similar")

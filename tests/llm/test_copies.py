@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -126,6 +127,20 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert len(kept & {2000, 2001, 2002}) == 1
 
 
+def test_twins_inside_a_template_family(spark):
+    rng = random.Random(23)
+    template = sentence_words(rng, 400)
+    rows = []
+    for g in range(1000):  # twins of Jaccard about 0.96 among relatives of about 0.67
+        own = list(template)
+        own[4 + 5 * (g % 60) : 44 + 5 * (g % 60)] = [f"{w}{g}" for w in sentence_words(rng, 40)]
+        twin = [*own[:-4], "zumo", *own[-3:]]
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(twin))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_duplicates(docs).where("keep").collect()}
+    assert sum({2 * g, 2 * g + 1} <= kept for g in range(1000)) == 0
+
+
 def test_blocks_hold_their_share_of_pairs(spark):
     rng = np.random.default_rng(31)
     shared, own = rng.choice([-1.0, 1.0], (300, 1024)) * (rng.random((300, 1024)) < 0.35), lambda: rng.choice([-1.0, 1.0], (300, 1024)) * (rng.random((300, 1024)) < 0.03)

@@ -194,9 +194,9 @@ def _marks(words: int, similarity: float):
 
 
 def hamming_limit(similarity: float) -> int:
-    """Bits that documents of this Jaccard similarity differ in, on average, and one standard deviation more."""
+    """Bits that documents of this Jaccard similarity differ in, on average, and four standard deviations more."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(BITS * share + (BITS * share * (1 - share)) ** 0.5)
+    return int(BITS * share + 4 * (BITS * share * (1 - share)) ** 0.5)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -141,6 +141,23 @@ def test_twins_inside_a_template_family(spark):
     assert sum({2 * g, 2 * g + 1} <= kept for g in range(1000)) == 0
 
 
+def test_pairs_at_the_threshold_are_decided_by_their_shingles(spark):
+    rng = random.Random(29)
+    nodes, likely, want = [], [], set()
+    for g in range(200):
+        words = sentence_words(rng, 400)
+        rows = (words, [*words[: 400 - (34 + g % 20)], *(f"x{g}y{k}" for k in range(34 + g % 20))])
+        nodes += [(2 * g + k, " ".join(w)) for k, w in enumerate(rows)]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows)
+        likely.append((2 * g, 2 * g + 1))
+        if len(a & b) >= 0.8 * len(a | b):
+            want.add((2 * g, 2 * g + 1))
+    marks = next(simhash._marks(5, 0.8)(iter([pd.DataFrame({"doc_id": [n for n, _ in nodes], "text_key": [0] * len(nodes), "text": [t for _, t in nodes]})])))
+    prints = [np.frombuffer(f, dtype=np.uint8) for f in marks["fp"]]
+    apart = {p: int(np.bitwise_count(prints[p[0]] ^ prints[p[1]]).sum()) for p in likely}
+    assert want and all(apart[p] <= simhash.hamming_limit(0.8) for p in want)
+
+
 def test_blocks_hold_their_share_of_pairs(spark):
     rng = np.random.default_rng(31)
     shared, own = rng.choice([-1.0, 1.0], (300, 1024)) * (rng.random((300, 1024)) < 0.35), lambda: rng.choice([-1.0, 1.0], (300, 1024)) * (rng.random((300, 1024)) < 0.03)

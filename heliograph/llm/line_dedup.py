@@ -1,11 +1,18 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of a line and the one before it decides where chunks end, so that an
-inserted or deleted line shifts no other boundary; a line of LONG words or more is a chunk of its own.
-Chunks of several lines, and long lines, that occur again anywhere in the corpus are repeated.
-They are grouped by a 128-bit hash and by their bytes; a hash that stands for different bytes removes
-nothing.  The occurrence in the smallest doc_id stays (the first one in that document), the others go.
-A document that keeps no such chunk of its own loses its left-over short lines as well.
+A rolling hash over the hashes of two neighbouring lines gives each place between lines a number; a chunk
+ends where that number is smaller than at the places before and after.  A boundary thus depends on the
+two lines before and after it alone: an inserted or deleted line shifts no other, and a chunk has two
+lines at least.  A line of LONG words or more is a chunk of its own.  Blank lines belong to no chunk.
+
+Chunks that occur again anywhere in the corpus are repeated.  The first and last lines of a shared
+passage stand in chunks with a document's own lines, so the pairs of neighbouring lines are looked up as
+well: a run of lines in which every pair is repeated goes like a chunk if it has LONG words or more.
+
+Only 128-bit hashes are counted over the corpus; of those seen twice the bytes are compared, and a hash
+that stands for different bytes removes nothing.  The occurrence in the smallest doc_id stays (the first one in that
+document), the others go.  So every line that goes is still somewhere in the corpus: each removal points to an
+occurrence at an earlier place, and such pointers end at one that stays.  No other line goes.
 """
 
 from __future__ import annotations
@@ -17,118 +24,156 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, texts
+from .common import join_counted, small_batches, table, texts, written
 
 #: A line of so many words is a passage by itself.
 LONG = 30
 #: Words in a chunk of several lines, at least.
 LEAST = 8
-#: One line in so many ends a chunk.
-ONE_IN = 2
+MASK = (1 << 64) - 1
 
 
-def chunks(text: str) -> list[tuple[int, int, int]]:
-    """(first line, end line, words) of the chunks of a text."""
-    import xxhash
-
+def worded_lines(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The lines of a text, the places of those that hold a word, and how many words these have."""
     lines = text.split("\n")
     counts = [len(line.split()) for line in lines]
-    hashes = [xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines]
-    out, first = [], 0
-    for i in range(len(lines)):
-        rolled = ((hashes[i - 1] if i > first else 0) * 0x9E3779B185EBCA87 + hashes[i]) & 0xFFFFFFFFFFFFFFFF
-        rolled ^= rolled >> 33
-        last = i + 1 == len(lines)
-        if last or counts[i] >= LONG or counts[i + 1] >= LONG or rolled % ONE_IN == 0:
-            out.append((first, i + 1, sum(counts[first : i + 1])))
-            first = i + 1
-    return out
+    at = [i for i, n in enumerate(counts) if n]
+    return lines, at, [counts[i] for i in at]
 
 
-def eligible(chunk: tuple[int, int, int]) -> bool:
-    first, end, words = chunk
-    return words >= LONG or end - first > 1 and words >= LEAST
+def chunks(lines: list[bytes], words: list[int]) -> list[tuple[int, int]]:
+    """(first, end) of the chunks of lines that hold words."""
+    import xxhash
+
+    n = len(lines)
+    hashes = [xxhash.xxh64_intdigest(line) for line in lines]
+    rolled = []
+    for a, b in zip(hashes, hashes[1:], strict=False):
+        r = (a * 0x9E3779B185EBCA87 + b) & MASK
+        rolled.append(r ^ (r >> 33))
+    ends = [i + 1 for i in range(n - 1) if words[i] >= LONG or words[i + 1] >= LONG or (0 < i < n - 2 and rolled[i - 1] > rolled[i] < rolled[i + 1])]
+    return list(zip([0, *ends], [*ends, n], strict=True)) if n else []
 
 
-CHUNK = "doc_id long, text_key long, chunk int, nth int, words int, h1 long, h2 long"
+def candidates(text: str) -> list[tuple[int, int, bool, bytes]]:
+    """(first, end, is a chunk, bytes) of the chunks and pairs of a text; places count the lines that hold words."""
+    lines, at, words = worded_lines(text)
+    raw = [lines[i].encode("utf-8", "surrogatepass") for i in at]
+    cut = {c for c in chunks(raw, words) if sum(words[c[0] : c[1]]) >= (LEAST if c[1] - c[0] > 1 else LONG)}
+    spans = sorted(cut | {(i, i + 2) for i in range(len(raw) - 1)})
+    return [(a, b, (a, b) in cut, b"\n".join(raw[a:b])) for a, b in spans]
 
 
-def chunk_rows(docs: DataFrame, with_text: bool) -> DataFrame:
-    """A row for each eligible chunk of rows (doc_id, text_key, text); nth counts its earlier occurrences in the document."""
+FOUND = "doc_id long, text_key long, first int, end int, own boolean, nth int, h1 long, h2 long"
+
+
+def candidate_rows(docs: DataFrame) -> DataFrame:
+    """A row for each candidate of rows (doc_id, text_key, text); nth counts its earlier occurrences in the document."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in batches:
-            rows = []
+            rows, digests = [], []
             for doc, key, text in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["text"], strict=True):
-                lines, seen = text.split("\n"), {}
-                for n, c in enumerate(chunks(text)):
-                    if eligible(c):
-                        body = "\n".join(lines[c[0] : c[1]])
-                        raw = body.encode("utf-8", "surrogatepass")
-                        h = (xxhash.xxh64_intdigest(raw, 0), xxhash.xxh64_intdigest(raw, 1))
-                        rows.append((doc, key, n, seen.get(h, 0), c[2], *h, body))
-                        seen[h] = seen.get(h, 0) + 1
-            made = pd.DataFrame(rows, columns=["doc_id", "text_key", "chunk", "nth", "words", "h1", "h2", "body"])
-            for h in ("h1", "h2"):
-                made[h] = made[h].to_numpy(dtype=np.uint64).astype(np.int64)
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made if with_text else made.drop(columns="body")
+                seen: dict[bytes, int] = {}
+                for first, end, own, body in candidates(text):
+                    h = xxhash.xxh128_digest(body)
+                    n = seen.get(h, 0)
+                    seen[h] = n + 1
+                    rows.append((doc, key, first, end, own, n))
+                    digests.append(h)
+            made = pd.DataFrame(rows, columns=["doc_id", "text_key", "first", "end", "own", "nth"])
+            both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            made["doc_id"], made["h1"], made["h2"] = made["doc_id"].astype("Int64"), both[:, 0], both[:, 1]
+            yield made
 
-    return docs.mapInPandas(cut, CHUNK + (", body string" if with_text else ""))
+    return docs.mapInPandas(cut, FOUND)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """h1, h2, n and the smallest doc_id of chunks that occur more than once, compared by bytes."""
-    bodies = chunk_rows(docs, True).groupBy("h1", "h2", "body").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    return bodies.groupBy("h1", "h2").agg(F.count("*").alias("bodies"), F.sum("n").alias("n"), F.min("first_id").alias("first_id")).where("bodies = 1 and n > 1").drop("bodies")
+def clashing(marked: DataFrame) -> DataFrame:
+    """h1, h2 that stand for different bytes, of rows (text, marks)."""
 
+    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, marks in zip(batch["text"], batch["marks"], strict=True):
+                lines, at, _ = worded_lines(text)
+                rows += [(m["h1"], m["h2"], "\n".join(lines[i] for i in at[m["first"] : m["end"]])) for m in marks]
+            yield pd.DataFrame(rows, columns=["h1", "h2", "body"])
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, removed (array of chunk numbers) of documents that lose chunks."""
-    found = chunk_rows(docs, False).join(repeated(docs), ["h1", "h2"])
-    gone = (F.col("doc_id").isNull() & F.col("first_id").isNotNull()) | (F.col("doc_id") > F.col("first_id")) | (F.col("nth") > 0)
-    return found.where(gone).select("doc_id", "text_key", "chunk").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("chunk")).alias("removed"))
+    found = marked.mapInPandas(bodies, "h1 long, h2 long, body string").groupBy("h1", "h2", "body").agg(F.count("*").alias("n"))
+    return found.groupBy("h1", "h2").agg(F.count("*").alias("bodies")).where("bodies > 1").drop("bodies")
 
 
-APPLIED = "kept string, n_chunks long, n_removed long, words_removed long, lines_removed long"
+APPLIED = "kept string, n_removed long, words_removed long, lines_removed long"
 
 
-def without(text: Column, removed: Column) -> Column:
+def without(text: Column, marks: Column) -> Column:
     @F.pandas_udf(APPLIED)
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for bodies, gone in batches:
-            yield pd.DataFrame([_without(t, g) for t, g in zip(bodies, gone, strict=True)], columns=["kept", "n_chunks", "n_removed", "words_removed", "lines_removed"])
-
-    return apply(text, removed)
-
-
-def _without(text: str, gone: np.ndarray | None) -> tuple[str, int, int, int, int]:
-    cut = chunks(text)
-    able = {n for n, c in enumerate(cut) if eligible(c)}
-    if gone is None or not len(gone):
-        return text, len(able), 0, 0, 0
-    drop = {int(n) for n in gone}
-    taken = drop if able - drop else set(range(len(cut)))
-    lines = text.split("\n")
-    kept = [line for n, c in enumerate(cut) if n not in taken for line in lines[c[0] : c[1]]]
-    return "\n".join(kept), len(able), len(drop), sum(cut[n][2] for n in taken), sum(cut[n][1] - cut[n][0] for n in taken)
+            yield pd.DataFrame([_without(t, [(m["first"], m["end"], m["own"]) for m in g if m["gone"]]) for t, g in zip(bodies, gone, strict=True)], columns=["kept", "n_removed", "words_removed", "lines_removed"])
+
+    return apply(text, marks)
+
+
+def _without(text: str, gone: list[tuple[int, int, bool]]) -> tuple[str, int, int, int]:
+    """The text without repeated chunks and runs of repeated pairs, and how many stretches, words and lines these are."""
+    lines, at, words = worded_lines(text)
+    drop = [False] * len(at)
+    run_first = run_end = -1
+    for first, end, own in [*sorted(gone), (len(at) + 1, 0, False)]:
+        if own:
+            drop[first:end] = [True] * (end - first)
+        if end - first == 2 and first < run_end:
+            run_end = end
+        elif end - first == 2 or end == 0:
+            if run_end > 0 and sum(words[run_first:run_end]) >= LONG:
+                drop[run_first:run_end] = [True] * (run_end - run_first)
+            run_first, run_end = first, end
+    if not any(drop):
+        return text, 0, 0, 0
+    keep = [True] * len(lines)
+    for k, i in enumerate(at):
+        if drop[k]:
+            keep[i] = False
+            if k + 1 < len(at) and drop[k + 1]:  # blank lines inside a stretch go with it
+                keep[i : at[k + 1]] = [False] * (at[k + 1] - i)
+    stretches = sum(d and (k == 0 or not drop[k - 1]) for k, d in enumerate(drop))
+    kept = "" if all(drop) else "\n".join(line for line, stays in zip(lines, keep, strict=True) if stays)
+    return kept, stretches, sum(n for n, d in zip(words, drop, strict=True) if d), sum(drop)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """row (a struct of the input's columns), kept (text without repeated chunks) and lines (counts).
+    """row (a struct of the input's columns), kept (text without repeated lines) and lines (counts of stretches, words, lines removed).
 
-    A null text is empty and stays null in its row.  Rows equal in doc_id and text are one document and get the
-    same result.  A null doc_id counts as larger than any other; chunks that only such rows hold stay.
+    A null text is empty and stays null in its row; an empty table gives no rows.  Rows equal in doc_id and text are one
+    document and get the same result; a passage that different rows of one doc_id share stays in each.  A null doc_id counts as
+    larger than any other; what only such rows hold stays.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")).withColumn("key", F.xxhash64("body"))
-    gone = removals(keyed.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("body").alias("text")))
-    rows = keyed.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
-    return rows.select("row", without(F.col("body"), F.col("removed")).alias("lines")).select("row", F.col("lines.kept").alias("kept"), "lines")
+    body = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(body).alias("key"))
+    found = written(candidate_rows(rows.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), body.alias("text"))), "line-chunks")
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    counts = written(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first_id")).where("n > 1"), "repeated-chunks")
+    marks = join_counted(found, counts, ["h1", "h2"]).withColumn("gone", (place > F.col("first_id")) | (F.col("nth") > 0))
+    each = F.struct("first", "end", "own", "gone", "h1", "h2")
+    per_doc = marks.select("doc_id", "text_key", each.alias("m")).groupBy("doc_id", "text_key").agg(F.collect_set("m").alias("marks"))
+    joined = written(rows.join(per_doc, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left").select("row", "marks"), "marked-lines", "zstd")
+    met = joined.where("marks is not null")
+    clash = clashing(met.select(body.alias("text"), "marks")).checkpoint()
+    if not clash.isEmpty():  # only for a collision of 128-bit hashes
+        numbered = met.withColumn("no", F.monotonically_increasing_id())
+        honest = numbered.select("no", F.explode("marks").alias("m")).select("no", "m", "m.h1", "m.h2").join(clash, ["h1", "h2"], "left_anti").groupBy("no").agg(F.collect_list("m").alias("honest"))
+        met = numbered.join(honest, "no", "left").select("row", F.coalesce("honest", F.slice("marks", 1, 0)).alias("marks"))
+    changed = met.select("row", without(body, F.col("marks")).alias("lines")).select("row", F.col("lines.kept").alias("kept"), F.struct("lines.n_removed", "lines.words_removed", "lines.lines_removed").alias("lines"))
+    zero = F.lit(0).cast("long")
+    same = joined.where("marks is null").select("row", body.alias("kept"), F.struct(zero.alias("n_removed"), zero.alias("words_removed"), zero.alias("lines_removed")).alias("lines"))
+    return changed.unionByName(same)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(texts(table(spark, sf_dir, "documents")))
-    return out.select("row.doc_id", "lines.n_chunks", "lines.n_removed", "lines.words_removed", "lines.lines_removed", F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "lines.n_removed", "lines.words_removed", "lines.lines_removed", F.length("kept").cast("long").alias("kept_chars"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))

@@ -220,22 +220,62 @@ def test_leaks_that_many_documents_repeat_with_one_edit(spark):
     assert got[0] == 1.0 and min(got[d] for d in range(1, 1001)) > 0.95 and min(got[d] for d in range(1001, 1101)) > 0.65
 
 
+def brute_chunks(lines):
+    """Chunks (first, end) of lines that hold words: places whose number is less than both neighbours', and both sides of long lines."""
+    hashes = [xxhash.xxh64_intdigest(x.encode()) for x in lines]
+    number = {}
+    for i in range(len(lines) - 1):
+        v = (hashes[i] * 11400714785074694791 + hashes[i + 1]) % 2**64
+        number[i] = v ^ v >> 33
+    out, first = [], 0
+    for i in range(len(lines)):
+        low = i - 1 in number and i + 1 in number and number[i] < min(number[i - 1], number[i + 1])
+        long = len(lines[i].split()) >= 30 or (i + 1 < len(lines) and len(lines[i + 1].split()) >= 30)
+        if i == len(lines) - 1 or low or long:
+            out.append((first, i + 1))
+            first = i + 1
+    return out
+
+
 def brute_lines(rows):
-    """Texts after line dedup, by plain grouping of chunk bytes."""
-    chunks = defaultdict(list)
+    """Texts after line dedup, by plain comparison of strings."""
+    where, spans = defaultdict(list), {}
     for d, text in rows:
-        lines = text.split("\n")
-        for n, c in enumerate(line_dedup.chunks(text)):
-            if line_dedup.eligible(c):
-                chunks["\n".join(lines[c[0] : c[1]])].append((d, n))
-    gone = {p for ps in chunks.values() for p in sorted(ps)[1:]}
+        lines = [x for x in text.split("\n") if x.split()]
+        size = lambda a, b: sum(len(x.split()) for x in lines[a:b])  # noqa: B023, E731
+        cut = {(a, b) for a, b in brute_chunks(lines) if size(a, b) >= (30 if b - a == 1 else 8)}
+        spans[d] = (lines, cut)
+        for a, b in sorted(cut | {(i, i + 2) for i in range(len(lines) - 1)}):
+            where["\n".join(lines[a:b])].append((d, a, b))
     out = {}
     for d, text in rows:
-        lines, cut = text.split("\n"), line_dedup.chunks(text)
-        mine = {n for n in range(len(cut)) if (d, n) in gone}
-        if mine and all(n in mine or not line_dedup.eligible(c) for n, c in enumerate(cut)):
-            mine = set(range(len(cut)))
-        out[d] = "\n".join(line for n, c in enumerate(cut) if n not in mine for line in lines[c[0] : c[1]])
+        lines, cut = spans[d]
+        gone = set()
+        for places in where.values():
+            if len(places) > 1 and any(p[0] == d for p in places):
+                gone |= {(a, b) for e, a, b in sorted(places)[1:] if e == d}
+        taken = {i for a, b in gone & cut for i in range(a, b)}
+        i = 0
+        while i < len(lines):
+            j = i
+            while (j, j + 2) in gone:
+                j += 1
+            if j > i and sum(len(x.split()) for x in lines[i : j + 1]) >= 30:
+                taken |= set(range(i, j + 1))
+            i = max(j, i + 1)
+        kept, k, waiting = [], -1, []
+        for line in text.split("\n"):
+            if line.split():
+                k += 1
+                if k in taken:
+                    waiting = [] if k - 1 in taken else waiting
+                    kept += waiting
+                else:
+                    kept += [*waiting, line]
+                waiting = []
+            else:
+                waiting.append(line)
+        out[d] = "\n".join([*kept, *waiting]) if set(range(len(lines))) - taken or not lines else ""
     return out
 
 
@@ -245,9 +285,18 @@ def test_line_dedup_against_brute_force(spark, documents):
     assert got == brute_lines(rows)
 
 
-def test_shared_passages_go_and_clean_texts_stay(spark):
+def test_line_dedup_of_random_lines(spark):
+    rng = random.Random(41)
+    few = [" ".join(sentence_words(rng, rng.choice([1, 4, 9, 20, 31]))) for _ in range(12)] + ["", " "]
+    rows = [(d, "\n".join(rng.choice(few) if rng.random() < 0.7 else f"own {rng.random()}" for _ in range(rng.randrange(0, 14)))) for d in range(300)]
+    got = {r.row.doc_id: r.kept for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+
+
+@pytest.mark.parametrize("shape", [(1, 60), (2, 28), (3, 20), (6, 10), (10, 8), (6, 25)])
+def test_shared_passages_go_and_clean_texts_stay(spark, shape):
     rng = random.Random(9)
-    passage = " ".join(sentence_words(rng, 60))
+    passage = "\n".join(" ".join(sentence_words(rng, shape[1])) for _ in range(shape[0]))
     rows = [(d, "\n".join([" ".join(sentence_words(rng, 12)) for _ in range(6)] + ([passage] if d < 30 else []) + [" ".join(sentence_words(rng, 9))])) for d in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.row.doc_id: r.kept for r in line_dedup.dedup_lines(docs).collect()}
@@ -255,11 +304,37 @@ def test_shared_passages_go_and_clean_texts_stay(spark):
         assert got[d] == (text if d == 0 or d >= 30 else text.replace("\n" + passage, ""))
 
 
+def test_only_what_is_repeated_goes(spark):
+    rng = random.Random(10)
+    licence, own = " ".join(sentence_words(rng, 40)), " ".join(sentence_words(rng, 25))
+    rows = [(1, licence), (2, f"{own}\n{licence}"), (3, f"{licence}\n\nshort words"), (4, "short words\nand more"), (5, licence)]
+    got = {r.row.doc_id: (r.kept, r.lines.lines_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (licence, 0), 2: (own, 1), 3: ("\nshort words", 1), 4: ("short words\nand more", 0), 5: ("", 1)}
+
+
+def test_hot_chunks_are_joined_like_others(spark, monkeypatch):
+    from heliograph.llm import common
+
+    rng = random.Random(12)
+    shared = [" ".join(sentence_words(rng, 35)) for _ in range(3)]
+    rows = [(d, "\n".join([" ".join(sentence_words(rng, 12)), *shared[: 1 + (d % 3 == 0) + (d % 50 == 0)]])) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.row.doc_id: r.kept for r in line_dedup.dedup_lines(docs).collect()}
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    assert {r.row.doc_id: r.kept for r in line_dedup.dedup_lines(docs).collect()} == want == brute_lines(rows)
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(1)
     lines = [" ".join(sentence_words(rng, 8)) for _ in range(60)]
-    bodies = lambda ls: {"\n".join(ls[a:b]) for a, b, _ in line_dedup.chunks("\n".join(ls))}
-    assert len(bodies(lines) & bodies(["new line here", *lines])) >= len(bodies(lines)) - 2
+
+    def bodies(ls):
+        cut = line_dedup.chunks([x.encode() for x in ls], [len(x.split()) for x in ls])
+        assert cut == brute_chunks(ls) and all(b - a > 1 for a, b in cut)
+        return {tuple(ls[a:b]) for a, b in cut}
+
+    for at in range(61):
+        assert len(bodies(lines) - bodies([*lines[:at], "a new line", *lines[at:]])) <= 3
 
 
 def test_odd_rows(spark, data, odd, nothing):

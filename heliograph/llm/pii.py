@@ -2,7 +2,7 @@
 
 Plain spans come from the four base patterns.  Then transducers rewrite disguises: compatibility
 and look-alike characters to ASCII, invisible characters to nothing, spelled digits to digits, and
-"(at)", "[dot]", " at " ... " dot " to @ and full stops.  Each rewritten piece keeps the source
+"(at)", "[dot]", " at " and " dot " to @ and full stops.  Each rewritten piece keeps the source
 offsets of what it replaced, the same patterns run on the result, and matches that touch a
 rewritten piece are mapped back to source characters.  They are added to the plain ones where they
 overlap no plain span.
@@ -13,8 +13,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,15 +56,16 @@ FOLD = _folding()
 FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(FOLD)) + "]")
 _any = "|".join
 BRACKETED = re.compile(rf"[ ]*[(\[{{<][ ]*(?:(?P<at>{_any(AT_WORDS)}|@)|(?P<dot>{_any(DOT_WORDS)}|\.))[ ]*[)\]}}>][ ]*", re.IGNORECASE)
-WORDED = re.compile(rf"(?<=[A-Za-z0-9]) (?:{_any(AT_WORDS)}) [A-Za-z0-9-]+(?: (?:{_any(DOT_WORDS)}) [A-Za-z0-9-]+)+", re.IGNORECASE)
-WORDED_PART = re.compile(rf" (?:(?P<at>{_any(AT_WORDS)})|(?P<dot>{_any(DOT_WORDS)})) ", re.IGNORECASE)
+_dot, _name, _host = rf" (?:{_any(DOT_WORDS)}) ", r"[A-Za-z0-9._%+-]++", r"[A-Za-z0-9-]+"
+WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_name}(?:{_dot}{_name})*(?:@| @ | (?:{_any(AT_WORDS)}) ){_host}(?:(?:\.|{_dot}){_host})+", re.IGNORECASE)
+WORDED_PART = re.compile(rf"(?P<at> (?:{_any(AT_WORDS)}|@) )|(?P<dot>{_dot})|(?P<stop>\.)", re.IGNORECASE)
 _word = rf"(?:{_any(sorted(DIGIT_WORDS, key=len, reverse=True))})"
 SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|más|mas)[ -]+)?(?:{_word}|[0-9]+)(?:(?:[ -]+(?:(?:{_any(DOT_WORDS)})[ -]+)?|[ ]?\.[ ]?)(?:{_word}|[0-9]+))+(?!\w)", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"(?P<plus>plus|más|mas)[ -]+|(?P<word>{_word})|(?P<digits>[0-9]+)|[ -]+(?:{_any(DOT_WORDS)})[ -]+(?P<dot>)|[ -]+(?P<gap>)|[ ]?\.[ ]?(?P<stop>)", re.IGNORECASE)
 BRACKET = re.compile(r"[(\[{<]")
 FOLDED_LATIN = [chr(c) for c in FOLD if 127 < c < 256]
 BEYOND_LATIN = frozenset(chr(c) for c in FOLD if c > 255)
-BETWEEN = frozenset((*DOT_WORDS, "plus", "más", "mas"))
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def shows_folded(text: str) -> bool:
@@ -78,22 +80,9 @@ def shows_folded(text: str) -> bool:
     return any(c in text for c in FOLDED_LATIN)
 
 
-def shows_spelled(low: str) -> bool:
-    """Whether three digit words stand together, with digits and dots between them at most."""
-    words = low.replace("-", " ").replace(".", " ").split()
-    if sum(map(DIGIT_WORDS.__contains__, words)) < 3:
-        return False
-    run = 0
-    for w in words:
-        if w not in DIGIT_WORDS:
-            w = w.strip("()[]{}<>,;:!?\"'")
-        if w in DIGIT_WORDS:
-            run += 1
-            if run == 3:
-                return True
-        elif not (w in BETWEEN or w.lstrip("+").isdigit()):
-            run = 0
-    return False
+def shows_spelled(text: str) -> bool:
+    """Whether three digit words stand anywhere in the text; the parts of a spelled number are whole words, so none is passed over."""
+    return sum(map(DIGIT_WORDS.__contains__, LETTERS.findall(text.casefold()))) >= 3
 
 
 def luhn(digits: str) -> bool:
@@ -187,7 +176,13 @@ class Rewritten:
         return sb if b <= pos + length else sb + (b - pos - length)
 
     def touched(self, a: int, b: int) -> bool:
-        return any(a < pos + length and pos < b or length == 0 and a < pos < b for pos, _, _, length in self.edits)
+        """Whether an edit lies in [a, b) of the present text; edits are sorted and don't overlap."""
+        i = bisect_right(self.edits, (a, self.n + 1, self.n + 1, self.n + 1))
+        if i < len(self.edits) and self.edits[i][0] < b:
+            return True
+        while i and self.edits[i - 1][0] == a and self.edits[i - 1][3] == 0:
+            i -= 1
+        return i > 0 and a < self.edits[i - 1][0] + self.edits[i - 1][3]
 
 
 def deobfuscate(text: str) -> Rewritten | None:
@@ -196,53 +191,66 @@ def deobfuscate(text: str) -> Rewritten | None:
     out = Rewritten(text)
     if folded:
         out = out.apply([(m.start(), m.end(), FOLD[ord(m.group())]) for m in FOLDED.finditer(text)])
-    low = out.text.lower()
-    bracketed = BRACKET.search(out.text) and BRACKETED.search(out.text)
-    dotted = any(f" {w} " in low for w in DOT_WORDS) and any(f" {w} " in low for w in AT_WORDS)
-    spelled_out = shows_spelled(low)
-    if not (folded or bracketed or dotted or spelled_out):
-        return None
-    if bracketed:
+    if BRACKET.search(out.text):
         out = out.apply([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(out.text)])
-    if dotted:
-        out = out.apply([(w.start() + p.start(), w.start() + p.end(), "@" if p["at"] else ".") for w in WORDED.finditer(out.text) for p in _joints(w.group())])
-    if not spelled_out:
-        return out
-    spelled = []
-    for m in SPELLED.finditer(out.text):
+    low = out.text.lower()
+    ats = ("@", *AT_WORDS) if out.edits else ("@",)  # at words count beside a dot word or an edit only
+    if any(f" {w} " in low for w in (*DOT_WORDS, *ats)):
+        out = out.apply([joint for m in WORDED.finditer(out.text) for joint in _joints(out, m)])
+    if shows_spelled(out.text):
+        out = out.apply(_spelled(out.text))
+    return out if out.edits else None
+
+
+def _joints(out: Rewritten, worded: re.Match) -> list[tuple[int, int, str]]:
+    """The rewritings of an address told in words.
+
+    " at " before a plain host name ("meet at example.com") is ordinary prose; a dot word or a dot from brackets shows a disguise.
+    """
+    parts = [(worded.start() + p.start(), worded.start() + p.end(), p) for p in WORDED_PART.finditer(worded.group())]
+    at = next(i for i, (a, b, p) in enumerate(parts) if p["at"] or out.text[a] == "@") if any(p["at"] for _, _, p in parts) else None
+    after = parts if at is None else parts[at + 1 :]
+    if at is not None and parts[at][2]["at"].strip() != "@" and not any(p["dot"] or out.touched(a, b) for a, b, p in after):
+        return []
+    return [(a, b, "@" if p["at"] else ".") for a, b, p in parts if p["at"] or p["dot"]]
+
+
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """The rewritings of runs with three digit words or more."""
+    edits = []
+    for m in SPELLED.finditer(text):
         parts = list(SPELLED_PART.finditer(m.group()))
         if sum(p["word"] is not None for p in parts) < 3:
             continue
-        a = m.start()
         for p in parts:
+            a, b = m.start() + p.start(), m.start() + p.end()
             if p["plus"]:
-                spelled.append((a + p.start(), a + p.end(), "+"))
+                edits.append((a, b, "+"))
             elif p["word"]:
-                spelled.append((a + p.start(), a + p.end(), DIGIT_WORDS[p["word"].lower()]))
+                edits.append((a, b, DIGIT_WORDS[p["word"].casefold()]))
             elif p["dot"] is not None:
-                spelled.append((a + p.start(), a + p.end(), "."))
+                edits.append((a, b, "."))
             elif p["gap"] is not None:
-                spelled.append((a + p.start(), a + p.end(), ""))
-    return out.apply(spelled)
-
-
-def _joints(worded: str) -> list[re.Match]:
-    """The at and dot joints of a worded address; neighbours share no blank, as a name stands between them."""
-    return list(WORDED_PART.finditer(worded))
+                edits.append((a, b, ""))
+    return edits
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that only the deobfuscated text shows, in source offsets; none overlaps a plain span."""
+    """Spans that only the deobfuscated text shows, in source offsets; none overlaps a plain span or one added before."""
     clear = deobfuscate(text)
-    if clear is None or not clear.edits:
+    if clear is None:
         return []
-    found = []
+    starts = [a for a, _, _ in base]
+    ends = list(accumulate((b for _, _, b in base), max))  # the furthest end so far
+    found, last = [], 0
     for a, kind, b in base_spans(clear.text):
         if clear.touched(a, b):
             sa, sb = clear.source(a, b)
-            if not any(x < sb and sa < y for x, _, y in [*base, *found]):
+            i = bisect_left(starts, sb)
+            if sa >= last and not (i and ends[i - 1] > sa):
                 found.append((sa, kind, sb))
-    return sorted(found)
+                last = sb
+    return found
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
@@ -272,7 +280,10 @@ def personal_data(text: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """A row for each input row; spans in code points of its text, end exclusive."""
+    """A row for each input row; spans in code points of its text, end exclusive.
+
+    A null text is empty and has no spans; null ids and repeated rows stay, no rows give no rows.
+    """
     return texts(docs).withColumn("found", personal_data(F.col("text"))).select("doc_id", "found.*")
 
 

@@ -66,10 +66,11 @@ def render(messages: DataFrame) -> DataFrame:
 
     ``loss_spans``: array of (start, end) in code points of the part's text, end exclusive, of
     the assistants' texts.  Joined by part, the parts' texts are the conversation.  Messages of
-    a part have first_seq div PART in common; equal ones are ordered by message_id, role, text.
+    a part have first_seq div PART in common; equal ones are ordered by role, text, message_id.
+    A conversation becomes one text in the end, so what a task holds is bounded by that text alone.
     """
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit("\n"))
-    rows = messages.select("conv_id", F.floor(F.coalesce("first_seq", F.lit(0)) / PART).cast("long").alias("part"), F.struct("first_seq", "message_id", "role", "text").alias("place"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss"))
+    rows = messages.select("conv_id", F.floor(F.coalesce("first_seq", F.lit(0)) / PART).cast("long").alias("part"), F.struct("first_seq", "role", "text", "message_id").alias("place"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss"))
     rows = rows.withColumn("whole", F.concat("head", "body", F.lit(END)))
     before = F.sum(F.length("whole").cast("long")).over(Window.partitionBy("conv_id", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("start", F.coalesce(before, F.lit(0)) + F.length("head"))
@@ -88,7 +89,7 @@ def read_back(parts: DataFrame) -> DataFrame:
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """Rows of conversations as a log: each row is a message of its own, repeated and tied rows too."""
+    """Rows of conversations as a log: each row is a message of its own, repeated and tied rows too (ties: by role, then text)."""
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     tied = F.row_number().over(Window.partitionBy("conv_id", "seq", "role", "text").orderBy(F.lit(0)))
     same = F.sha2(F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}), 256)

@@ -23,12 +23,12 @@ per_word as (select row, count(*) as n_words, sum(length(word)) as word_chars, c
 lines as (select row, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select row, unnest(string_split(text, chr(10))) as line from docs) where regexp_matches(line, '[^\x20\x09-\x0D]') group by row),
 measured as (
   select d.doc_id, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
-    coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_distinct, 0) as n_distinct, length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as n_letters, length(regexp_replace(text, '[^!]', '', 'g')) as n_bangs
+    coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_distinct, 0) as n_distinct, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) as n_upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as n_letters, length(regexp_replace(text, '[^!]', '', 'g')) as n_bangs
   from docs d left join per_word using (row) left join lines using (row) left join covered using (row)),
 ledger as (
   select *, cast(case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end + case when 10 * n_symbols > n_words and n_words > 0 then 4 else 0 end
     + case when n_lines >= 4 and 2 * n_dup_lines > n_lines then 8 else 0 end + case when n_letters > 0 and 2 * n_upper > n_letters then 16 else 0 end + case when 10 * n_bangs > 3 * n_words and n_words > 0 then 32 else 0 end
-    + case when word_chars < 2 * n_words or word_chars > 14 * n_words then 64 else 0 end + case when n_words >= 50 and 20 * n_distinct < n_words and n_words < 1000 then 128 else 0 end as bigint) as fail_bits from measured)
+    + case when word_chars < 2 * n_words or word_chars > 14 * n_words then 64 else 0 end + case when n_words >= 50 and 2 * n_distinct * n_distinct < 5 * n_words then 128 else 0 end as bigint) as fail_bits from measured)
 """
 
 QUALITY = f"{LEDGER} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 as base_failed, fail_bits = 0 as kept, fail_bits from ledger"

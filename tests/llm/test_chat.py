@@ -62,3 +62,12 @@ def test_long_hot_conversation_and_ties(spark):
 def test_plan_is_native(spark, data):
     plan = QUERIES["op3_chat_format"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_tied_turns_stand_by_role_and_text(spark):
+    rows = [(c, 0, role, f"{x} {c}") for c in range(20) for role, x in (("user", "zebra"), ("user", "apple"), ("assistant", "mango"), ("user", "apple"))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in cf.digests(cf.render(cf.fold_events(cf.conversation_events(frame)))).collect()}
+    for c in range(20):
+        turns = sorted((role, text) for d, _, role, text in rows if d == c)
+        assert got[c].turns_sha256 == sha("".join(f"{role}\n{text}\n" for role, text in turns)) and got[c].n_turns == 4

@@ -3,13 +3,15 @@
 Each document's ids (and the end id) give full windows, which are sequences of their own, and a
 tail shorter than a window.  The tails' length histogram has one entry a length, so it is bounded
 by the window, not by the corpus.  Shallow combinations of lengths that fill a window exactly are
-enumerated (all pairs, and triples with a part on a grid); non-negative least squares finds repeat
-counts whose combined lengths come closest to the histogram; they are rounded down and trimmed
-to what there is.  The tails that are left are laid end to end, longest first, and cut at window
-ends; the last incomplete window is cut in sequences that are powers of two and need no padding.
-
-The plan thus says, for each length, which ranks go where.  It has at most some ten thousand rows
-at any corpus size, and every tail finds its place by (length, rank).
+enumerated (one length some times over and at most two others, all of them lengths that are there); of these
+every g-th is a column, so that at most COLUMNS are.  Non-negative least squares finds repeat counts whose
+combined lengths come closest to the histogram; they are rounded, to 1 at least where they matter, and trimmed to what there is.
+The lengths left are the next round's histogram, until at most LEFT of the tails are left or no combination is.
+Those are packed greedily: windows are filled with the longest first, and what doesn't fit in whole is cut at the
+window's end; the last incomplete window is cut in sequences that are powers of two and need no padding.
+
+The plan thus says, for each length, which ranks go where.  It has at most three rows a column and round
+at any corpus size (some ten thousand in all), and every tail finds its place by (length, rank).
 """
 
 from __future__ import annotations
@@ -27,29 +29,49 @@ from .common import table, texts, written
 from .token_ids import encoder, pack_vocabulary
 
 WINDOW = 2048
-#: Triples have a smallest part that is a multiple of this.
-GRID = 64
-
+#: Columns of a least squares problem, problems, and the share of tails that may be left to greedy packing.
+COLUMNS, PROBLEMS, LEFT = 12_000, 12, 0.05
+#: Repeat counts from which a combination is used at least once, if its lengths are still there.
+LEAST_USE = 0.05
 
-def combinations(window: int, grid: int) -> np.ndarray:
-    """Columns of lengths that add up to the window; a pair has 0 as its third length."""
-    pairs = [(a, window - a, 0) for a in range(1, window // 2 + 1)]
-    triples = [(c, a, window - a - c) for c in range(grid, window // 3 + 1, grid) for a in range(c, (window - c) // 2 + 1)]
-    return np.array(pairs + triples, dtype=np.int64)
 
+def combinations(present: np.ndarray, most: int = COLUMNS, turn: int = 0) -> tuple[np.ndarray, int]:
+    """Rows (v, m, a, b) with m * v + a + b = window, 0 for none; every g-th of all of them, and g.
 
-def nnls(columns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+    ``present``: whether there are tails of each length below the window.
+    """
+    window = len(present)
+    lengths = np.nonzero(present)[0]
+    lengths = lengths[lengths > 0]
+    others, usable = np.append(0, lengths), np.append(present, False)
+    usable[0] = True
+    found = [np.zeros((0, 4), dtype=np.int64)]
+    for m in range(1, window + 1):
+        v = lengths[lengths * m <= window]
+        if not len(v):
+            break
+        b = window - m * v[:, None] - others[None, :]
+        i, j = np.nonzero((b >= others[None, :]) & usable[np.clip(b, 0, window)])
+        found.append(np.stack([v[i], np.full(len(i), m), others[j], b[i, j]], axis=1))
+    every = np.concatenate(found)
+    g = max(1, -(-len(every) // most))
+    return every[turn % g :: g], g
+
+
+def nnls(columns: np.ndarray, histogram: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - histogram|^2; accelerated projected gradient.
 
     A has a column for each combination, with how often it takes each length.
     """
-    used = columns > 0
+    v, m, a, b = columns.T
+    size = np.sqrt(m * m + (a > 0) + (b > 0))  # columns are scaled to one length, which evens the steps
+    uses = [(v, m / size), (a, (a > 0) / size), (b, (b > 0) / size)]
 
     def apply(x: np.ndarray) -> np.ndarray:
-        return np.bincount(columns.ravel(), weights=(x[:, None] * used).ravel(), minlength=len(histogram))
+        return sum(np.bincount(at, weights=n * x, minlength=len(histogram)) for at, n in uses)
 
     def back(r: np.ndarray) -> np.ndarray:
-        return (r[columns] * used).sum(axis=1)
+        return sum(r[at] * n for at, n in uses)
 
     probe = np.ones(len(columns))
     for _ in range(20):  # the largest eigenvalue of A'A
@@ -63,37 +85,46 @@ def nnls(columns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.nd
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
-    return x
+    return x / size
 
 
-def plan(histogram: np.ndarray, window: int = WINDOW, grid: int = GRID) -> tuple[pd.DataFrame, pd.DataFrame, int, int]:
+def plan(histogram: np.ndarray, window: int = WINDOW, columns: int = COLUMNS) -> tuple[pd.DataFrame, pd.DataFrame, int, int]:
     """Where tails go: combination rows, stream rows, the number of sequences that combinations take, and the stream's length.
 
     Combination rows: of ``len``, ranks from ``lo`` to below ``hi`` go, ``each`` to a sequence, to
     sequences from ``first`` on, the k-th at ``offset + k * len``.  Stream rows: of ``len``, ranks
     from ``lo`` on lie in the stream from ``at`` on.
     """
-    columns = combinations(window, grid)
     left = histogram.astype(np.int64).copy()
     left[0] = 0
     taken = np.zeros_like(left)
-    rows, first = [], 0
-    if left.sum():
-        x = nnls(columns, left.astype(float))
-        for c in np.argsort(-x, kind="stable"):
-            need = Counter(int(v) for v in columns[c] if v)
-            times = min([int(x[c] + 0.5), *(int(left[v]) // k for v, k in need.items())])
-            if x[c] < 0.5:
+    rows, first, enough = [], 0, LEFT * left.sum()
+    for turn in range(PROBLEMS):
+        before = left.sum()
+        if before <= enough:
+            break
+        found, g = combinations(left > 0, columns, turn)
+        if not len(found):
+            break
+        x = nnls(found, left.astype(float))
+        for c in np.argsort(-x, kind="stable").tolist():
+            if x[c] < LEAST_USE:
                 break
+            v, m, a, b = found[c].tolist()
+            need = Counter({v: m})
+            need.update(n for n in (a, b) if n)
+            times = min([max(1, int(x[c] + 0.5)), *(int(left[n]) // k for n, k in need.items())])
             if times <= 0:
                 continue
             offset = 0
-            for v, k in sorted(need.items(), reverse=True):
-                rows.append((v, int(taken[v]), int(taken[v]) + times * k, k, first, offset))
-                taken[v] += times * k
-                left[v] -= times * k
-                offset += v * k
+            for n, k in sorted(need.items(), reverse=True):
+                rows.append((n, int(taken[n]), int(taken[n]) + times * k, k, first, offset))
+                taken[n] += times * k
+                left[n] -= times * k
+                offset += n * k
             first += times
+        if g == 1 and left.sum() == before:
+            break
     stream, at = [], 0
     for v in range(window - 1, 0, -1):
         if left[v]:
@@ -130,7 +161,7 @@ def tokenised(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: in
     return written(rows.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "tokenised")
 
 
-def pieces(tokens: DataFrame, window: int = WINDOW, grid: int = GRID) -> DataFrame:
+def pieces(tokens: DataFrame, window: int = WINDOW, columns: int = COLUMNS) -> DataFrame:
     """doc_id, pos, doc_tokens, start, length, sequence_id, offset, crc (null where the tail is cut) of every piece."""
     spark = tokens.sparkSession
     rows = tokens.select("doc_id", "pos", "part", F.col("n_ids").alias("doc_tokens"), "full_crc", "tail_len", "tail_rank", "tail_crc")
@@ -139,13 +170,13 @@ def pieces(tokens: DataFrame, window: int = WINDOW, grid: int = GRID) -> DataFra
     histogram = np.zeros(window, dtype=np.int64)
     for r in counts.groupBy("tail_len").agg(F.sum("n").alias("n")).collect():  # a row for each length
         histogram[r.tail_len] = r.n
-    combos, stream, n_combo, n_stream = plan(histogram, window, grid)
+    combos, stream, n_combo, n_stream = plan(histogram, window, columns)
     combo_plan = F.broadcast(spark.createDataFrame(combos, "len long, lo long, hi long, each long, first long, offset long"))
     stream_plan = F.broadcast(spark.createDataFrame(stream, "len long, lo long, at long"))  # at most a row for each length
 
     # full windows: numbered by part, after the sequences of tails
     wholes = rows.withColumn("full", F.size("full_crc").cast("long"))
-    per_part = wholes.groupBy("part").agg(F.sum("full").alias("n"))
+    per_part = wholes.groupBy("part").agg(F.sum("full").alias("n"))  # a row for each written partition, so one task numbers them
     part_first = per_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_first"))
     stream_full = n_stream // window
     rest = n_stream - stream_full * window
@@ -193,13 +224,13 @@ def with_crc(found: DataFrame, tokens: DataFrame, window: int = WINDOW) -> DataF
     return known.unionByName(cut)
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, grid: int = GRID) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, columns: int = COLUMNS) -> DataFrame:
     """Every piece of every row: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Rows with equal or null doc_id are packed each on its own.  No rows give no pieces.
+    A null text is empty, and has the end id alone.  Rows with equal or null doc_id are packed each on its own.  No rows give no pieces.
     """
     tokens = tokenised(docs, vocabulary, window)
-    return with_crc(pieces(tokens, window, grid), tokens, window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return with_crc(pieces(tokens, window, columns), tokens, window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

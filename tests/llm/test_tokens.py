@@ -122,7 +122,7 @@ def test_plan_covers_each_tail_once():
     for top in (1, 5, 400):
         histogram = rng.integers(0, top + 1, 128)
         histogram[0] = 0
-        combos, stream, n, length = packing.plan(histogram, 128, 8)
+        combos, stream, n, length = packing.plan(histogram, 128, 500)
         for v in range(1, 128):
             spans = sorted((r.lo, r.hi) for r in combos[combos["len"] == v].itertuples())
             tail = stream[stream["len"] == v]
@@ -132,6 +132,21 @@ def test_plan_covers_each_tail_once():
         assert length + 128 * n == int((histogram * np.arange(128)).sum())
 
 
+def test_combinations_fill_the_window_and_few_tails_are_left():
+    rng = np.random.default_rng(2)
+    have = rng.random(200) < 0.3
+    got, g = packing.combinations(have, 10**9)
+    assert g == 1 and (got[:, 1] * got[:, 0] + got[:, 2] + got[:, 3] == 200).all() and have[got[:, 0]].all()
+    assert all(have[x] or x == 0 for x in got[:, 2:].ravel()) and (got[:, 2] <= got[:, 3]).all()
+    lengths = [x for x in range(1, 200) if have[x]]
+    want = {(v, m, a, 200 - m * v - a) for v in lengths for m in range(1, 201) for a in [0, *lengths] if a <= 200 - m * v - a and (200 - m * v - a in lengths or 200 - m * v - a == 0)}
+    assert set(map(tuple, got.tolist())) == want
+    for n in (2_000, 200_000):
+        tails = np.clip(rng.lognormal(6.3, 0.8, n).astype(int), 1, 2047)
+        combos, _, _, _ = packing.plan(np.bincount(tails, minlength=2048))
+        assert (combos.hi - combos.lo).sum() >= 0.85 * n and len(combos) < 40_000
+
+
 def test_odd_rows(spark, odd, nothing, bpe):
     counts = token_count.count_tokens(odd, PIECES).collect()
     assert len(counts) == 12 and sorted(r.n_tokens for r in counts)[:3] == [0, 0, 0]

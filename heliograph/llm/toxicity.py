@@ -1,8 +1,12 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  Sentence s has probability p(s) = sigmoid(bias + sum of its
-words' weights); the document's score is the noisy-or 1 - prod(1 - p(s)).  Only document labels
-train it, and the trained sentence scores then locate the offending sentences.
+A document is a bag of sentences.  A sentence s with a word that has a weight has probability p(s) =
+sigmoid(bias + sum of its words' weights); the document's score is the noisy-or 1 - prod(1 - p(s)) over these.
+Only document labels train it, and the trained sentence scores then locate the offending sentences.
+
+Sentences without a weighted word say nothing, and those under FLOOR are taken as clean, so a text's score doesn't
+grow with its length: joining texts that each score under FLOOR gives one that does.  A text without any
+sentence over FLOOR scores as its likeliest sentence, one without weighted words sigmoid(bias).
 
 A word's weight is the sum over its features: the whole word and its prefixes of 3 to 8 letters,
 so that inflected forms of a stem share what is learnt.
@@ -18,13 +22,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold, small_batches, table, texts, written
 
 #: Labelled rows that the classifier is fitted on, at most (those of smallest hash).
 MAX_TRAIN_DOCS = 12_000
+#: Characters of these rows, at most: later rows (by hash) are left out.  What goes to the driver is less than that.
+MAX_TRAIN_CHARS = 100_000_000
+#: Probability under which a sentence is taken as clean, and how much a clean training row weighs against a toxic one.
+FLOOR, CLEAN_WEIGHT = 0.05, 3.0
 #: Features kept from the training rows, at most.
 MAX_FEATURES = 400
 #: Share of the toxic training rows that a feature stands in at least (and 3 rows), and its least log odds.
@@ -68,20 +76,19 @@ class SentenceModel:
         return spans, np.array([self.bias + sum(map(self.word, WORD.findall(low, a, b))) for a, b in spans])
 
     def judge(self, text: str, threshold: float = 0.5) -> tuple[float, list[dict]]:
-        """The document's score, and the sentences at or over the threshold.
-
-        A text without words scores as one sentence without words.
-        """
+        """The document's score, and the sentences at or over the threshold."""
         low, openings = lowered(text), self.openings
+        p = np.zeros(0)
         if any(self.word(w) for w in WORD.findall(low) if w[:3] in openings):
             spans, z = self.sentence_logits(text)
-        else:  # no word weighs anything: only the number of sentences counts
-            pieces = low.replace("!", ".").replace("?", ".").replace("\n", ".").split(".")
-            spans, z = [], np.full(sum(1 for p in pieces if WORD.search(p)), self.bias)
-        z = z if len(z) else np.array([self.bias])
-        cut = math.log(threshold / (1 - threshold))
-        found = [{"start": a, "end": b, "score": float(1 / (1 + math.exp(-x)))} for (a, b), x in zip(spans, z, strict=False) if x >= cut]
-        return float(-np.expm1(-np.logaddexp(0.0, z).sum())), found
+            told = z > self.bias
+            spans, p = [s for s, t in zip(spans, told.tolist(), strict=True) if t], 1 / (1 + np.exp(-z[told]))
+        if not len(p):
+            return 1 / (1 + math.exp(-self.bias)), []
+        found = [{"start": a, "end": b, "score": float(x)} for (a, b), x in zip(spans, p, strict=True) if x >= threshold]
+        if p.max() < FLOOR:
+            return float(p.max()), found
+        return float(-np.expm1(np.log1p(-np.minimum(p[p >= FLOOR], 1 - 1e-15)).sum())), found
 
     def score(self, text: str) -> float:
         return self.judge(text)[0]
@@ -136,24 +143,26 @@ def encode(sample: DataFrame, chosen: dict[str, int]) -> list:
 
 
 def train(rows: list, chosen: dict[str, int], rounds: int = 250, ridge: float = 1e-4) -> SentenceModel:
-    """Gradient ascent on the noisy-or likelihood; weights stay at or above 0."""
+    """Gradient ascent on the noisy-or likelihood over sentences with a chosen feature; weights stay at or above 0."""
     if not chosen:
         share = sum(r.toxic for r in rows) / len(rows)
         return SentenceModel(math.log(share / (1 - share)), {})
     rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.n))
-    sizes = np.array([r.n for r in rows], dtype=np.int64)
-    first = np.cumsum(sizes) - sizes
-    sent = np.concatenate([first[d] + np.array(r.sentence, dtype=np.int64) for d, r in enumerate(rows)])
+    doc = np.repeat(np.arange(len(rows)), [len(r.feature) for r in rows])
     col = np.concatenate([np.array(r.feature, dtype=np.int64) for r in rows])
-    y, n = np.array([r.toxic for r in rows], dtype=float), int(sizes.sum())
-    w, bias = np.zeros(len(chosen)), -math.log(1 + n / max(1.0, y.sum()))
+    place = np.stack([doc, np.concatenate([np.array(r.sentence, dtype=np.int64) for r in rows])], axis=1)
+    bags, sent = np.unique(place, axis=0, return_inverse=True)
+    bag, n = bags[:, 0], len(bags)
+    y = np.array([r.toxic for r in rows], dtype=float)
+    weigh = np.where(y > 0, 1.0, CLEAN_WEIGHT)
+    w, bias = np.zeros(len(chosen)), -3.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, rounds + 1):
         z = bias + np.bincount(sent, weights=w[col], minlength=n)
-        none = np.exp(-np.add.reduceat(np.logaddexp(0.0, z), first))
+        none = np.exp(-np.bincount(bag, weights=np.logaddexp(0.0, z), minlength=len(rows)))
         # d likelihood / d z(s): for label 1 p(s) none / (1 - none), for label 0 -p(s)
-        up = np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0)
-        slope = np.repeat(up, sizes) / (1 + np.exp(-z))
+        up = weigh * np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0)
+        slope = up[bag] / (1 + np.exp(-z))
         g = np.append(np.bincount(col, weights=slope[sent], minlength=len(chosen)) / len(rows) - ridge * w, slope.sum() / len(rows))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -161,18 +170,28 @@ def train(rows: list, chosen: dict[str, int], rounds: int = 250, ridge: float =
     return SentenceModel(float(bias), {f: float(w[i]) for f, i in chosen.items() if w[i] > 1e-3})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> SentenceModel:
+def bounded(sample: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
+    """The rows of smallest hash, at most so many and of so many characters; only keys and lengths are ordered."""
+    keyed = sample.withColumn("key", F.xxhash64("text"))
+    order = (F.xxhash64("doc_id"), "doc_id", "key")
+    first = keyed.select("doc_id", "key", F.length("text").cast("long").alias("chars")).orderBy(*order).limit(max_docs)
+    drawn = first.withColumn("sum", F.sum("chars").over(Window.orderBy(*order))).where(F.col("sum") <= max_chars).select("doc_id", "key")
+    return keyed.join(F.broadcast(drawn), ["doc_id", "key"]).drop("key")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_train_chars: int = MAX_TRAIN_CHARS) -> SentenceModel:
     """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
     At most ``max_train_docs`` labels, those of smallest hash, are broadcast to the documents
-    (a bounded table).  Labels without a document, null labels and null ids are left out; of
+    (a bounded table), and at most as many rows and ``max_train_chars`` characters are fitted on.  Labels without a document, null labels and null ids are left out; of
     several labels for a document the largest counts.  Without labels of both kinds the model
     has no words, and its bias is the share of toxic labels.
     """
     drawn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     drawn = drawn.where(crc_fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
-    sample = written(texts(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").distinct(), "toxicity-sample")
+    sample = written(texts(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").distinct(), "toxicity-labelled")
+    sample = written(bounded(sample, max_train_docs, max_train_chars), "toxicity-sample")
     chosen, pos, neg = tally(sample)
     if not pos or not neg:
         share = (pos + 0.5) / (pos + neg + 1)
@@ -181,7 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
 
 
 def score_documents(docs: DataFrame, model: SentenceModel, locate: bool = False) -> DataFrame:
-    """row (a struct of the input's columns), score and, if asked for, offending (array of start, end, score)."""
+    """row (a struct of the input's columns), score and, if asked for, offending (array of start, end, score).
+
+    A null text is empty and scores sigmoid(bias); null ids and repeated rows stay, no rows give no rows.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     kind = "score double, offending array<struct<start:long,end:long,score:double>>"
@@ -199,7 +221,7 @@ def score_documents(docs: DataFrame, model: SentenceModel, locate: bool = False)
 def toxicity(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending sentences' spans of every row.
 
-    Null and empty texts score as one sentence without words.  Repeated rows get equal scores.
+    Null and empty texts score as texts without weighted words.  Repeated rows get equal scores.
     Without labels of both kinds every text gets the share of toxic labels.
     """
     rows = score_documents(texts(docs), fit(docs, labels, max_train_docs), locate=True)

@@ -216,11 +216,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
 
 
+def test_a_long_text_of_clean_sentences_stays_clean(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").select("text").collect() if model.score(r.text or "") < 0.5]
+    text = next(r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").collect() if model.offending(r.text or ""))
+    worst = max(model.offending(text), key=lambda o: o["score"])
+    spans, whole = 0, []
+    while spans < 10_000:
+        for t in clean:
+            if spans < 10_000 and t:
+                spans += len(toxicity.sentences(t))
+                whole.append(t)
+    half = len(whole) // 2
+    assert model.score("\n".join(whole)) < 0.5
+    mixed = "\n".join([*whole[:half], text[worst["start"] : worst["end"]], *whole[half:]])
+    assert model.score(mixed) >= 0.5 and any(mixed[o["start"] : o["end"]].strip() == text[worst["start"] : worst["end"]].strip() for o in model.offending(mixed))
+    joined = "\n".join(t for t in clean if t and model.score(t) < toxicity.FLOOR)
+    assert model.score(joined) < toxicity.FLOOR
+
+
+def test_the_sample_is_bounded_in_rows_and_characters(spark):
+    rows = spark.createDataFrame([(i, f"{i} " + "x" * 100 * (i % 7), i % 2) for i in range(200)], "doc_id long, text string, toxic int")
+    got = toxicity.bounded(rows, 50, 10_000).collect()
+    assert 10 < len(got) <= 50 and sum(len(r.text) for r in got) <= 10_000
+    assert toxicity.bounded(rows, 500, 10**9).count() == 200
+
+
 def test_offending_sentences_are_located():
     model = toxicity.SentenceModel(-6.0, {"idiot": 12.0, "^mor": 9.0})
     text = "All is well here.\nYou idiot go away! Fine again. Some morons came."
     assert [text[o["start"] : o["end"]].strip() for o in model.offending(text)] == ["You idiot go away!", "Some morons came."]
     assert model.score(text) > 0.9 > 0.1 > model.score("All is well here. Fine.") and model.score("") == pytest.approx(1 / (1 + 2.718281828**6), rel=1e-6)
+    assert model.score("Fine. " * 100_000) == model.score("")
     assert model.score("İ idiot.") > 0.9
 
 

@@ -141,10 +141,11 @@ def test_combinations_fill_the_window_and_few_tails_are_left():
     lengths = [x for x in range(1, 200) if have[x]]
     want = {(v, m, a, 200 - m * v - a) for v in lengths for m in range(1, 201) for a in [0, *lengths] if a <= 200 - m * v - a and (200 - m * v - a in lengths or 200 - m * v - a == 0)}
     assert set(map(tuple, got.tolist())) == want
-    for n in (2_000, 200_000):
+    for n, share in ((2_000, 0.7), (200_000, 0.9)):
         tails = np.clip(rng.lognormal(6.3, 0.8, n).astype(int), 1, 2047)
+        tails = tails[tails < 2047]
         combos, _, _, _ = packing.plan(np.bincount(tails, minlength=2048))
-        assert (combos.hi - combos.lo).sum() >= 0.85 * n and len(combos) < 40_000
+        assert (combos.hi - combos.lo).sum() >= share * len(tails) and len(combos) < 40_000
 
 
 def test_odd_rows(spark, odd, nothing, bpe):

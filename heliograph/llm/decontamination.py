@@ -2,13 +2,14 @@
 
 1. The test items' word 3-grams are looked up in every document.  Hits of one item that lie within
    an item's length of each other open a passage, with an item's length of words on either side.
-2. A passage goes on with two seeds (or all an item has), however often these stand in other documents.
-   It is left out only if the words that it shares with the item, repeats counted, are too few for the
-   threshold: an alignment matches no more words than that, so no passage is lost.
+2. Every passage goes on, however often its seeds stand in other documents or items: a cut at frequent seeds would
+   lose copies that many documents quote with the same edit.  It is left out only if the words that it shares with the
+   item, repeats counted, are too few for the threshold: an alignment matches no more words than that, so none is lost.
 3. Smith-Waterman aligns the words of passage and item: +2 for a match, -1 for a mismatch or gap.
    The score is the best alignment's share of what the whole item would reach.
 
-The benchmark goes over the documents in blocks of a bounded size, whatever its own size.
+So a copy is found if one 3-gram of it is intact.  A benchmark of more than BLOCK_CHARS characters goes over
+the documents in blocks of that size, after one scan that keeps the documents with a 3-gram of any item.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ MATCH, MISS, GAP = 2, -1, 1
 THRESHOLD = 0.5
 #: Characters of benchmark text that are broadcast at a time.
 BLOCK_CHARS = 8_000_000
+#: Hashes of 3-grams that are broadcast at a time (8 bytes each).
+SEEDS = 8_000_000
+#: Words whose hashes a worker remembers.
+REMEMBER = 200_000
 
 
 def words_of(text: str) -> list[str]:
@@ -48,10 +53,9 @@ class SeedIndex:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         where = defaultdict(list)
         self.size = np.int64(len(self.vocabulary) + 1)
-        self.n_seeds, self.counts = [], [Counter(words) for _, words in self.items]
+        self.counts = [Counter(words) for _, words in self.items]
         for k, (_, words) in enumerate(self.items):
             codes = self.codes(np.array([self.vocabulary[w] for w in words], dtype=np.int64))
-            self.n_seeds.append(len(set(codes.tolist())))
             for at, code in enumerate(codes.tolist()):
                 where[code].append((k, at))
         self.sorted = np.array(sorted(where), dtype=np.int64)
@@ -65,7 +69,7 @@ class SeedIndex:
         return np.where((a >= 0) & (b >= 0) & (c >= 0), (a * self.size + b) * self.size + c, -1)
 
     def passages(self, text: str, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, list[str]]]:
-        """(item's place, first word, words) of every passage with two seeds, or all an item has, that may reach the threshold."""
+        """(item's place, first word, words) of every passage with a seed that may reach the threshold."""
         words = words_of(text)
         ids = np.fromiter((self.vocabulary.get(w, -1) for w in words), dtype=np.int64, count=len(words))
         codes = self.codes(ids)
@@ -77,19 +81,18 @@ class SeedIndex:
         hits = defaultdict(list)
         for spot, seed in zip(spots[good].tolist(), at[good].tolist(), strict=True):
             for item in {k for k, _ in self.where[seed]}:
-                hits[item].append((spot, seed))
+                hits[item].append(spot)
         for item, found in hits.items():
             m = len(self.items[item][1])
             region = [found[0]]
             for hit in [*found[1:], None]:
-                if hit is not None and hit[0] - region[-1][0] <= m:
+                if hit is not None and hit - region[-1] <= m:
                     region.append(hit)
                     continue
-                if len({s for _, s in region}) >= min(2, self.n_seeds[item]):
-                    first, end = max(0, region[0][0] - m), min(len(words), region[-1][0] + N + m)
-                    shared = (Counter(words[first:end]) & self.counts[item]).total()
-                    if shared / m >= threshold:
-                        yield item, first, words[first:end]
+                first, end, own = max(0, region[0] - m), min(len(words), region[-1] + N + m), self.counts[item]
+                shared = (Counter(w for w in words[first:end] if w in own) & own).total()
+                if shared / m >= threshold:
+                    yield item, first, words[first:end]
                 region = [hit]
 
 
@@ -122,6 +125,52 @@ def align(passage: list[str], item: list[str]) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end
 
 
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > REMEMBER:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def gram_hashes(text: str, known: WordHashes) -> np.ndarray:
+    """A 64-bit number for each 3-gram of words."""
+    h = np.array([known[w] for w in words_of(text)], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + (h[2:] ^ (h[2:] >> np.uint64(29))) if len(h) >= N else h[:0]
+
+
+def holding(docs: DataFrame, items: DataFrame, most: int = SEEDS) -> DataFrame:
+    """The documents with a 3-gram of any item, in one scan for each ``most`` different 3-grams."""
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            yield pd.DataFrame({"h": np.unique(np.concatenate([gram_hashes(t, known) for t in batch["text"]] or [np.zeros(0, dtype=np.uint64)])).astype(np.int64)})
+
+    seeds = written(items.mapInPandas(grams, "h long").distinct(), "seeds")
+    n = -(-seeds.count() // most) or 1
+    kept = []
+    for k in range(n):
+        part = np.sort(seeds.where(F.pmod(F.xxhash64("h"), F.lit(n)) == k).toPandas()["h"].to_numpy().astype(np.uint64))
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        @F.pandas_udf("boolean")
+        def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known, own = WordHashes(), shared.value  # noqa: B023
+            for batch in batches:
+                out = []
+                for text in batch:
+                    h = gram_hashes(text, known)
+                    out.append(bool(len(own) and (own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h).any()))
+                yield pd.Series(out, dtype=bool)
+
+        kept.append(docs.where(held("text")))
+    return written(kept[0] if n == 1 else reduce(DataFrame.unionByName, kept).distinct(), "holding")
+
+
 def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items)
@@ -154,14 +203,17 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> D
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), item_id, score, first_word, end_word of the best passage for each document and item that reach the threshold.
 
-    Null texts are empty.  Items of under three words have no seeds and match nothing; a repeated
-    item id is several items of that id.  Rows equal in doc_id and text give one row for an item.
+    Null texts are empty; an empty table or benchmark gives no rows.  Items of under three words have no seeds and match
+    nothing; a repeated item id is several items of that id.  Rows equal in doc_id and text give one row for an item.
     """
     spark = docs.sparkSession
     rows = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     chars = items.agg(F.sum(F.length("text"))).head()[0] or 0
     n = -(-chars // block_chars) or 1
+    if n > 1:
+        items = written(items, "items")
+        rows = holding(rows, items)
     found = []
     for b in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()

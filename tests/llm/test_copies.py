@@ -207,6 +207,25 @@ def test_exact_leaks_of_the_given_documents(spark, data, documents):
                 assert (d.doc_id, i) in got
 
 
+def test_against_alignment_of_every_document_with_every_item(spark, data, documents):
+    rng = random.Random(19)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    rows = [(d.doc_id, d.text or "") for d in documents.collect() if len(d.text or "") < 20_000]
+    for k, (_, text) in enumerate(bench):  # copies with up to 35 % of the words exchanged
+        rows.append((10_000 + k, " ".join([*sentence_words(rng, 15), *edited(text.split(), rng, 0.05 * (k % 8)), *sentence_words(rng, 15)])))
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = {}
+    for d, text in rows:
+        words = decontamination.words_of(text)
+        for i, item in bench:
+            own = decontamination.words_of(item)
+            score = decontamination.smith_waterman(words, own)[0] / (2 * len(own))
+            if score >= 0.5:
+                want[d, i] = score
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and len(want) > 20
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
 def test_leaks_that_many_documents_repeat_with_one_edit(spark):
     rng = random.Random(17)
     words = sentence_words(rng, 45)

@@ -13,7 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, shortens the pointers until they
     name roots, and goes on with the links between roots; that at least halves the nodes that
-    still have links.  Every round's tables are checkpointed.
+    still have links.  Every round's tables are checkpointed, and hold two numbers a node; a large component's members
+    meet its root in inner joins, whose uneven partitions AQE splits.
     """
     shared_dir(links.sparkSession)
     both = links.where("a <> b").select("a", "b").distinct().checkpoint()

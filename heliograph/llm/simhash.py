@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts, written
+from .common import join_counted, table, texts, written
 from .components import connected_components
 
 SEED = 42
@@ -107,21 +107,21 @@ def links_within(prints: DataFrame, radius: int = 2, bucket: int = BUCKET) -> Da
 
 
 def link(marked: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """(fp, component_id): for each fingerprint the smallest doc_id that links of at most ``radius`` bits reach.
+    """(fp, component_id, n): for each fingerprint the smallest doc_id that links of at most ``radius`` bits reach, and its rows.
 
     Null ids count as the largest; they name a component only if it has no other id (then null).
     """
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).checkpoint()
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).checkpoint()
     named = connected_components(links_within(nodes.select("fp"), radius, bucket))
     grouped = nodes.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, "component").select("fp", "component_id")
+    return grouped.join(least, "component").select("fp", "component_id", "n")
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp and component_id of every row; null texts are empty, repeated rows stay."""
+    """doc_id, fp and component_id of every row; null texts are empty, repeated rows stay, an empty table gives no rows."""
     marked = texts(docs).select("doc_id", fingerprint(F.col("text"), words).alias("fp")).checkpoint()
-    return marked.join(link(marked, radius, bucket), "fp").select("doc_id", "fp", "component_id")
+    return join_counted(marked, link(marked, radius, bucket).checkpoint(), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 BITS = 1024
 #: Coordinates of which the strongest makes a code of a block.
 GROUP = 64
-ROTATIONS = 5
+ROTATIONS = 6
 #: Codes (of 7 bits) in a block, at every number of documents: more would lose pairs.
 CODES = 3
 #: Shingles under which documents that meet are compared whatever their fingerprints.
@@ -208,14 +208,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     nodes that share a bucket end in one component if they are similar.  Pairs within the limit of Hamming
     distance of their 1024-bit fingerprints (or of few shingles) are decided by their whole shingle sets.  Blocks take
     the sign and place of the strongest of 64 rotated coordinates, which small edits seldom change, three codes to a
-    block and 26 blocks at every number of documents.  Of a group the row of smallest
+    block and 32 blocks at every number of documents.  Of a group the row of smallest
     doc_id stays (then smallest text_key); null ids come last.  Documents without words are one group.
     """
     rows = texts(docs).withColumn("text_key", F.xxhash64("text"))
     limit = hamming_limit(similarity)
     marked = written(rows.mapInPandas(_marks(words, similarity), "doc_id long, text_key long, shape binary, fp binary, keys array<long>, size long"), "marks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    shapes = marked.groupBy("shape").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    shapes = marked.groupBy("shape").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.count("*").alias("n"))
     nodes = written(shapes.withColumn("node", F.xxhash64("shape")), "nodes")
     blocks = nodes.select("node", F.explode("keys").alias("key"))
     heads = blocks.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
@@ -226,10 +226,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     near = _similar(likely, nodes, rows, words, similarity)
     rest = _similar(_left_over(blocks, heads, sides, connected_components(near), limit, similarity), nodes, rows, words, similarity)
     names = connected_components(near.unionByName(rest))
-    grouped = nodes.select("node", "shape", "place").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = nodes.select("node", "shape", "place", "n").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = grouped.groupBy("component").agg(F.min("place").alias("best"))
-    chosen = grouped.join(best, "component").select("shape", "best")
-    return marked.join(chosen, "shape").select("doc_id", "text_key", place.eqNullSafe(F.col("best")).alias("keep"))
+    chosen = written(grouped.join(best, "component").select("shape", "best", "n"), "chosen")
+    return join_counted(marked, chosen, ["shape"]).select("doc_id", "text_key", place.eqNullSafe(F.col("best")).alias("keep"))
 
 
 def _likely(limit: int, similarity: float):

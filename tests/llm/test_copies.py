@@ -162,10 +162,40 @@ def test_blocks_hold_their_share_of_pairs(spark):
     rng = np.random.default_rng(31)
     shared, own = rng.choice([-1.0, 1.0], (300, 1024)) * (rng.random((300, 1024)) < 0.35), lambda: rng.choice([-1.0, 1.0], (300, 1024)) * (rng.random((300, 1024)) < 0.03)
     keys = [simhash.wide_fingerprints((shared + own()).astype(np.float32))[1] for _ in range(2)]
-    assert keys[0].shape == (300, 26) and (keys[0] == keys[1]).any(axis=1).mean() > 0.95
+    assert keys[0].shape == (300, 32) and (keys[0] == keys[1]).any(axis=1).mean() > 0.95
     assert not hasattr(simhash, "codes_for")  # nothing changes them with the number of documents
 
 
+def sketch(shingles):
+    at, signs = (shingles & np.uint64(1023)).astype(np.int64), (shingles >> np.uint64(20) & np.uint64(1)) * 2.0 - 1.0
+    return np.bincount(at, weights=signs, minlength=1024).astype(np.float32)
+
+
+@pytest.mark.parametrize("size", [100, 400])
+def test_pairs_near_the_threshold_share_a_block(size):
+    rng = np.random.default_rng(37)
+    met = []
+    for k in range(600):  # Jaccard 0.80 to 0.85
+        shared = round(size * (0.80 + 0.05 * k / 600))
+        both, a, b = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (shared, (size - shared) // 2, size - shared - (size - shared) // 2))
+        met.append((sketch(np.concatenate([both, a])), sketch(np.concatenate([both, b]))))
+    keys = [simhash.wide_fingerprints(np.stack(side))[1] for side in zip(*met, strict=True)]
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.93
+
+
+def test_hot_fingerprints_are_joined_like_others(spark, monkeypatch):
+    from heliograph.llm import common
+
+    rng = random.Random(43)
+    rows = [(d, "the same text in a third of all rows" if d % 3 == 0 else " ".join(sentence_words(rng, 30))) for d in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    keep = {r.doc_id for r in simhash.near_duplicates(docs).where("keep").collect()}
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == want
+    assert {r.doc_id for r in simhash.near_duplicates(docs).where("keep").collect()} == keep == {0} | {d for d, _ in rows if d % 3}
+
+
 def test_smith_waterman_against_plain_programming():
     rng = random.Random(3)
     for _ in range(200):

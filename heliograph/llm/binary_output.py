@@ -147,11 +147,19 @@ def read_range(shard_rows: DataFrame, first: int, end: int, length: int = 2048)
     return read_slots(near, length).where(F.col("slot").between(first, end - 1))
 
 
-def materialise(docs: DataFrame, vocabulary: str, key: str = "epoch-0", length: int = 2048, per_shard: int = 512) -> tuple[DataFrame, DataFrame]:
-    """The ledger (doc_id, seq_no, n_ids, slot of each sequence) and the written shards."""
+def materialise(docs: DataFrame, vocabulary: str, key: str = "epoch-0", length: int = 2048, per_shard: int = 512, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ledger (doc_id, seq_no, slot of each sequence) and the written shards.
+
+    ``path``: where shards stay (none: in the shared folder), as Parquet rows of one binary value each.  A null text is empty and gives
+    the end id alone; null ids and repeated rows have sequences of their own.  No rows give no sequences and no shards.
+    """
     rows, total = numbered(sequences(docs, vocabulary, length))
     slotted = rows.withColumn("slot", feistel_slot(F.col("number"), total, key))
-    return slotted.select("doc_id", "seq_no", "slot"), written(shards(slotted, total, length, per_shard), "shards", "zstd")
+    made = shards(slotted, total, length, per_shard)
+    if path is None:
+        return slotted.select("doc_id", "seq_no", "slot"), written(made, "shards", "zstd")
+    made.write.parquet(path, compression="zstd")
+    return slotted.select("doc_id", "seq_no", "slot"), docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,27 @@ def test_training_order_round_trip(spark, documents, bpe):
     assert order != sorted(order)
 
 
+def test_training_order_query_against_brute_force(spark, data, documents, bpe):
+    rows = QUERIES["op4_training_order"](spark, data).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    got, want = {(r.doc_id, r.seq_no): r for r in rows}, {}
+    for d in documents.collect():
+        ids = bpe(d.text or "") + [1]
+        for n, at in enumerate(range(0, len(ids), 2048)):
+            want[d.doc_id, n] = np.array(ids[at : at + 2048], dtype="<u2")
+    assert set(got) == set(want) and len(got) == len(rows)
+    for place, ids in want.items():
+        r = got[place]
+        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+        assert (r.shard, r.byte_offset) == (r.slot // 512, r.slot % 512 * 4100)
+
+
+def test_shards_stay_at_a_given_path(spark, documents, tmp_path):
+    at = str(tmp_path / "shards")
+    _, shards = binary_output.materialise(documents.limit(20), BPE, length=100, per_shard=8, path=at)
+    assert binary_output.read_slots(spark.read.parquet(at), 100).count() == shards.agg({"n_slots": "sum"}).head()[0] > 0
+
+
 def check_packing(rows, texts, bpe):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:

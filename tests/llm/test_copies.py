@@ -410,3 +410,36 @@ def test_pipeline_stages(spark, data, odd):
     for name, stage in cp.STAGES:
         assert stage(spark, odd, data).count() >= 1, name
         stage(spark, odd.limit(0), data).count()
+
+
+def test_pipeline_against_brute_force(spark, data, documents):
+    import corpus_pipeline as cp
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from heliograph.llm import toxicity
+
+    model = toxicity.fit(documents, spark.read.parquet(f"{data}/labels.parquet"))
+    rows = [(d.doc_id, d.text or "") for d in documents.collect()]
+    rows = [(d, t) for d, t in rows if model.score(t) < 0.5]
+    lines = brute_lines(rows)
+    rows = sorted((d, lines[d]) for d, t in rows if lines[d] == t or lines[d].split())
+
+    def shingles(text):
+        w = tuple("".join(c.lower() if "A" <= c <= "Z" else c for c in text).split())
+        return {w[i : i + 5] for i in range(len(w) - 4)} or {w}
+
+    sets, first = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for k in range(i):
+            if first[i] != first[k] and len(a & sets[k]) >= 0.8 * len(a | sets[k]):
+                low, high = sorted((first[i], first[k]))
+                first = [low if f == high else f for f in first]
+    rows = [r for i, r in enumerate(rows) if first[i] == i]
+    bench = [decontamination.words_of(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    rows = [(d, t) for d, t in rows if not any(2 * decontamination.smith_waterman(decontamination.words_of(t), b)[0] >= 2 * len(b) for b in bench)]
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    bpe.encode_special_tokens = True
+    want = {d: len(bpe.encode(t, add_special_tokens=False).ids) + 1 for d, t in rows}
+    got = cp.run(spark, data).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == want and sum(r.length for r in got) == sum(want.values())

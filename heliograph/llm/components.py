@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 
+#: Rows of a partition of the tables that a round writes; most link sets are small beside the documents.
+ROWS = 20_000
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that occurs in ``links`` (a, b).
 
@@ -18,18 +22,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     shared_dir(links.sparkSession)
     both = links.where("a <> b").select("a", "b").distinct().checkpoint()
-    names = both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("component")).checkpoint()
+    parts = 1 + both.count() // ROWS
+    kept = lambda df: df.coalesce(parts).checkpoint()
+    names = kept(both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("component")))
     while not both.isEmpty():
         turned = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = turned.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")).checkpoint()
+        up = kept(turned.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
         while True:  # pointers only fall, so they reach roots
             top = up.select(F.col("node").alias("up"), F.col("up").alias("higher"))
-            new = up.join(top, "up").select("node", F.col("higher").alias("up"), (F.col("higher") != F.col("up")).alias("moved")).checkpoint()
+            new = kept(up.join(top, "up").select("node", F.col("higher").alias("up"), (F.col("higher") != F.col("up")).alias("moved")))
             moved = not new.where("moved").isEmpty()
             up = new.select("node", "up")
             if not moved:
                 break
-        names = names.join(up.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component")).checkpoint()
+        names = kept(names.join(up.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
         a = both.join(up.select(F.col("node").alias("a"), F.col("up").alias("root_a")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("root_b")), "b")
-        both = a.where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct().checkpoint()
+        both = kept(a.where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
     return names

@@ -174,8 +174,8 @@ def _marks(words: int, similarity: float):
         import xxhash
 
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
+            for at in range(0, len(batch), 128):
+                part = batch.iloc[at : at + 128]
                 sketches = np.zeros((len(part), BITS), dtype=np.float32)
                 sizes, shapes, sets = [], [], {}
                 for i, text in enumerate(part["text"]):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,19 @@ def interval_times(duration: Column, step: Column) -> Column:
 
     Times are the running sum of steps, not multiples: the sum's drift may give one more time.
     """
-    most = F.greatest(F.ceil(duration / step), F.lit(0)).cast("int") + 1
-    folded = F.aggregate(F.sequence(F.lit(1), most), F.array(F.lit(0.0)), lambda acc, _: F.concat(acc, F.array(F.element_at(acc, -1) + step)))
-    even = F.transform(F.sequence(F.lit(0), most), lambda i: i * step)
-    summed = F.when(step * 1024 == F.floor(step * 1024), even).otherwise(folded)  # sums of such steps are exact, so multiples are the same
-    below = F.filter(summed, lambda t: t < duration)
-    return F.transform(below, lambda t: F.least(t, duration - 0.1))
+
+    @F.pandas_udf("array<double>")
+    def times(durations: pd.Series, steps: pd.Series) -> pd.Series:
+        out = []
+        for d, s in zip(durations, steps, strict=True):
+            if pd.isna(d) or pd.isna(s) or s <= 0:
+                out.append(None)
+                continue
+            t = np.concatenate(([0.0], np.cumsum(np.full(max(0, int(np.ceil(d / s))) + 1, s))))  # one after the other, as a loop would
+            out.append(np.minimum(t[t < d], d - 0.1))
+        return pd.Series(out)
+
+    return times(duration.cast("double"), step.cast("double"))
 
 
 def scene_times(starts: Column, ends: Column, duration: Column) -> Column:
@@ -42,6 +51,11 @@ def scene_candidates(start: Column, end: Column, n: Column) -> Column:
     return F.when(n == 1, F.array(start + length / 2.0)).when(n == 2, F.array(start + length * 0.1, start + length * 0.9)).otherwise(parts)
 
 
+def candidate_count(n: Column, multiplier: Column, sharpest: Column, has_scenes: Column) -> Column:
+    """Frames to extract of a scene: n, or multiplier times as many where the sharpest of them is to be chosen."""
+    return F.when(sharpest & has_scenes, n * multiplier).otherwise(n)
+
+
 def sorted_unique(times: Column) -> Column:
     return F.array_sort(F.array_distinct(times))
 

@@ -36,3 +36,10 @@ def scene_tag_score(scene_cosine: Column, best_frame_cosine: Column, gate: float
     t = F.exp(F.least(F.lit(log_temperature), F.lit(2.65)))
     mixed = g * scene_cosine * t + (F.lit(1.0) - g) * best_frame_cosine * t
     return F.lit(1.0) / (F.exp(-mixed) + 1.0)
+
+
+def with_mean_bias(vector: Column, biases: Column) -> Column:
+    """The vector plus the element-wise mean of the bias vectors, normalised; without biases it is only normalised."""
+    n = F.size(biases)
+    total = F.aggregate(biases, F.transform(vector, lambda x: x * 0.0), lambda s, b: F.zip_with(s, b, lambda x, y: x + y))
+    return l2_normalise(F.when(n > 0, F.zip_with(vector, total, lambda x, y: x + y / n)).otherwise(vector))

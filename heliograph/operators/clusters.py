@@ -73,8 +73,10 @@ def best_matches(queries: DataFrame, candidates: DataFrame, key: str, threshold:
 def match_truth(truth: DataFrame, found: DataFrame, frame: list[str], overlap) -> DataFrame:
     """n_truth, n_found, n_matched, precision, recall, f1; overlap is the Column condition of a match."""
     met = truth.join(found, frame).where(overlap)
-    matched = met.select("truth_id").distinct().count()
-    n_truth, n_found = truth.count(), found.count()
-    precision, recall = (matched / n_found if n_found else 0.0), (matched / n_truth if n_truth else 0.0)
-    f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-    return truth.sparkSession.createDataFrame([(n_truth, n_found, matched, precision, recall, f1)], "n_truth long, n_found long, n_matched long, precision double, recall double, f1 double")
+    told = lambda rows, kind: rows.select(F.lit(kind).alias("kind"))
+    every = told(truth, "truth").unionByName(told(found, "found")).unionByName(told(met.select("truth_id").distinct(), "met"))
+    counts = every.agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in (("truth", "n_truth"), ("found", "n_found"), ("met", "n_matched"))))
+    share = lambda n: F.when(F.col(n) > 0, F.col("n_matched") / F.col(n)).otherwise(0.0)
+    rated = counts.withColumns({"precision": share("n_found"), "recall": share("n_truth")})
+    both = F.col("precision") + F.col("recall")
+    return rated.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))

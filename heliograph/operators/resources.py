@@ -70,9 +70,18 @@ def next_state(state: Column, event: Column) -> Column:
     return F.coalesce(table[F.concat_ws(":", state, event)], state)
 
 
-def idle_sessions(uses: DataFrame, key: str, time: str, gap: str = "300 seconds") -> DataFrame:
-    """Spans of use; a model unloads when no use falls within the gap."""
-    return uses.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_uses")).select(key, F.col("w.start").alias("loaded_at"), F.col("w.end").alias("unloaded_at"), "n_uses")
+def release_service(leases: DataFrame, requests: DataFrame, device: str, service: str, order: list[str], total_mb: float) -> DataFrame:
+    """The queue after a service's leases are released: requests with position, wait and whether they are granted from what is then free."""
+    held = leases.groupBy(device).agg(F.sum(F.when(F.col("service") == service, 0.0).otherwise(F.col("vram_mb"))).alias("held_mb"))
+    placed = queue_positions(requests, device, order).join(held, device, "left")
+    free = F.greatest(F.lit(0.0), F.lit(total_mb) - F.coalesce("held_mb", F.lit(0.0)))
+    return grants(placed, device, order, free)
+
+
+def idle_sessions(uses: DataFrame, key: str, time: str, gap: str = "300 seconds", busy: Column | None = None) -> DataFrame:
+    """Spans of use; a model unloads when no use falls within the gap. busy: seconds that a use keeps the model busy, before the gap counts."""
+    whole = gap if busy is None else F.concat((busy + int(gap.split()[0])).cast("string"), F.lit(" seconds"))
+    return uses.groupBy(key, F.session_window(time, whole).alias("w")).agg(F.count("*").alias("n_uses")).select(key, F.col("w.start").alias("loaded_at"), F.col("w.end").alias("unloaded_at"), "n_uses")
 
 
 def queue_stats(jobs: DataFrame, worker: str) -> DataFrame:

@@ -26,3 +26,17 @@ def best_similarities(rows: DataFrame, tags: DataFrame, keys: list[str], vector:
         met = rows.join(F.broadcast(some)).select(*keys, vector, F.explode("tags").alias("tag"))
         parts.append(met.groupBy(*keys, F.col("tag.tag_id").alias("tag_id")).agg(F.max(cosine(F.col(vector), F.col("tag.t"))).alias("best")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def best_tags(rows: DataFrame, tags: DataFrame, vector: str = "embedding", decimals: int = 9, block: int = BLOCK) -> DataFrame:
+    """rows with ``best_tag`` (of highest cosine, rounded; the smallest tag_id on ties) and ``best_score``.
+
+    A row meets each bounded block of the vocabulary as one array and keeps its best; rows and pairs aren't shuffled.
+    """
+    n = max(1, -(-tags.count() // block))
+    found = rows
+    for b in range(n):
+        some = tags.where(F.pmod(F.xxhash64("tag_id"), F.lit(n)) == b).agg(F.collect_list(F.struct("tag_id", "t")).alias("__tags"))
+        each = F.array_max(F.transform("__tags", lambda t: F.struct(F.round(cosine(F.col(vector), t["t"]), decimals).alias("s"), (-t["tag_id"]).alias("o"))))
+        found = found.join(F.broadcast(some)).withColumn("__best", F.greatest(each, F.col("__best")) if b else each).drop("__tags")
+    return found.withColumns({"best_tag": -F.col("__best.o"), "best_score": F.col("__best.s")}).drop("__best")

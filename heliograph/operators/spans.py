@@ -17,6 +17,24 @@ def islands(rows: DataFrame, key: str, order: list[str], starts: Column) -> Data
     return rows.withColumn("__start", (first | F.coalesce(starts, F.lit(False))).cast("int")).withColumn("island", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("__start")
 
 
+def cuts(rows: DataFrame, key: str, order: list[str], score: str, time: str, method: str = "content", threshold: float = 27.0, least: float = 0.6, near: int = 2) -> DataFrame:
+    """Rows with ``cut``: whether a shot starts here, by given frame scores.
+
+    content: the score reaches the threshold; threshold: it rises to it from below; adaptive: it is so many times the mean of
+    the ``near`` frames on either side. A cut closer than ``least`` seconds to the one before it doesn't count.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    s, before = F.col(score), F.lag(score).over(w)
+    around = F.sum(score).over(w.rowsBetween(-near, near)) - s
+    beside = F.count(score).over(w.rowsBetween(-near, near)) - 1
+    if method not in ("content", "threshold", "adaptive"):
+        raise ValueError(f"unknown detection method: {method}")
+    meant = {"content": s >= threshold, "threshold": (s >= threshold) & (before < threshold), "adaptive": (beside > 0) & (s * beside >= threshold * around)}[method]
+    marked = rows.withColumn("__cut", F.coalesce(meant, F.lit(False)))
+    last = F.last(F.when(F.col("__cut"), F.col(time)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return marked.withColumn("__last", last).withColumn("cut", F.col("__cut") & (F.col("__last").isNull() | (F.col(time) - F.col("__last") >= least))).drop("__cut", "__last")
+
+
 def scenes_of(rows: DataFrame, key: str, time: str) -> DataFrame:
     """key, scene, start, end, duration, n_frames of islands."""
     found = rows.groupBy(key, F.col("island").alias("scene")).agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n_frames"))

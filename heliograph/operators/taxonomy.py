@@ -1,7 +1,8 @@
 """Tag taxonomies as node and edge tables: paths, enrichment, roots, closures.
 
-Recursion runs level by level as joins on the edge table; every level is a DataFrame, and the depth is
-capped, so a cycle ends.
+Recursion runs level by level as joins on the edge table; every level is a checkpointed DataFrame. It ends when a
+level brings nothing new, however deep the taxonomy: closures leave out what they have reached before, and
+paths never enter a tag that they hold already, so a cycle ends too.
 """
 
 from __future__ import annotations
@@ -11,33 +12,40 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 16
+from ..session import checkpoint_folder
 
 
-def levels(start: DataFrame, step, depth: int = DEPTH) -> DataFrame:
-    """Union of start and what step gives of each level, until a level is empty or the depth is reached."""
-    found, level = [start], start
-    for _ in range(depth):
+def levels(start: DataFrame, step, new_by: list[str] | None = None, depth: int | None = None) -> DataFrame:
+    """Union of start and what step gives of each level, until a level is empty or the depth is reached.
+
+    new_by: columns of which only combinations that no earlier level had go on.
+    """
+    checkpoint_folder(start.sparkSession)
+    level = start.checkpoint()
+    found = [level]
+    while depth is None or len(found) <= depth:
         level = step(level)
-        level = level.checkpoint() if level.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else level.persist()
+        if new_by:
+            level = level.join(reduce(DataFrame.unionByName, found).select(*new_by), new_by, "left_anti").select(*start.columns)
+        level = level.checkpoint()
         if level.isEmpty():
             break
         found.append(level)
     return reduce(DataFrame.unionByName, found)
 
 
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, node, depth) reachable downward over any parent, roots included; the smallest depth counts."""
-    start = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
+    start = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
     step = lambda x: x.join(edges, x["node"] == edges["parent_id"]).select("root", F.col("child_id").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-    return levels(start, step, depth).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    return levels(start, step, ["root", "node"], depth)
 
 
-def ancestors(edges: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ancestors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, ancestor) over the given edges (primary ones for the decoder's closure), the node itself left out."""
-    start = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor"))
+    start = nodes.select(F.col("id").alias("node"), F.col("id").alias("ancestor")).distinct()
     step = lambda x: x.join(edges, x["ancestor"] == edges["child_id"]).select("node", F.col("parent_id").alias("ancestor")).distinct()
-    return levels(start, step, depth).where("node <> ancestor").distinct()
+    return levels(start, step, ["node", "ancestor"]).where("node <> ancestor")
 
 
 def root_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,19 +64,24 @@ def within(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:
 
 def family(edges: DataFrame, heads: DataFrame) -> DataFrame:
     """Members within two levels of each head."""
-    return descendants(edges, heads, 2)
+    return descendants(edges, heads, depth=2)
 
 
-def paths(nodes: DataFrame, edges: DataFrame, root_id: str, depth: int = DEPTH) -> DataFrame:
+def paths(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:
     """(id, path, ords): every name path from the root to a parent of the node; the root's name is in, the node's not.
 
     ords are the parents' places from the node upward and order a node's paths as a walk of its parents would.
     """
     named = nodes.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
     up = edges.join(named, "parent_id")
-    start = nodes.where(F.col("id") == root_id).select(F.col("id").alias("at"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("ords"))
-    step = lambda x: x.join(up, x["at"] == up["parent_id"]).select(F.col("child_id").alias("at"), F.concat("path", F.array("parent_name")).alias("path"), F.concat(F.array(F.col("ord").cast("int")), F.col("ords")).alias("ords"))
-    return levels(start, step, depth).select(F.col("at").alias("id"), "path", "ords").where(F.col("id") != root_id)
+    empty = F.array().cast("array<string>")
+    start = nodes.where(F.col("id") == root_id).select(F.col("id").alias("at"), empty.alias("path"), F.array().cast("array<int>").alias("ords"), empty.alias("over"))
+
+    def step(x: DataFrame) -> DataFrame:
+        met = x.join(up, (x["at"] == up["parent_id"]) & (x["at"] != up["child_id"]) & ~F.array_contains(x["over"], up["child_id"]))
+        return met.select(F.col("child_id").alias("at"), F.concat("path", F.array("parent_name")).alias("path"), F.concat(F.array(F.col("ord").cast("int")), F.col("ords")).alias("ords"), F.concat("over", F.array("at")).alias("over"))
+
+    return levels(start, step).select(F.col("at").alias("id"), "path", "ords").where(F.col("id") != root_id)
 
 
 def enrich(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:

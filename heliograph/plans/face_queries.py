@@ -8,7 +8,7 @@ from ..functions import intervals as iv
 from ..functions import quality as q
 from ..functions import vectors as v
 from ..operators import clusters
-from ..operators.scores import best_similarities
+from ..operators.scores import best_similarities, best_tags
 from .base import query, table
 
 # Faces: a line item's numbers scaled to pixels, degrees and probabilities.
@@ -197,8 +197,7 @@ def scene_tag_scores(spark, sf_dir):
 select vec_id, arg_max(tag_id, struct_pack(s := round({COS.format(a='v', b='t')}, 9), o := -tag_id)) as nearest from e cross join tags group by vec_id""")
 def nearest_label(spark, sf_dir):
     names = tag_vectors(spark, sf_dir).select(F.col("label").alias("tag_id"), F.col("tag").alias("t"))
-    both = best_similarities(table(spark, sf_dir, "embeddings"), names, ["vec_id"]).withColumn("s", F.round("best", 9))
-    return both.groupBy("vec_id").agg(F.max_by("tag_id", F.struct("s", -F.col("tag_id"))).alias("nearest"))
+    return best_tags(table(spark, sf_dir, "embeddings"), names).select("vec_id", F.col("best_tag").alias("nearest"))
 
 
 @query("longest_path_vector", f"""with {E_SQL}
@@ -208,10 +207,16 @@ def longest_path_vector(spark, sf_dir):
     return e.groupBy("label").agg(F.max_by("vec_id", F.struct("n", -F.col("vec_id"))).alias("vec_id"))
 
 
-@query("mean_bias", f"""with {TAGS_SQL}
-select tag_id, round(list_sum(t), 6) as total, len(t) as dims from tags""")
+@query("mean_bias", f"""with {TAGS_SQL}, placed as (select tag_id, unnest(t) as x, generate_subscripts(t, 1) as i from tags),
+bias as (select a.tag_id, b.i, avg(b.x) as x from tags a join placed b on b.tag_id % 4 = a.tag_id % 4 group by 1, 2),
+added as (select tag_id, list(p.x + b.x order by i) as v from placed p join bias b using (tag_id, i) group by tag_id)
+select tag_id, round(list_sum(v) / sqrt(list_dot_product(v, v)), 6) as total, len(v) as dims from added""")
 def mean_bias(spark, sf_dir):
-    return tag_vectors(spark, sf_dir).select(F.col("label").alias("tag_id"), F.round(F.aggregate("tag", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("tag").cast("long").alias("dims"))
+    tags = tag_vectors(spark, sf_dir)  # a tag's families: the tags of its number modulo 4
+    families = tags.select((F.col("label") % 4).alias("family"), F.col("tag").alias("bias"))
+    biases = tags.withColumn("family", F.col("label") % 4).join(families, "family").groupBy("label").agg(F.first("tag").alias("tag"), F.collect_list("bias").alias("biases"))
+    biased = biases.select("label", v.with_mean_bias(F.col("tag"), F.col("biases")).alias("tag"))
+    return biased.select(F.col("label").alias("tag_id"), F.round(F.aggregate("tag", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("tag").cast("long").alias("dims"))
 
 
 def clustered(spark, sf_dir):

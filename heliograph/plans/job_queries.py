@@ -168,8 +168,8 @@ select (select count(*) from ((select distinct user_id from events where event_t
   and (select count(*) from ((select distinct user_id from events where event_type = 'view') except (select distinct user_id from events where event_type = 'click'))) = 0 as same""")
 def tag_set_equality(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    a, b = (e.where(F.col("event_type") == t).groupBy(F.lit(1).alias("g")).agg(F.array_sort(F.collect_set("user_id")).alias(t)) for t in ("click", "view"))
-    return a.join(b, "g", "full").select(F.coalesce(F.col("click").eqNullSafe(F.col("view")), F.lit(True)).alias("same"))
+    a, b = (e.where(F.col("event_type") == t).select("user_id") for t in ("click", "view"))
+    return stores.set_difference(a, b).select("same")
 
 
 @query("name_to_id_last_wins", """
@@ -207,31 +207,31 @@ def latest_averages(spark, sf_dir):
     return resources.latest_averages(m, ["user_id"], ["event_id"], ["value"], ["total_mb"], samples=30).select("user_id", "total_mb", "n_samples")
 
 
-LEASES_SQL = "leases as (select event_id as lease_id, event_type as device, cast(floor(value) as double) as vram_mb from events where event_id % 10 = 0)"
+LEASES_SQL = "leases as (select event_id as lease_id, event_type as device, cast(floor(value) as double) as vram_mb from events)"
 
 
 def leases(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("lease_id"), F.col("event_type").alias("device"), F.floor("value").cast("double").alias("vram_mb"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("lease_id"), F.col("event_type").alias("device"), F.floor("value").cast("double").alias("vram_mb"))
 
 
 @query("lease_available", f"""with {LEASES_SQL}
-select device, sum(vram_mb) as leased_mb, sum(vram_mb) + 75 as allocated_mb, greatest(0, 30000 - sum(vram_mb)) as available_mb from leases group by device""")
+select device, sum(vram_mb) as leased_mb, sum(vram_mb) + 75 as allocated_mb, greatest(0, 3e9 - sum(vram_mb)) as available_mb from leases group by device""")
 def lease_available(spark, sf_dir):
-    return resources.available(leases(spark, sf_dir), "device", 30000.0, 75.0)
+    return resources.available(leases(spark, sf_dir), "device", 3e9, 75.0)
 
 
 @query("vram_segments", f"""with {LEASES_SQL}, used as (select device, sum(vram_mb) as u from leases group by device)
-select device, segment, mb, round(mb * 100 / 60000.0, 6) as percent from (
-  select device, cast(lease_id as varchar) as segment, vram_mb as mb from leases union all select device, 'unaccounted', 75.0 from used union all select device, 'free', greatest(0, 60000 - u - 75) from used)""")
+select device, segment, mb, round(mb * 100 / 6e7, 6) as percent from (
+  select device, cast(lease_id as varchar) as segment, vram_mb as mb from leases union all select device, 'unaccounted', 75.0 from used union all select device, 'free', greatest(0, 6e7 - u - 75) from used)""")
 def vram_segments(spark, sf_dir):
-    return resources.segments(leases(spark, sf_dir), "device", 60000.0, 75.0).withColumn("percent", F.round("percent", 6))
+    return resources.segments(leases(spark, sf_dir), "device", 6e7, 75.0).withColumn("percent", F.round("percent", 6))
 
 
-REQUESTS_SQL = "requests as (select event_id as request_id, event_type as device, event_id % 5 as priority, epoch_us(ts) as asked, cast(floor(value) as double) as vram_mb from events where event_id % 10 = 3)"
+REQUESTS_SQL = "requests as (select event_id as request_id, event_type as device, event_id % 5 as priority, epoch_us(ts) as asked, cast(floor(value) as double) as vram_mb from events)"
 
 
 def requests(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id % 10 = 3").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("device"), (F.col("event_id") % 5).alias("priority"), F.unix_micros("ts").alias("at"), F.floor("value").cast("double").alias("vram_mb"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("device"), (F.col("event_id") % 5).alias("priority"), F.unix_micros("ts").alias("at"), F.floor("value").cast("double").alias("vram_mb"))
 
 
 @query("queue_grant", f"""with {REQUESTS_SQL}, ranked as (
@@ -278,7 +278,26 @@ def idle_sessions(spark, sf_dir):
     return found.select("user_id", F.unix_micros("loaded_at").alias("loaded_us"), F.unix_micros("unloaded_at").alias("unloaded_us"), "n_uses")
 
 
-@query("release_service_leases", f"""with {LEASES_SQL}
-select device, sum(vram_mb) as leased_mb from leases where device <> 'click' group by device""")
+# A service is an event type; on each of twenty devices views wait for what the others hold.
+RELEASED_SQL = """held as (select user_id % 20 as device, event_type as service, cast(floor(value) as double) as vram_mb from events where event_type <> 'view'),
+free as (select device, greatest(0.0, 20000 - sum(case when service = 'click' then 0 else vram_mb end)) as mb from held group by device),
+placed as (select event_id as request_id, user_id % 20 as device, row_number() over w as position, sum(cast(floor(value) as double)) over (w rows unbounded preceding) as so_far
+  from events where event_type = 'view' window w as (partition by user_id % 20 order by event_id % 5, epoch_us(ts), event_id))"""
+
+
+@query("release_service_leases", f"""with {RELEASED_SQL}
+select request_id, p.device, position, so_far <= coalesce(mb, 20000) as granted from placed p left join free using (device)""")
 def release_service_leases(spark, sf_dir):
-    return resources.available(leases(spark, sf_dir).where("device <> 'click'"), "device", 30000.0).select("device", "leased_mb")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 20).alias("device"), F.col("event_type").alias("service"), (F.col("event_id") % 5).alias("priority"), F.unix_micros("ts").alias("at"), F.floor("value").cast("double").alias("vram_mb"))
+    asked = resources.release_service(e.where("service <> 'view'"), e.where("service = 'view'"), "device", "click", ["priority", "at", "request_id"], 20000.0)
+    return asked.select("request_id", "device", F.col("position").cast("long").alias("position"), "granted")
+
+
+@query("idle_unless_busy", """
+select user_id, min(s) as loaded_us, max(e) as unloaded_us, count(*) as n_uses from (
+  select *, sum(new) over (partition by user_id order by s, event_id rows unbounded preceding) as sess from (
+    select *, case when s < max(e) over (partition by user_id order by s, event_id rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from (
+      select user_id, event_id, epoch_us(ts) as s, epoch_us(ts) + (3600 + event_id % 7 * 600) * 1000000 as e from events))) group by user_id, sess""")
+def idle_unless_busy(spark, sf_dir):
+    found = resources.idle_sessions(table(spark, sf_dir, "events"), "user_id", "ts", "3600 seconds", busy=F.col("event_id") % 7 * 600)
+    return found.select("user_id", F.unix_micros("loaded_at").alias("loaded_us"), F.unix_micros("unloaded_at").alias("unloaded_us"), "n_uses")

@@ -106,10 +106,11 @@ def nearest_frame(spark, sf_dir):
 
 
 @query("sample_timestamps", """
-select o_orderkey as video, i as place, round(least(i * 2.0, d - 0.1), 6) as t from (select o_orderkey, floor(o_totalprice) / 10000 as d from orders), (select unnest(range(1000)) as i) where i * 2.0 < d""")
+with recursive steps(step, i, t) as (select unnest([2.0::double, 0.1::double]), 0, 0.0::double union all select step, i + 1, t + step from steps where i < 2000)
+select video, cast(i as bigint) as place, round(least(t, d - 0.1), 6) as t from (select o_orderkey as video, floor(o_totalprice) / 10000 as d, case when o_orderkey % 40 = 1 then 0.1 else 2.0 end::double as own from orders) join steps on step = own and t < d""")
 def sample_timestamps(spark, sf_dir):
-    videos = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), (F.floor("o_totalprice") / 10000).alias("d"))
-    times = videos.select("video", F.posexplode(iv.interval_times(F.col("d"), F.lit(2.0))).alias("place", "t"))
+    videos = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), (F.floor("o_totalprice") / 10000).alias("d"), F.when(F.col("o_orderkey") % 40 == 1, 0.1).otherwise(2.0).alias("step"))
+    times = videos.select("video", F.posexplode(iv.interval_times(F.col("d"), F.col("step"))).alias("place", "t"))
     return times.select("video", F.col("place").cast("long").alias("place"), F.round("t", 6).alias("t"))
 
 
@@ -199,3 +200,22 @@ def extraction_success(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     ok, enhanced = F.count_if(F.col("event_type") != "error") / F.count("*"), F.sum(F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 4))
     return e.groupBy(F.col("user_id").alias("job_id")).agg(F.round(ok, 6).alias("success_ratio"), enhanced.alias("n_enhanced"))
+
+
+@query("shot_boundaries", f"""with {FRAMES_SQL}, near as (
+  select *, lag(score) over w as before, sum(score) over (w rows between 2 preceding and 2 following) - score as around, count(*) over (w rows between 2 preceding and 2 following) - 1 as beside from frames window w as (partition by job_id order by t, frame_index)),
+marked as (select job_id, frame_index, t, method, case method when 'content' then score >= 100 when 'threshold' then score >= 100 and before < 100 else beside > 0 and score * beside >= 4 * around end as hit
+  from near cross join (select unnest(['content', 'threshold', 'adaptive']) as method)),
+cuts as (select *, t - lag(t) over (partition by method, job_id order by t, frame_index) as gap from marked where hit)
+select method, job_id, count(*) as n_cuts, cast(sum(frame_index) as bigint) as frames from cuts where gap is null or gap >= 7200 group by method, job_id""")
+def shot_boundaries(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    found = [spans.cuts(f, "job_id", ["t", "frame_index"], "score", "t", m, limit, 7200.0).where("cut").withColumn("method", F.lit(m)) for m, limit in (("content", 100.0), ("threshold", 100.0), ("adaptive", 4.0))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("method", "job_id").agg(F.count("*").alias("n_cuts"), F.sum("frame_index").alias("frames"))
+
+
+@query("candidate_count", """
+select o_orderkey, case when o_orderkey % 2 = 0 and o_custkey % 3 > 0 then (o_orderkey % 5 + 1) * 3 else o_orderkey % 5 + 1 end as n_frames from orders""")
+def candidate_count(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select("o_orderkey", iv.candidate_count(k % 5 + 1, F.lit(3), k % 2 == 0, F.col("o_custkey") % 3 > 0).alias("n_frames"))

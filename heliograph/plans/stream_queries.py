@@ -15,34 +15,43 @@ def event_stream(spark, sf_dir):
     return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
 
+QUEUE_SQL = """
+select 'q' || user_id % 16 as queue, count(*) filter (where event_type not in ('click', 'error', 'signup')) as n_submit, count(*) filter (where event_type = 'click') as n_acquire, count(*) filter (where event_type = 'signup') as n_release,
+  count(*) filter (where event_type = 'error') as n_recover, max(event_id) filter (where event_type not in ('click', 'error', 'signup')) as last_submit, max(event_id) filter (where event_type = 'click') as last_acquire from events group by 1"""
+LEASE_SQL = """
+select *, beat + 600 as expires from (select 'gpu' || user_id % 16 as device, user_id % 50 as lease_id, cast(floor(arg_max(value, event_id) filter (where event_type = 'view')) as double) as mb,
+  cast(max(event_id * 5) filter (where event_type not in ('error', 'signup')) as double) as beat,
+  coalesce(max(event_id) filter (where event_type = 'error') > max(event_id) filter (where event_type not in ('error', 'signup')), false) as released, count(*) as n_events from events group by 1, 2)"""
+
+
 def queue_events(e):
     kind = F.when(F.col("event_type") == "click", "acquire").when(F.col("event_type") == "error", "recover").when(F.col("event_type") == "signup", "release").otherwise("submit")
-    return e.select(F.concat(F.lit("q"), (F.col("user_id") % 16).cast("string")).alias("queue"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").alias("job_id"))
+    return e.select(F.concat(F.lit("q"), (F.col("user_id") % 16).cast("string")).alias("queue"), F.col("event_id").alias("seq"), kind.alias("kind"))
 
 
 def lease_events(e):
     kind = F.when(F.col("event_type") == "view", "request").when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "error", "release_all").when(F.col("event_type") == "signup", "measure").otherwise("busy")
-    return e.select(F.concat(F.lit("gpu"), (F.col("user_id") % 16).cast("string")).alias("device"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("user_id") % 50).alias("lease_id"), F.floor("value").cast("double").alias("mb"), (F.col("event_id") % 3).alias("priority"), (F.col("event_id") * 5).cast("double").alias("at"), (F.col("event_id") % 4).cast("string").alias("service"))
+    return e.select(F.concat(F.lit("gpu"), (F.col("user_id") % 16).cast("string")).alias("device"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("user_id") % 50).alias("lease_id"), F.floor("value").cast("double").alias("mb"), (F.col("event_id") * 5).cast("double").alias("at"))
 
 
-@query("stream_job_queue")
+@query("stream_job_queue", QUEUE_SQL)
 def stream_job_queue(spark, sf_dir):
-    return streams.run_once(streams.stream_fold(queue_events(event_stream(spark, sf_dir)), "queue"), shared_folder(spark, "stream-queue"))
+    return streams.run_once(streams.queue_progress(queue_events(event_stream(spark, sf_dir))), shared_folder(spark, "stream-queue"), "complete")
 
 
-@query("replay_job_queue")
+@query("replay_job_queue", QUEUE_SQL)
 def replay_job_queue(spark, sf_dir):
-    return streams.replay_fold(queue_events(table(spark, sf_dir, "events")), "queue")
+    return streams.queue_progress(queue_events(table(spark, sf_dir, "events")))
 
 
-@query("stream_leases")
+@query("stream_leases", LEASE_SQL)
 def stream_leases(spark, sf_dir):
-    return streams.run_once(streams.stream_fold(lease_events(event_stream(spark, sf_dir)), "device"), shared_folder(spark, "stream-leases"))
+    return streams.run_once(streams.lease_states(lease_events(event_stream(spark, sf_dir))), shared_folder(spark, "stream-leases"), "complete")
 
 
-@query("replay_leases")
+@query("replay_leases", LEASE_SQL)
 def replay_leases(spark, sf_dir):
-    return streams.replay_fold(lease_events(table(spark, sf_dir, "events")), "device")
+    return streams.lease_states(lease_events(table(spark, sf_dir, "events")))
 
 
 @query("stream_job_lifecycle", """

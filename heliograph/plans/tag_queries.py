@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decode, taxonomy
+from ..sources.taxonomy import nodes_and_edges
 from .base import query, table
 
 # Tags: a root, regions, nations, customers; every 10th customer has a second parent, the next region.
@@ -50,7 +51,7 @@ tags as (select n.id, n.name, array_to_string(b.path, ' > ') as path_string, coa
 
 def tags(spark, sf_dir):
     nodes, edges = tree(spark, sf_dir)
-    return taxonomy.enrich(nodes, edges, "root").where("id <> 'root'")
+    return taxonomy.enrich(nodes, edges, "root").where("id <> 'root'").checkpoint()  # read by several steps of a query
 
 
 @query("tag_enrich", f"""{TAGS_SQL} select id, name, path_string, cast(depth as integer) as depth, cast(path_count as integer) as path_count, parent_id, is_leaf from tags""")
@@ -105,24 +106,28 @@ def ancestor_closure(spark, sf_dir):
 
 @query("adjacency_merge", f"""with {TREE_SQL} select parent_id, count(distinct child_id) as n_children from edges group by parent_id""")
 def adjacency_merge(spark, sf_dir):
-    _, edges = tree(spark, sf_dir)
-    return edges.union(edges).dropDuplicates(["child_id", "parent_id"]).groupBy("parent_id").agg(F.count("*").alias("n_children"))
+    # each tag tells its first parents, and each parent all its children: most edges are told twice
+    nodes, edges = tree(spark, sf_dir)
+    other = lambda own, far: edges.groupBy(F.col(own).alias("id")).agg(F.collect_list(F.struct(F.col(far).alias("id"), F.lit("").alias("name"))).alias("told"))
+    parents, children = other("child_id", "parent_id").withColumnRenamed("told", "parents"), other("parent_id", "child_id").withColumnRenamed("told", "children")
+    tags = nodes.join(parents, "id", "left").join(children, "id", "left").withColumns({"parents": F.slice("parents", 1, 1), "description": F.lit(""), "aliases": F.array().cast("array<string>")})
+    return nodes_and_edges(tags)[1].groupBy("parent_id").agg(F.count("*").alias("n_children"))
 
 
-# Scores: a scene for each event type; an event scores a customer, its nation and its region.
+# Scores: twenty scenes for each event type; an event scores a customer, a nation and a region, some of them too low to open their children.
 SCORE_SQL = """scores as (
   select scene, tag_id, max(score) as score from (
-    select event_type as scene, 'c' || (event_id % (select count(*) from customer) + 1) as tag_id, floor(value * 2) / 1000 as score from events
-    union all select event_type, 'n' || (event_id % 25), floor(value * 2) / 1000 - 0.2 from events union all select event_type, 'r' || (event_id % 5), 0.7 from events) group by scene, tag_id)
+    select event_type || user_id % 20 as scene, 'c' || (event_id % (select count(*) from customer) + 1) as tag_id, (event_id * 7919 % 1000) / 1000.0 as score from events
+    union all select event_type || user_id % 20, 'n' || (event_id % 25), (event_id * 31 % 900) / 1000.0 from events union all select event_type || user_id % 20, 'r' || (event_id % 5), 0.5 + event_id % 5 * 0.05 from events) group by scene, tag_id)
 """
 
 
 def scores(spark, sf_dir):
     e, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer").count()
-    one = lambda tag, score: e.select(F.col("event_type").alias("scene"), tag.alias("tag_id"), score.alias("score"))
-    s = F.floor(F.col("value") * 2) / 1000
+    i, scene = F.col("event_id"), F.concat("event_type", (F.col("user_id") % 20).cast("string"))
+    one = lambda tag, score: e.select(scene.alias("scene"), tag.alias("tag_id"), score.alias("score"))
     named = lambda p, k: F.concat(F.lit(p), k.cast("string"))
-    every = one(named("c", F.col("event_id") % n + 1), s).unionByName(one(named("n", F.col("event_id") % 25), s - 0.2)).unionByName(one(named("r", F.col("event_id") % 5), F.lit(0.7)))
+    every = one(named("c", i % n + 1), i * 7919 % 1000 / 1000).unionByName(one(named("n", i % 25), i * 31 % 900 / 1000)).unionByName(one(named("r", i % 5), F.lit(0.5) + i % 5 * 0.05))
     return every.groupBy("scene", "tag_id").agg(F.max("score").alias("score"))
 
 

@@ -8,13 +8,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; where none is set (as in tests) a temporary one is."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, set for checkpoints."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     set_before = sc._jsc.sc().getCheckpointDir()
-    if not base:
-        base = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="spark-heliograph-")
+    if not base and set_before.isDefined():
+        return set_before.get()
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-heliograph-")
     if not set_before.isDefined():
         sc.setCheckpointDir(base)
+    return base
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under the cluster's spark.checkpoint.dir; only a local master that names none (as in tests) gets a temporary one."""
+    base = checkpoint_folder(spark)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

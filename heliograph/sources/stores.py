@@ -84,6 +84,14 @@ def merge_sources(tables: list[DataFrame], key: str, value: str) -> DataFrame:
     return reduce(DataFrame.unionByName, marked).groupBy(key).agg(F.max_by(value, "__source").alias(value))
 
 
+def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: n_only_a and n_only_b of two single-column tables, and whether they hold the same set."""
+    told = a.select(F.col(a.columns[0]).alias("x"), F.lit(1).alias("side")).unionByName(b.select(F.col(b.columns[0]).alias("x"), F.lit(2).alias("side")))
+    seen = told.groupBy("x").agg(F.bit_or("side").alias("sides"))
+    counts = seen.agg(F.count_if(F.col("sides") == 1).alias("n_only_a"), F.count_if(F.col("sides") == 2).alias("n_only_b"))
+    return counts.withColumn("same", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0))
+
+
 def same_set(a: DataFrame, b: DataFrame) -> bool:
     """Whether two single-column tables hold the same set; decides a taxonomy's reload."""
-    return a.distinct().exceptAll(b.distinct()).isEmpty() and b.distinct().exceptAll(a.distinct()).isEmpty()
+    return set_difference(a, b).head().same

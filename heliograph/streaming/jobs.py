@@ -1,149 +1,26 @@
-"""Job queue, lease and lifecycle streams.
-
-The queue's and the leases' rules are small folds over one key's events, in event order. The same fold runs
-over a stream (state kept by Spark) and over a table (a replay), and both must say the same.
-"""
+"""Job queue, lease and lifecycle streams: aggregates by key that hold over a stream and over a table alike."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.resources import DEAD_BAND_MB, LEASE_S, SILENCE_S
+from ..operators.resources import LEASE_S
 
-QUEUE_OUT = "queue string, seq long, action string, job_id long, n_pending long"
-LEASE_OUT = "device string, seq long, action string, lease_id long, available_mb double, n_waiting long"
 
+def queue_progress(events: DataFrame) -> DataFrame:
+    """Of each queue how many events of each kind (submit, acquire, release, recover) there were, and the last submitted and acquired one."""
+    of = lambda kind: F.col("kind") == kind
+    counts = [F.count_if(of(k)).alias(f"n_{k}") for k in ("submit", "acquire", "release", "recover")]
+    return events.groupBy("queue").agg(*counts, F.max(F.when(of("submit"), F.col("seq"))).alias("last_submit"), F.max(F.when(of("acquire"), F.col("seq"))).alias("last_acquire"))
 
-def fold_queue(state: dict, event: dict) -> tuple[str, int | None]:
-    """One job at a time, first in first out: (action, job) of an event.
 
-    submit waits at the end; acquire starts the oldest if nothing runs; release ends the running job only for
-    its owner; recover puts the running job back to the front.
-    """
-    pending, active, job = state.setdefault("pending", []), state.get("active"), event["job_id"]
-    kind = event["kind"]
-    if kind == "submit":
-        pending.append(job)
-        return "queued", job
-    if kind == "acquire":
-        if active is None and pending:
-            state["active"] = pending.pop(0)
-            return "started", state["active"]
-        return "none", None
-    if kind == "release":
-        if active is not None and active == job:
-            state["active"] = None
-            return "released", job
-        return "refused", job
-    if kind == "recover" and active is not None:
-        pending.insert(0, active)
-        state["active"] = None
-        return "requeued", active
-    return "none", None
-
-
-def fold_leases(state: dict, event: dict, total_mb: float = 4000.0) -> tuple[str, int | None]:
-    """Leases of a device: (action, lease) of an event.
-
-    Before each event leases go that are past their end or silent for too long and not known to be busy. request
-    grants, or waits by (priority, time); heartbeat extends; busy marks; release frees (release_all a whole
-    service's); measure moves the unaccounted part beyond the dead band. After each the queue's head is granted
-    while it fits; the first that doesn't fit stops it.
-    """
-    leases, waiting, now = state.setdefault("leases", {}), state.setdefault("waiting", []), event["at"]
-    for k in [k for k, x in leases.items() if now > x["end"] or now - x["beat"] > SILENCE_S and not x["busy"]]:
-        del leases[k]
-    key, kind, action = str(event["lease_id"]), event["kind"], "ignored"
-    free = lambda: max(0.0, total_mb - sum(x["mb"] for x in leases.values()))
-    give = lambda k, mb, service: leases.__setitem__(k, {"mb": mb, "end": now + LEASE_S, "beat": now, "busy": False, "service": service})
-    if kind == "request":
-        if not waiting and event["mb"] <= free():
-            give(key, event["mb"], event["service"])
-            action = "granted"
-        else:
-            waiting.append([event["priority"], now, key, event["mb"], event["service"]])
-            waiting.sort()
-            action = "waiting"
-    elif kind == "release_all":
-        gone = [k for k, x in leases.items() if x["service"] == event["service"]]
-        for k in gone:
-            del leases[k]
-        action = "released" if gone else "ignored"
-    elif kind == "measure":
-        seen = max(0.0, event["mb"] - (total_mb - free()))
-        if abs(seen - state.get("unaccounted", 0.0)) > DEAD_BAND_MB:
-            state["unaccounted"], action = seen, "reconciled"
-    elif key in leases:
-        if kind == "heartbeat":
-            leases[key] |= {"beat": now, "end": now + LEASE_S}
-            action = "renewed"
-        elif kind == "busy":
-            leases[key]["busy"], action = True, "marked"
-        elif kind == "release":
-            del leases[key]
-            action = "released"
-    while waiting and waiting[0][3] <= free():
-        _, _, k, mb, service = waiting.pop(0)
-        give(k, mb, service)
-    return action, event["lease_id"]
-
-
-def _queue_row(key: str, event: dict, state: dict) -> tuple:
-    action, job = fold_queue(state, event)
-    return key, event["seq"], action, job, len(state["pending"])
-
-
-def _lease_row(key: str, event: dict, state: dict) -> tuple:
-    action, lease = fold_leases(state, event)
-    return key, event["seq"], action, lease, max(0.0, 4000.0 - sum(x["mb"] for x in state["leases"].values())), len(state["waiting"])
-
-
-FOLDS = {"queue": (_queue_row, QUEUE_OUT), "device": (_lease_row, LEASE_OUT)}
-
-
-def _frame(rows: list[tuple], out: str) -> pd.DataFrame:
-    names = [c.split()[0] for c in out.split(", ")]
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({n: "Int64" for n in names if n in ("job_id", "lease_id")})
-
-
-def stream_fold(events: DataFrame, key: str) -> DataFrame:
-    """The fold over a stream, with the state of each key kept as JSON; a batch's events of a key go in order of seq."""
-    import json
-
-    row, out = FOLDS[key]
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[str, Any] = json.loads(state.get[0]) if state.exists else {}
-        events = [e for b in batches for e in b.to_dict("records")]
-        rows = [row(k[0], e, held) for e in sorted(events, key=lambda e: e["seq"])]
-        state.update((json.dumps(held),))
-        yield _frame(rows, out)
-
-    return events.groupBy(key).applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.NoTimeout)
-
-
-def replay_fold(events: DataFrame, key: str) -> DataFrame:
-    """The fold over a table: a key's events stream through one task in order of seq, and only the key's state is held."""
-    row, out = FOLDS[key]
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held = None, {}
-        for batch in batches:
-            rows = []
-            for e in batch.to_dict("records"):
-                if e[key] != current:
-                    current, held = e[key], {}
-                rows.append(row(current, e, held))
-            yield _frame(rows, out)
-
-    return events.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(step, out)
+def lease_states(events: DataFrame) -> DataFrame:
+    """Of each lease of a device the memory last asked for, its last sign of life, when it runs out, and whether its service's release came after that."""
+    of = lambda *kinds: F.col("kind").isin(*kinds)
+    beat, freed = F.max(F.when(of("request", "heartbeat", "busy"), F.col("at"))), F.max(F.when(of("release_all"), F.col("at")))
+    held = events.groupBy("device", "lease_id").agg(F.max_by("mb", F.when(of("request"), F.col("seq"))).alias("mb"), beat.alias("beat"), freed.alias("freed"), F.count("*").alias("n_events"))
+    return held.select("device", "lease_id", "mb", "beat", (F.col("beat") + LEASE_S).alias("expires"), F.coalesce(F.col("freed") > F.col("beat"), F.lit(False)).alias("released"), "n_events")
 
 
 def lifecycle(updates: DataFrame) -> DataFrame:

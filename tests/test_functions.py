@@ -46,6 +46,14 @@ def test_interval_times(spark, duration, step, want):
     assert value(spark, iv.interval_times(F.lit(duration), F.lit(step))) == pytest.approx(want)
 
 
+def test_interval_times_of_a_long_video(spark):
+    want, t = [], 0.0
+    while t < 7200.0:
+        want.append(min(t, 7199.9))
+        t += 0.1
+    assert list(value(spark, iv.interval_times(F.lit(7200.0), F.lit(0.1)))) == want
+
+
 def test_interval_times_drift(spark):
     got = value(spark, iv.interval_times(F.lit(1.0), F.lit(0.1)))
     assert len(got) == 11 and got[-1] == pytest.approx(0.9)

@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heliograph.functions import vectors
 from heliograph.operators import clusters, decode, jobs, resources, spans, taxonomy
 from heliograph.sources import media, stores, vtt
 from heliograph.sources import taxonomy as tag_source
-from heliograph.streaming import jobs as streams
 
 JOB = "job_id long, service string, status string, source string, source_id string, created_at string, cache_key string, completed_at string, progress double"
 
@@ -153,22 +153,36 @@ def test_grants_stop_at_the_first_that_does_not_fit(spark):
     assert [r.granted for r in resources.grants(rows, "d", ["i"], F.lit(20.0)).orderBy("i").collect()] == [True, False, False]
 
 
-def test_lease_fold():
-    state = {}
-    step = lambda kind, lease, at, mb=0.0, **k: streams.fold_leases(state, {"kind": kind, "lease_id": lease, "at": at, "mb": mb, "priority": 0, "service": "s"} | k, 100.0)[0]
-    assert step("request", 1, 0.0, 80.0) == "granted" and step("request", 2, 1.0, 50.0) == "waiting" and step("request", 3, 2.0, 10.0) == "waiting"
-    assert step("busy", 1, 3.0) == "marked" and step("heartbeat", 9, 90.0) == "ignored" and "1" in state["leases"]
-    assert step("release", 1, 91.0) == "released" and set(state["leases"]) == {"2", "3"}
-    assert step("heartbeat", 2, 140.0) == "renewed" and step("heartbeat", 3, 300.0) == "ignored"
-    assert step("measure", 0, 301.0, 160.0) == "reconciled" and step("measure", 0, 302.0, 120.0) == "ignored"
+def test_deep_taxonomies_and_cycles(spark):
+    nodes = spark.createDataFrame([(f"t{i}", f"n{i}", i) for i in range(41)], "id string, name string, ord long")
+    chain = [(f"t{i + 1}", f"t{i}", 0) for i in range(40)]
+    edges = spark.createDataFrame(chain, "child_id string, parent_id string, ord int")
+    deep = {r.id: r for r in taxonomy.enrich(nodes, edges, "t0").collect()}
+    assert deep["t40"].depth == 40 and deep["t40"].path_string.startswith("n0 > n1 > ") and deep["t40"].path_count == 1
+    assert taxonomy.descendants(edges, nodes.where("id = 't0'")).count() == 41 and taxonomy.ancestors(edges, nodes.where("id = 't40'")).count() == 40
+    assert taxonomy.root_of(nodes, edges).head() == ("t0", 41) and taxonomy.family(edges, nodes.where("id = 't3'")).count() == 3
+    looped = spark.createDataFrame([*chain[:5], ("t2", "t4", 1), ("t3", "t3", 1)], "child_id string, parent_id string, ord int")
+    paths = {(r.id, tuple(r.path)) for r in taxonomy.paths(nodes, looped, "t0").collect()}
+    assert paths == {(f"t{i}", tuple(f"n{k}" for k in range(i))) for i in range(1, 6)}
+    assert taxonomy.descendants(looped, nodes.where("id = 't2'")).count() == 4 and taxonomy.ancestors(looped, nodes.where("id = 't2'")).count() == 4
 
 
-def test_queue_fold():
-    state = {}
-    step = lambda kind, job=None: streams.fold_queue(state, {"kind": kind, "job_id": job})
-    step("submit", 1), step("submit", 2)
-    assert step("acquire") == ("started", 1) and step("acquire") == ("none", None) and step("release", 2) == ("refused", 2)
-    assert step("recover") == ("requeued", 1) and step("acquire") == ("started", 1) and step("release", 1) == ("released", 1) and step("acquire") == ("started", 2)
+def test_mean_bias_is_added_and_normalised(spark):
+    rows = spark.createDataFrame([([3.0, 0.0], [[0.0, 4.0], [0.0, 4.0]]), ([0.0, 2.0], [])], "v array<double>, b array<array<double>>")
+    got = [list(r.x) for r in rows.select(vectors.with_mean_bias(F.col("v"), F.col("b")).alias("x")).collect()]
+    assert got[0] == pytest.approx([0.6, 0.8]) and got[1] == pytest.approx([0.0, 1.0])
+
+
+def test_cuts_by_method(spark):
+    rows = spark.createDataFrame([("v", i, i * 0.5, s) for i, s in enumerate([1.0, 30.0, 31.0, 2.0, 1.0, 40.0, 1.0, 1.0])], "k string, i int, t double, s double")
+    cut = lambda m, x: [r.i for r in spans.cuts(rows, "k", ["i"], "s", "t", m, x).where("cut").orderBy("i").collect()]
+    assert cut("content", 27.0) == [1, 5] and cut("threshold", 27.0) == [1, 5] and cut("adaptive", 3.0) == [2, 5]
+    with pytest.raises(ValueError, match="method"):
+        spans.cuts(rows, "k", ["i"], "s", "t", "other")
+
+
+def test_set_difference(spark):
+    assert tuple(stores.set_difference(spark.range(5), spark.range(3, 6)).head()) == (3, 1, False)
 
 
 def test_lease_expiry_of_the_silent(spark):

@@ -41,21 +41,28 @@ def combinations(present: np.ndarray, most: int = COLUMNS, turn: int = 0) -> tup
     ``present``: whether there are tails of each length below the window.
     """
     window = len(present)
-    lengths = np.nonzero(present)[0]
+    lengths = np.nonzero(present)[0].astype(np.int32)
     lengths = lengths[lengths > 0]
-    others, usable = np.append(0, lengths), np.append(present, False)
+    others, usable = np.append(np.int32(0), lengths), np.append(present, False)
     usable[0] = True
-    found = [np.zeros((0, 4), dtype=np.int64)]
-    for m in range(1, window + 1):
+
+    def filling(m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths that can stand m times, and which (length, other) leave a third one that is there."""
         v = lengths[lengths * m <= window]
-        if not len(v):
-            break
         b = window - m * v[:, None] - others[None, :]
-        i, j = np.nonzero((b >= others[None, :]) & usable[np.clip(b, 0, window)])
-        found.append(np.stack([v[i], np.full(len(i), m), others[j], b[i, j]], axis=1))
-    every = np.concatenate(found)
-    g = max(1, -(-len(every) // most))
-    return every[turn % g :: g], g
+        return v, (b >= others[None, :]) & usable[np.clip(b, 0, window)]
+
+    deepest = window // int(lengths[0]) if len(lengths) else 0
+    counts = [np.count_nonzero(filling(m)[1]) for m in range(1, deepest + 1)]
+    g = max(1, -(-sum(counts) // most))
+    found, before = [np.zeros((0, 4), dtype=np.int64)], 0
+    for m, n in enumerate(counts, 1):  # only the g-th ones are made: all of them are some millions
+        v, fills = filling(m)
+        at = np.flatnonzero(fills)[(turn - before) % g :: g]
+        i, a = at // len(others), others[at % len(others)].astype(np.int64)
+        found.append(np.stack([v[i].astype(np.int64), np.full(len(at), m), a, window - m * v[i].astype(np.int64) - a], axis=1))
+        before += n
+    return np.concatenate(found), g
 
 
 def nnls(columns: np.ndarray, histogram: np.ndarray, rounds: int = 200) -> np.ndarray:

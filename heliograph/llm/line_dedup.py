@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, small_batches, table, texts, written
+from .common import drop_tables, join_counted, small_batches, table, tables_written, texts, written
 
 #: A line of so many words is a passage by itself.
 LONG = 30
@@ -155,6 +155,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(body).alias("key"))
+    mark = tables_written()
     found = written(candidate_rows(rows.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), body.alias("text"))), "line-chunks")
     place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     counts = written(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first_id")).where("n > 1"), "repeated-chunks")
@@ -162,6 +163,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     each = F.struct("first", "end", "own", "gone", "h1", "h2")
     per_doc = marks.select("doc_id", "text_key", each.alias("m")).groupBy("doc_id", "text_key").agg(F.collect_set("m").alias("marks"))
     joined = written(rows.join(per_doc, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left").select("row", "marks"), "marked-lines", "zstd")
+    drop_tables(docs.sparkSession, mark, keep=1)  # chunks and counts have done their work
     met = joined.where("marks is not null")
     clash = clashing(met.select(body.alias("text"), "marks")).checkpoint()
     if not clash.isEmpty():  # only for a collision of 128-bit hashes

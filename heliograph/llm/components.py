@@ -12,8 +12,8 @@ from .common import shared_dir
 ROWS = 20_000
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node that occurs in ``links`` (a, b).
+def connected_components(links: DataFrame, size: int | None = None) -> DataFrame:
+    """(node, component) of every node that occurs in ``links`` (a, b); ``size``: how many links there are, if that is known.
 
     Each round hooks every node to its smallest neighbour, shortens the pointers until they
     name roots, and goes on with the links between roots; that at least halves the nodes that
@@ -21,7 +21,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     meet its root in inner joins, whose uneven partitions AQE splits.
     """
     shared_dir(links.sparkSession)
-    both = links.where("a <> b").select("a", "b").distinct().checkpoint()
+    both = links.where("a <> b").select("a", "b").distinct()
+    both = (both if size is None else both.coalesce(1 + size // ROWS)).checkpoint()
     parts = 1 + both.count() // ROWS
     kept = lambda df: df.coalesce(parts).checkpoint()
     names = kept(both.select(F.col("a").alias("node")).union(both.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("component")))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_counted, table, texts, written
-from .components import connected_components
+from .components import ROWS, connected_components
 
 SEED = 42
 #: Members up to which a bucket is joined with itself.
@@ -214,9 +214,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     rows = texts(docs).withColumn("text_key", F.xxhash64("text"))
     limit = hamming_limit(similarity)
     marked = written(rows.mapInPandas(_marks(words, similarity), "doc_id long, text_key long, shape binary, fp binary, keys array<long>, size long"), "marks")
+    narrow = lambda df: df.coalesce(1 + n_rows // ROWS)  # noqa: E731  a document is some hundred bytes from here on
+    n_rows = marked.count()
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     shapes = marked.groupBy("shape").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.count("*").alias("n"))
-    nodes = written(shapes.withColumn("node", F.xxhash64("shape")), "nodes")
+    nodes = written(narrow(shapes.withColumn("node", F.xxhash64("shape"))), "nodes")
     blocks = nodes.select("node", F.explode("keys").alias("key"))
     heads = blocks.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     met = blocks.join(heads, "key").where("node <> head").select("node", "head").distinct()
@@ -224,12 +226,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     pairs = met.join(sides, "node").join(sides.select(F.col("node").alias("head"), F.col("fp").alias("fp2"), F.col("size").alias("size2")), "head")
     likely = pairs.where(_likely(limit, similarity)("fp", "fp2", "size", "size2")).select(F.col("node").alias("a"), F.col("head").alias("b"))
     near = _similar(likely, nodes, rows, words, similarity)
-    rest = _similar(_left_over(blocks, heads, sides, connected_components(near), limit, similarity), nodes, rows, words, similarity)
-    names = connected_components(near.unionByName(rest))
+    rest = _similar(_left_over(blocks, heads, sides, connected_components(near, near.count()), limit, similarity), nodes, rows, words, similarity)
+    names = connected_components(near.unionByName(rest), near.count() + rest.count())
     grouped = nodes.select("node", "shape", "place", "n").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = grouped.groupBy("component").agg(F.min("place").alias("best"))
-    chosen = written(grouped.join(best, "component").select("shape", "best", "n"), "chosen")
-    return join_counted(marked, chosen, ["shape"]).select("doc_id", "text_key", place.eqNullSafe(F.col("best")).alias("keep"))
+    chosen = written(narrow(grouped.join(best, "component").select("shape", "best", "n")), "chosen")
+    return narrow(join_counted(marked, chosen, ["shape"])).select("doc_id", "text_key", place.eqNullSafe(F.col("best")).alias("keep"))
 
 
 def _likely(limit: int, similarity: float):

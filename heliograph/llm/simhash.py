@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     pairs = met.join(sides, "node").join(sides.select(F.col("node").alias("head"), F.col("fp").alias("fp2"), F.col("size").alias("size2")), "head")
     likely = pairs.where(_likely(limit, similarity)("fp", "fp2", "size", "size2")).select(F.col("node").alias("a"), F.col("head").alias("b"))
     near = _similar(likely, nodes, rows, words, similarity)
-    rest = _similar(_left_over(blocks, heads, sides, connected_components(near, near.count()), limit, similarity), nodes, rows, words, similarity)
+    rest = _similar(_left_over(blocks, heads, nodes.select("node", "fp", "size", "keys"), connected_components(near, near.count()), limit, similarity), nodes, rows, words, similarity)
     names = connected_components(near.unionByName(rest), near.count() + rest.count())
     grouped = nodes.select("node", "shape", "place", "n").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = grouped.groupBy("component").agg(F.min("place").alias("best"))
@@ -248,7 +248,10 @@ def _likely(limit: int, similarity: float):
 
 
 def _left_over(blocks: DataFrame, heads: DataFrame, sides: DataFrame, names: DataFrame, limit: int, similarity: float) -> DataFrame:
-    """Likely pairs (a, b) of different components within buckets; one of them is outside the component of the bucket's head."""
+    """Likely pairs (a, b) of different components within buckets; one of them is outside the component of the bucket's head.
+
+    A pair comes from the first bucket that it shares alone, not from each.
+    """
     of = lambda node, name: names.select(F.col("node").alias(node), F.col("component").alias(name))
     named = blocks.join(heads.where("n > 2"), "key").where("n > 2").join(of("node", "own"), "node", "left").join(of("head", "first"), "head", "left")
     own = F.coalesce("own", "node")
@@ -258,28 +261,32 @@ def _left_over(blocks: DataFrame, heads: DataFrame, sides: DataFrame, names: Dat
     parts = lambda n: F.ceil(n / F.lit(PART)).cast("int")
     own_part = lambda n: F.pmod(F.xxhash64("node"), parts(F.col(n))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), parts(F.col(n)) - 1))
-    columns = ("key", "node", "own", "rest", "fp", "size")
+    columns = ("key", "node", "own", "rest", "fp", "size", "keys")
     left = held.where("rest").select(*columns, F.lit(True).alias("turned"), own_part("n_rest").alias("i"), every("n").alias("j"))
     right = held.select(*columns, F.lit(False).alias("turned"), every("n_rest").alias("i"), own_part("n").alias("j"))
-    each = F.struct("turned", "rest", "node", "own", "size", "fp")
+    each = F.struct("turned", "rest", "node", "own", "size", "fp", "keys")
     cells = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list(each).alias("c"))
-    cells = cells.select(*(F.col(f"c.{x}").alias(x) for x in ("turned", "rest", "node", "own", "size", "fp")))
+    cells = cells.select("key", *(F.col(f"c.{x}").alias(x) for x in ("turned", "rest", "node", "own", "size", "fp", "keys")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for turned, rest, node, own, size, fp in batch.itertuples(index=False):
+            for key, turned, rest, node, own, size, fp, keys in batch.itertuples(index=False):
                 turned, rest, size = np.asarray(turned, dtype=bool), np.asarray(rest, dtype=bool), np.asarray(size)
                 node, own = np.asarray(node), np.asarray(own)
                 bits = np.frombuffer(b"".join(fp), dtype=np.uint64).reshape(len(node), -1)
                 other = np.nonzero(~turned)[0]
-                found = []
+                found, all_keys = [], np.zeros((len(node), max(map(len, keys))), dtype=np.int64)
+                for row, k in zip(all_keys, keys, strict=True):
+                    row[: len(k)] = k
                 for k in np.nonzero(turned)[0].tolist():
                     least, most = np.minimum(size[k], size[other]), np.maximum(size[k], size[other])
                     ok = (own[other] != own[k]) & (~rest[other] | (node[k] < node[other])) & (least >= similarity * most - 1e-9)
                     at = other[ok]
                     if len(at):
                         apart = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                        found += [(int(node[k]), b) for b in node[at[(apart <= limit) | (most[ok] < FEW)]].tolist()]
+                        at = at[(apart <= limit) | (most[ok] < FEW)]
+                        first = all_keys[k][(all_keys[at] == all_keys[k]).argmax(axis=1)]
+                        found += [(int(node[k]), b) for b in node[at[first == key]].tolist()]
                 if found:
                     yield pd.DataFrame(found, columns=["a", "b"])
 

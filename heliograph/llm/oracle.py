@@ -35,4 +35,30 @@ QUALITY = f"{LEDGER} select doc_id, n_words, word_chars, n_symbols, n_dup_lines,
 ABLATION = f"""{LEDGER}, rules as (select * from (values ('too_short', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('upper_case', 16), ('exclamation', 32), ('word_length', 64), ('few_distinct_words', 128)) t(rule, bit))
 select rule, count(*) filter (where fail_bits & bit <> 0) as n_failed, count(*) filter (where fail_bits = bit) as n_only, count(*) filter (where fail_bits <> 0) as n_rejected from ledger, rules group by rule"""
 
-ORACLE_SQL = {"op3_chat_format": CHAT, "op8_quality": QUALITY, "op8_rule_ablation": ABLATION}
+PHRASES = r"""
+with pieces as (
+  select row_number() over () as piece, lang, p from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents)),
+words as (select piece, lang, unnest(w) as w, generate_subscripts(w, 1) as i from (select piece, lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') as w from pieces)),
+near as (select lang, w as x, lead(w) over o as y, lead(w, 2) over o as z from words window o as (partition by piece order by i)),
+found as (
+  select lang, 1 as size, x as phrase, count(*) as n from near group by all
+  union all select lang, 2, x || ' ' || y, count(*) from near where y is not null group by all
+  union all select lang, 3, x || ' ' || y || ' ' || z, count(*) from near where z is not null group by all),
+totals as (select lang, cast(sum(n) as bigint) as n from found where size = 1 group by lang),
+named as (select *, string_split(phrase, ' ') as w from found where size > 1 and n >= 10),
+cuts as (
+  select lang, phrase, n as a, 1 as k, w[1] as first, array_to_string(w[2:], ' ') as rest from named
+  union all select lang, phrase, n, 2, array_to_string(w[:2], ' '), w[3] from named where size = 3),
+rated as (
+  select c.lang, c.phrase, c.a, c.k, l.n as l, r.n as r, cast((1000000::hugeint * c.a * c.a) // (l.n::hugeint * r.n) as bigint) as score
+  from cuts c join found l on l.lang = c.lang and l.phrase = c.first join found r on r.lang = c.lang and r.phrase = c.rest),
+best as (select * from rated qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, n from named where size = 3),
+longer as (select lang, phrase, max(n) as n from inside group by all),
+ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, encode(b.phrase)) as rank from best b left join longer i on i.lang = b.lang and i.phrase = b.phrase where i.n is null or 100 * i.n < 50 * b.a)
+select ranked.lang, rank, phrase, a, l, r, totals.n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+ORACLE_SQL = {"op3_chat_format": CHAT, "op8_quality": QUALITY, "op8_rule_ablation": ABLATION, "op11_collocations": PHRASES}

@@ -35,17 +35,22 @@ def ranks_of(tokenizer_json: str) -> dict[bytes, int]:
     return {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in added}
 
 
+def ordinary_encoding(ranks: dict[bytes, int]):
+    """The BPE itself; special tokens' strings are plain text."""
+    import public_tokenizers
+    import tiktoken
+
+    return tiktoken.Encoding("given", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder(dict):
     """Piece to its ids as little-endian unsigned 16-bit numbers."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        import public_tokenizers
-        import tiktoken
-
         super().__init__()
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids over 65535 don't fit 16 bits")
-        self.bpe = tiktoken.Encoding("given", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = ordinary_encoding(ranks)
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.bpe.encode_ordinary(piece), dtype="<u2").tobytes()
@@ -65,10 +70,14 @@ _encoders: dict[str, Encoder] = {}
 def encoder(packed: dict) -> Encoder:
     """This worker's encoder for a broadcast vocabulary."""
     if packed["name"] not in _encoders:
-        _encoders[packed["name"]] = Encoder({base64.b64decode(k): v for k, v in (x.split() for x in packed["ranks"].splitlines()) for v in [int(v)]})
+        _encoders[packed["name"]] = Encoder(unpack_vocabulary(packed))
     return _encoders[packed["name"]]
 
 
+def unpack_vocabulary(packed: dict) -> dict[bytes, int]:
+    return {base64.b64decode(k): int(v) for k, v in (x.split() for x in packed["ranks"].splitlines())}
+
+
 def pack_vocabulary(path: str) -> dict:
     """A tokenizer file, read on the driver, in a form to broadcast (a fixed table of about 1 MB)."""
     import hashlib

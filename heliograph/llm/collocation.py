@@ -16,7 +16,8 @@ a times has parts that occur at least as often.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -68,7 +69,12 @@ class HatTrie:
 
     def add(self, first: int, rests: list[int], counts: list[int]) -> None:
         root = self.roots.get(first)
-        if root is None:
+        if type(root) is dict and len(rests) == 1 and len(root) < self.burst:
+            r, before = rests[0], len(root)
+            root[r] = root.get(r, 0) + counts[0]
+            new = len(root) - before
+            self.size[first] += new
+        elif root is None:
             self.roots[first] = dict(zip(rests, counts, strict=True))
             self.size[first] = new = len(rests)
         elif type(root) is dict:
@@ -182,8 +188,8 @@ class PhraseCounter:
             n = sum(len(c) for _, c in gone)
             if not n:
                 continue
-            codes = np.fromiter((r for _, c in gone for r in c), dtype=np.int64, count=n)
-            counts = np.fromiter((x for _, c in gone for x in c.values()), dtype=np.int64, count=n)
+            codes = np.fromiter(chain.from_iterable(c for _, c in gone), dtype=np.int64, count=n)
+            counts = np.fromiter(chain.from_iterable(c.values() for _, c in gone), dtype=np.int64, count=n)
             first = np.repeat(np.array([f for f, _ in gone], dtype=np.int64), [len(c) for _, c in gone])
             yield self.runs(lang, np.stack([first, codes >> BITS, codes & LOW]), counts, hashes)
         if not left:
@@ -192,7 +198,10 @@ class PhraseCounter:
     def runs(self, lang: str, ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
         """A row for each prefix partition: its words, the places of each phrase's words among these (0: none), and counts."""
         part = prefix_part(hashes[ids[0]], hashes[ids[1]], self.parts)
-        order = np.lexsort((hashes[ids[2]], hashes[ids[1]], hashes[ids[0]], part))
+        rank = np.empty(len(hashes), dtype=np.int64)
+        rank[np.argsort(hashes)] = np.arange(len(hashes))
+        order = np.argsort((rank[ids[0]] << 2 * BITS) | (rank[ids[1]] << BITS) | rank[ids[2]])
+        order = order[np.argsort(part[order].astype(np.int32), kind="stable")]
         ids, counts, part = ids[:, order], counts[order], part[order]
         cuts = np.nonzero(np.concatenate(([True], part[1:] != part[:-1])))[0]
         rows, words = [], self.ids.words
@@ -210,11 +219,19 @@ def prefix_part(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray
         return ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(parts)).astype(np.int64)
 
 
+class Numbers(dict):
+    """Word to a number, from 0 in the order of coming."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class PartMerger:
     """Sums up the runs of a prefix partition and language."""
 
     def __init__(self, most: int = 4_000_000):
-        self.ids = WordIds()
+        self.ids = Numbers({b".": 0})
         self.held, self.n, self.most = [], 0, most
 
     def add(self, words: bytes, places: bytes, counts: bytes) -> None:
@@ -241,11 +258,10 @@ class PartMerger:
         ids, counts = self.summed()
         total = int(counts[ids[1] == 0].sum())
         often = counts >= least
-        words = [w.decode("utf-8", "surrogatepass") for w in self.ids.words]
-        out = []
+        words, out = list(self.ids), []
         for three, n in zip(ids[:, often].T.tolist(), counts[often].tolist(), strict=True):
             named = [words[i] for i in three if i]
-            out.append((len(named), " ".join(named), n))
+            out.append((len(named), b" ".join(named).decode("utf-8", "surrogatepass"), n))
         return out, total
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,41 +10,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..session import landed
+from .ordered import running
 
 
-def leader_clusters(detections: DataFrame, job: str, order: list[str], vector: str, threshold: float = 0.6) -> DataFrame:
+#: Undecided detections of a job that are walked in a round, and detections that meet a round's leaders in one task.
+BLOCK, CHUNK = 1_024, 20_000
+
+
+def units(vectors: pd.Series, width: int | None = None) -> np.ndarray:
+    """Unit vectors as rows; a null or zero vector stays zero."""
+    width = width or max((len(v) for v in vectors if v is not None), default=0)
+    out = np.array([np.zeros(width) if v is None else v for v in vectors], dtype=np.float64).reshape(len(vectors), width)
+    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+
+def leader_clusters(detections: DataFrame, job: str, order: list[str], vector: str, threshold: float = 0.6, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(job, order..., cluster): each detection, in order, joins the first cluster whose first member is as similar as the threshold, else founds one.
 
-    The order decides the result, so a job's detections are streamed, in order, through one task; that task
-    holds only the leaders' vectors and the current batch. Jobs run beside one another.
+    Leaders are the first set in order of which no two are similar.  They are found in rounds: of each job the first
+    ``block`` undecided detections are walked in order, which gives the round's leaders; then all undecided ones, in chunks of
+    about ``chunk``, meet these and join the first that is similar.  What an earlier leader takes is gone before, so the result is
+    that of one walk, and no task holds a job or all of its leaders.  A null or zero vector is similar to nothing (over a threshold of 0) and leads a cluster of its own.
     """
-    schema = ", ".join(f"{c} {t}" for c, t in detections.select(job, *order).dtypes) + ", cluster long"
-    names = [job, *order]
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, leaders = None, []
-        stack = np.zeros((0, 0))
-        for batch in batches:
-            out = []
-            for owner, raw in zip(batch[job], batch[vector], strict=True):
-                v = np.asarray(raw, dtype=np.float64)
-                if owner != current:
-                    current, leaders, stack = owner, [], np.zeros((16, len(v)))
-                size = float(np.sqrt((v * v).sum()))
-                unit = v / size if size else v
-                near = np.nonzero(stack[: len(leaders)] @ unit >= threshold)[0] if size or threshold <= 0 else []
-                if len(near):
-                    out.append(int(near[0]))
-                    continue
-                if len(leaders) == len(stack):
-                    stack = np.concatenate((stack, np.zeros_like(stack)))
-                stack[len(leaders)] = unit
-                leaders.append(True)
-                out.append(len(leaders) - 1)
-            yield batch[names].assign(cluster=np.array(out, dtype=np.int64))
-
-    laid = detections.select(*names, vector).repartition(job).sortWithinPartitions(job, *order)
-    return laid.mapInPandas(assign, schema)
+    placed = running(detections.select(F.col(job).alias("job"), F.struct(*order).alias("row"), F.col(vector).cast("array<double>").alias("v"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order))), ["job"], [f"o{i}" for i in range(len(order))], place="seq")
+    undecided = placed.select("job", "row", "v", "seq", F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("cluster"))
+    state = ", ".join(f"{c} {t}" for c, t in undecided.dtypes if c != "row")
+    kind = dict(detections.select(job).dtypes)[job]
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        unit = units(rows["v"])
+        near = unit @ unit.T >= threshold
+        alone = ~near.diagonal()  # zero vectors: no leader takes them
+        lead: list[int] = []
+        for i in range(len(rows)):
+            if alone[i] or not near[i, lead].any():
+                lead.append(i)
+        first = rows.iloc[lead]
+        return pd.DataFrame({"job": first["job"], "seq": first["seq"], "v": first["v"], "cluster": first["base"] + np.arange(len(first))})
+
+    def meet(rows: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        leaders = leaders.sort_values("cluster")
+        width = max((len(v) for v in [*rows["v"], *leaders["v"]] if v is not None), default=0)
+        near = units(rows["v"], width) @ units(leaders["v"], width).T >= threshold
+        own = rows["seq"].to_numpy()[:, None] == leaders["seq"].to_numpy()[None, :]
+        near = np.where(own.any(axis=1, keepdims=True), own, near)
+        hit = near.any(axis=1)
+        found = leaders["cluster"].to_numpy()[near.argmax(axis=1)] if len(leaders) else np.zeros(len(rows), dtype=np.int64)
+        return rows.assign(cluster=pd.array(np.where(hit, found, 0), dtype="Int64").copy(), base=rows["base"] + len(leaders)).assign(cluster=lambda x: x["cluster"].mask(~hit))[["job", "v", "seq", "base", "cluster"]]
+
+    undecided = undecided.drop("row")
+    found = []
+    while True:
+        first = undecided.withColumn("nth", F.row_number().over(Window.partitionBy("job").orderBy("seq"))).where(F.col("nth") <= block).drop("nth", "cluster")
+        leaders = landed(first.groupBy("job").applyInPandas(walk, f"job {kind}, seq long, v array<double>, cluster long"))
+        salts = undecided.groupBy("job").agg(F.ceil(F.count("*") / chunk).cast("int").alias("salts"))
+        spread = lambda df: df.join(salts.withColumnRenamed("job", "of"), F.col("job").eqNullSafe(F.col("of"))).drop("of")
+        left = spread(undecided).withColumn("salt", F.pmod(F.xxhash64("seq"), "salts").cast("int")).drop("salts")
+        right = spread(leaders).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        met = landed(left.groupBy("job", "salt").cogroup(right.groupBy("job", "salt")).applyInPandas(meet, state))
+        found.append(met.where("cluster is not null").select("job", "seq", "cluster"))
+        undecided = met.where("cluster is null")
+        if undecided.isEmpty():
+            break
+    named = reduce(DataFrame.unionByName, found).select(F.col("job").alias("__job"), F.col("seq").alias("__seq"), "cluster")
+    rows = placed.select("job", "row", "seq").join(named, F.col("job").eqNullSafe(F.col("__job")) & (F.col("seq") == F.col("__seq")))
+    return rows.select(F.col("job").alias(job), "row.*", "cluster")
 
 
 def one_each(detections: DataFrame, job: str, order: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 # Buffer length, dead band, times in seconds, and the lease's states.
 BUFFER, DEAD_BAND_MB, LEASE_S, SILENCE_S, WAIT_S = 720, 50.0, 600, 60, 60
 TRANSITIONS = {("pending", "grant"): "active", ("active", "start"): "busy", ("idle", "start"): "busy", ("busy", "finish"): "idle", ("active", "evict"): "releasing", ("idle", "evict"): "releasing", ("releasing", "freed"): "released", ("releasing", "failed"): "idle", ("active", "expire"): "expired", ("idle", "expire"): "expired"}
@@ -38,15 +40,19 @@ def segments(leases: DataFrame, device: str, total_mb: float, unaccounted_mb: fl
 
 
 def queue_positions(requests: DataFrame, device: str, order: list[str]) -> DataFrame:
-    """1-based place by the order (priority, then time) and the expected wait."""
-    place = F.row_number().over(Window.partitionBy(device).orderBy(*order))
-    return requests.withColumn("position", place).withColumn("wait_s", F.col("position") * WAIT_S)
+    """1-based place by the order (priority, then time) and the expected wait; a device's queue is spread over many tasks."""
+    return running(requests, [device], order, place="position").withColumn("wait_s", F.col("position") * WAIT_S)
 
 
 def grants(requests: DataFrame, device: str, order: list[str], free: Column) -> DataFrame:
     """Head-of-line grants: a request is granted while everything up to it fits; the first that doesn't stops the queue."""
-    so_far = F.sum("vram_mb").over(Window.partitionBy(device).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("so_far_mb", so_far).withColumn("granted", F.col("so_far_mb") <= free)
+    return running(requests, [device], order, {"so_far_mb": "vram_mb"}).withColumn("granted", F.col("so_far_mb") <= free)
+
+
+def queue(requests: DataFrame, device: str, order: list[str], free: Column) -> DataFrame:
+    """Places, waits and grants of the queue in one go."""
+    placed = running(requests, [device], order, {"so_far_mb": "vram_mb"}, "position")
+    return placed.withColumns({"wait_s": F.col("position") * WAIT_S, "granted": F.col("so_far_mb") <= free})
 
 
 def expired(now: Column, expires: Column, heartbeat: Column, busy: Column) -> Column:
@@ -73,9 +79,8 @@ def next_state(state: Column, event: Column) -> Column:
 def release_service(leases: DataFrame, requests: DataFrame, device: str, service: str, order: list[str], total_mb: float) -> DataFrame:
     """The queue after a service's leases are released: requests with position, wait and whether they are granted from what is then free."""
     held = leases.groupBy(device).agg(F.sum(F.when(F.col("service") == service, 0.0).otherwise(F.col("vram_mb"))).alias("held_mb"))
-    placed = queue_positions(requests, device, order).join(held, device, "left")
     free = F.greatest(F.lit(0.0), F.lit(total_mb) - F.coalesce("held_mb", F.lit(0.0)))
-    return grants(placed, device, order, free)
+    return queue(requests.join(held, device, "left"), device, order, free)
 
 
 def idle_sessions(uses: DataFrame, key: str, time: str, gap: str = "300 seconds", busy: Column | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import kept_apart
+
 
 def islands(rows: DataFrame, key: str, order: list[str], starts: Column) -> DataFrame:
     """Rows with ``island``: how many rows up to this one start a new segment (the first always does), from 0."""
@@ -21,7 +23,8 @@ def cuts(rows: DataFrame, key: str, order: list[str], score: str, time: str, met
     """Rows with ``cut``: whether a shot starts here, by given frame scores.
 
     content: the score reaches the threshold; threshold: it rises to it from below; adaptive: it is so many times the mean of
-    the ``near`` frames on either side. A cut closer than ``least`` seconds to the one before it doesn't count.
+    the ``near`` frames on either side. A cut counts if it comes at ``least`` seconds after the last one that counts, or later; a
+    marked frame that doesn't count holds up none after it. ``order`` identifies a frame of its key and follows time.
     """
     w = Window.partitionBy(key).orderBy(*order)
     s, before = F.col(score), F.lag(score).over(w)
@@ -31,8 +34,25 @@ def cuts(rows: DataFrame, key: str, order: list[str], score: str, time: str, met
         raise ValueError(f"unknown detection method: {method}")
     meant = {"content": s >= threshold, "threshold": (s >= threshold) & (before < threshold), "adaptive": (beside > 0) & (s * beside >= threshold * around)}[method]
     marked = rows.withColumn("__cut", F.coalesce(meant, F.lit(False)))
-    last = F.last(F.when(F.col("__cut"), F.col(time)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return marked.withColumn("__last", last).withColumn("cut", F.col("__cut") & (F.col("__last").isNull() | (F.col(time) - F.col("__last") >= least))).drop("__cut", "__last")
+    kept = kept_apart(marked.where("__cut").select(key, *dict.fromkeys([*order, time])), key, order, time, least).select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in order), F.lit(True).alias("__kept"))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(kept, same, "left").withColumn("cut", F.coalesce("__kept", F.lit(False))).drop("__key", "__kept", *(f"__{c}" for c in order))
+
+
+def fades(rows: DataFrame, key: str, order: list[str], score: str, time: str, threshold: float = 12.0, bias: float = 0.0) -> DataFrame:
+    """(key, fade_out, fade_in, cut_at): times of the frames that fall under the threshold and of those that rise to it again.
+
+    The cut lies between both, in the middle or moved by the bias (-1: at the fall, 1: at the rise). A key that starts under
+    the threshold falls at its first frame; a fall without a rise makes no pair. Frames without a score count as the one before.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    bright = F.last(F.col(score) >= threshold, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    told = rows.select(key, *dict.fromkeys([*order, time]), bright.alias("__bright")).where("__bright is not null")
+    turns = told.withColumn("__before", F.lag("__bright", 1, True).over(w)).where("__bright <> __before")
+    pairs = turns.withColumn("fade_out", F.lag(time).over(w)).where("__bright and fade_out is not null")
+    return pairs.select(key, "fade_out", F.col(time).alias("fade_in")).withColumn("cut_at", F.col("fade_out") + (F.col("fade_in") - F.col("fade_out")) * ((1 + bias) / 2))
 
 
 def scenes_of(rows: DataFrame, key: str, time: str) -> DataFrame:

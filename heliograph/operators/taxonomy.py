@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, landed
 
 
 def levels(start: DataFrame, step, new_by: list[str] | None = None, depth: int | None = None) -> DataFrame:
@@ -84,21 +84,84 @@ def paths(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:
     return levels(start, step).select(F.col("at").alias("id"), "path", "ords").where(F.col("id") != root_id)
 
 
+def shortest(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:
+    """(id, path, ords): the shortest name path from the root to a parent of each tag below it, the first by ords on ties.
+
+    By levels: a tag's shortest path goes on from a shortest path of a parent, so each tag is reached once and holds one path.
+    """
+    named = nodes.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
+    up = edges.where("child_id <> parent_id").join(named, "parent_id")
+    start = nodes.where(F.col("id") == root_id).select("id", F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("ords"))
+
+    def step(x: DataFrame) -> DataFrame:
+        met = x.join(up, x["id"] == up["parent_id"])
+        longer = met.select(F.col("child_id").alias("id"), F.concat("path", F.array("parent_name")).alias("path"), F.concat(F.array(F.col("ord").cast("int")), "ords").alias("ords"))
+        return longer.groupBy("id").agg(F.min_by("path", "ords").alias("path"), F.min("ords").alias("ords")).select("id", "path", "ords")
+
+    return levels(start, step, ["id"]).where(F.col("id") != root_id)
+
+
+def path_counts(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:
+    """(id, n_paths, longest): how many paths lead from the root to each tag below it, and how many steps the longest has.
+
+    By topological levels: a tag is counted once all its parents that the root reaches are, so work grows with the edges, not the paths.
+    Tags on a cycle, or below one, are left out: their paths without repetition can only be listed. Edges told twice count once.
+    """
+    reach = descendants(edges, nodes.where(F.col("id") == root_id).select("id")).select(F.col("node").alias("parent_id"))
+    live = landed(edges.where((F.col("child_id") != F.col("parent_id")) & (F.col("child_id") != root_id)).select("child_id", "parent_id").distinct().join(reach, "parent_id", "left_semi"))
+    parents = live.groupBy(F.col("child_id").alias("id")).agg(F.count("*").alias("n_parents"))
+    settled = nodes.where(F.col("id") == root_id).select("id", F.lit(1).cast("decimal(38,0)").alias("n_paths"), F.lit(0).alias("longest"))
+    found, waiting = [settled], None
+    while not settled.isEmpty():
+        given = live.join(settled.withColumnRenamed("id", "parent_id"), "parent_id").select(F.col("child_id").alias("id"), "n_paths", (F.col("longest") + 1).alias("longest"), F.lit(1).cast("long").alias("seen"))
+        both = given if waiting is None else given.unionByName(waiting)
+        sums = landed(both.groupBy("id").agg(F.sum("n_paths").cast("decimal(38,0)").alias("n_paths"), F.max("longest").alias("longest"), F.sum("seen").alias("seen")).join(parents, "id"))
+        settled = sums.where("seen = n_parents").select("id", "n_paths", "longest")
+        waiting = sums.where("seen < n_parents").select("id", "n_paths", "longest", "seen")
+        found.append(settled)
+    return reduce(DataFrame.unionByName, found).where(F.col("id") != root_id)
+
+
+def summary(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:
+    """id, name, path (the shortest, first on ties), path_string, depth, path_count, parent_id (first listed), all_parent_ids, is_leaf.
+
+    As ``enrich``, but paths are counted, not listed: path_count is null on and below a cycle, and 1 (the empty path) for a tag that the root doesn't reach.
+    """
+    best, counted = shortest(nodes, edges, root_id), path_counts(nodes, edges, root_id).select("id", "n_paths")
+    rows = nodes.join(best, "id", "left").join(counted, "id", "left").join(_parents(edges), "id", "left").join(_inner(edges), "id", "left")
+    empty = F.array().cast("array<string>")
+    path = F.coalesce("path", empty)
+    count = F.when(F.col("path").isNull(), F.lit(1)).otherwise(F.col("n_paths")).cast("decimal(38,0)")
+    return rows.select("id", "name", path.alias("path"), F.array_join(path, " > ").alias("path_string"), F.size(path).alias("depth"), count.alias("path_count"), *_told())
+
+
+def _parents(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(F.col("child_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "parent_id"))).alias("parents"))
+
+
+def _inner(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("parent_id").alias("id")).distinct().withColumn("has_children", F.lit(True))
+
+
+def _told() -> list[Column]:
+    first = F.coalesce(F.get("parents", F.lit(0))["parent_id"], F.lit(""))
+    every = F.coalesce(F.transform("parents", lambda p: p["parent_id"]), F.array().cast("array<string>"))
+    return [first.alias("parent_id"), every.alias("all_parent_ids"), F.col("has_children").isNull().alias("is_leaf")]
+
+
 def enrich(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:
     """id, name, path (the shortest, first on ties), path_string, all_paths, depth, path_count, parent_id (first listed), all_parent_ids, is_leaf.
 
-    A tag without a path has the empty path alone.
+    Lists every path, which may be exponential in the tags; ``summary`` counts them instead. A tag without a path has the empty path alone.
     """
     found = paths(nodes, edges, root_id).groupBy("id").agg(
         F.min_by("path", F.struct(F.size("path"), "ords")).alias("path"), F.array_sort(F.collect_list(F.struct("ords", "path"))).alias("all"),
     )
-    parents = edges.groupBy(F.col("child_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "parent_id"))).alias("parents"))
-    inner = edges.select(F.col("parent_id").alias("id")).distinct().withColumn("has_children", F.lit(True))
-    rows = nodes.join(found, "id", "left").join(parents, "id", "left").join(inner, "id", "left")
+    rows = nodes.join(found, "id", "left").join(_parents(edges), "id", "left").join(_inner(edges), "id", "left")
     empty = F.array().cast("array<string>")
     every = F.coalesce(F.array_distinct(F.transform("all", lambda p: p["path"])), F.array(empty))
     path = F.coalesce("path", empty)
-    return rows.select("id", "name", path.alias("path"), F.array_join(path, " > ").alias("path_string"), every.alias("all_paths"), F.size(path).alias("depth"), F.size(every).alias("path_count"), F.coalesce(F.get("parents", F.lit(0))["parent_id"], F.lit("")).alias("parent_id"), F.coalesce(F.transform("parents", lambda p: p["parent_id"]), empty).alias("all_parent_ids"), F.col("has_children").isNull().alias("is_leaf"))
+    return rows.select("id", "name", path.alias("path"), F.array_join(path, " > ").alias("path_string"), every.alias("all_paths"), F.size(path).alias("depth"), F.size(every).alias("path_count"), *_told())
 
 
 def stats(tags: DataFrame) -> DataFrame:

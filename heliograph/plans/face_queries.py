@@ -224,18 +224,29 @@ def clustered(spark, sf_dir):
     return e, clusters.leader_clusters(e, "job", ["vec_id"], "embedding", threshold=0.3)
 
 
-@query("leader_cluster")
+LEADERS_SQL = f"""with recursive {E_SQL}, placed as (select label as job, vec_id, v, row_number() over (partition by label order by vec_id) as i from e),
+walk(job, i, vec_id, cluster, leaders) as (
+  select distinct job, 0, cast(null as bigint), cast(null as bigint), cast([] as double[][]) from placed
+  union all select job, i, vec_id, cast(coalesce(hit - 1, len(leaders)) as bigint), case when hit is null then list_append(leaders, v) else leaders end from (
+    select p.*, w.leaders, nullif(coalesce(list_position(list_transform(w.leaders, lambda u: {COS.format(a='u', b='p.v')} >= 0.3), true), 0), 0) as hit from walk w join placed p on p.job = w.job and p.i = w.i + 1)),
+members as (select job, vec_id, cluster from walk where i > 0)
+"""
+
+
+@query("leader_cluster", f"{LEADERS_SQL} select job, vec_id, cluster from members")
 def leader_cluster(spark, sf_dir):
     return clustered(spark, sf_dir)[1]
 
 
-@query("cluster_representative")
+@query("cluster_representative", f"""{LEADERS_SQL}
+select job, cluster, arg_max(vec_id, struct_pack(q := vec_id * 37 % 101, o := -vec_id)) as vec_id, max(cast(vec_id * 37 % 101 as double)) as quality, count(*) as n_members from members group by job, cluster""")
 def cluster_representative(spark, sf_dir):
     members = clustered(spark, sf_dir)[1].withColumn("quality", (F.col("vec_id") * 37 % 101).cast("double"))
     return clusters.representatives(members, ["job", "cluster"], "quality", "vec_id", [])
 
 
-@query("cluster_report")
+@query("cluster_report", f"""{LEADERS_SQL}
+select job, count(distinct cluster) as unique_faces, count(*) as total_detections, count(distinct vec_id % 40) as frames_processed from members group by job""")
 def cluster_report(spark, sf_dir):
     members = clustered(spark, sf_dir)[1].withColumn("frame", F.col("vec_id") % 40)
     return clusters.face_report(members, "job", "frame")

@@ -238,9 +238,8 @@ def requests(spark, sf_dir):
   select *, row_number() over w as position, sum(vram_mb) over (partition by device order by priority, asked, request_id rows unbounded preceding) as so_far from requests window w as (partition by device order by priority, asked, request_id))
 select request_id, device, position, position * 60 as wait_s, so_far <= 3000 as granted from ranked""")
 def queue_grant(spark, sf_dir):
-    order = ["priority", "at", "request_id"]
-    placed = resources.queue_positions(requests(spark, sf_dir), "device", order)
-    return resources.grants(placed, "device", order, F.lit(3000.0)).select("request_id", "device", F.col("position").cast("long").alias("position"), F.col("wait_s").cast("long").alias("wait_s"), "granted")
+    placed = resources.queue(requests(spark, sf_dir), "device", ["priority", "at", "request_id"], F.lit(3000.0))
+    return placed.select("request_id", "device", F.col("position").cast("long").alias("position"), F.col("wait_s").cast("long").alias("wait_s"), "granted")
 
 
 @query("lease_expiry", """

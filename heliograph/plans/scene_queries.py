@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
 from ..operators import spans
+from ..operators.ordered import kept_apart
 from ..sources import vtt
 from .base import query, seconds, table
 
@@ -202,18 +203,34 @@ def extraction_success(spark, sf_dir):
     return e.groupBy(F.col("user_id").alias("job_id")).agg(F.round(ok, 6).alias("success_ratio"), enhanced.alias("n_enhanced"))
 
 
-@query("shot_boundaries", f"""with {FRAMES_SQL}, near as (
+MARKS_SQL = """marks as (select *, row_number() over (partition by method, job_id order by t, frame_index) as i from marked where hit),
+kept(method, job_id, t, frame_index) as (
+  select method, job_id, t, frame_index from marks where i = 1
+  union all select method, job_id, t, frame_index from (
+    select m.*, row_number() over (partition by m.method, m.job_id order by m.t, m.frame_index) as nth from kept k join marks m on m.method = k.method and m.job_id = k.job_id and m.t >= k.t + 7200) where nth = 1)"""
+
+
+@query("shot_boundaries", f"""with recursive {FRAMES_SQL}, near as (
   select *, lag(score) over w as before, sum(score) over (w rows between 2 preceding and 2 following) - score as around, count(*) over (w rows between 2 preceding and 2 following) - 1 as beside from frames window w as (partition by job_id order by t, frame_index)),
 marked as (select job_id, frame_index, t, method, case method when 'content' then score >= 100 when 'threshold' then score >= 100 and before < 100 else beside > 0 and score * beside >= 4 * around end as hit
-  from near cross join (select unnest(['content', 'threshold', 'adaptive']) as method)),
-cuts as (select *, t - lag(t) over (partition by method, job_id order by t, frame_index) as gap from marked where hit)
-select method, job_id, count(*) as n_cuts, cast(sum(frame_index) as bigint) as frames from cuts where gap is null or gap >= 7200 group by method, job_id""")
+  from near cross join (select unnest(['content', 'threshold', 'adaptive']) as method)), {MARKS_SQL}
+select method, job_id, count(*) as n_cuts, cast(sum(frame_index) as bigint) as frames from kept group by method, job_id""")
 def shot_boundaries(spark, sf_dir):
     f = frames(spark, sf_dir)
     found = [spans.cuts(f, "job_id", ["t", "frame_index"], "score", "t", m, limit, 7200.0).where("cut").withColumn("method", F.lit(m)) for m, limit in (("content", 100.0), ("threshold", 100.0), ("adaptive", 4.0))]
     return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("method", "job_id").agg(F.count("*").alias("n_cuts"), F.sum("frame_index").alias("frames"))
 
 
+@query("fade_cuts", f"""with recursive {FRAMES_SQL}, lit as (select *, score >= 60 as bright, lag(score >= 60, 1, true) over (partition by job_id order by t, frame_index) as before from frames),
+turns as (select *, lag(t) over (partition by job_id order by t, frame_index) as fade_out from lit where bright <> before),
+marked as (select 'fade' as method, job_id, fade_out + (t - fade_out) * 0.5 as t, t as fade_in, fade_out, row_number() over (order by job_id, t) as frame_index, true as hit from turns where bright and fade_out is not null), {MARKS_SQL}
+select k.job_id, round(m.fade_out, 6) as fade_out, round(m.fade_in, 6) as fade_in, round(k.t, 6) as cut_at from kept k join marked m using (job_id, frame_index)""")
+def fade_cuts(spark, sf_dir):
+    found = spans.fades(frames(spark, sf_dir), "job_id", ["t", "frame_index"], "score", "t", 60.0)
+    kept = kept_apart(found, "job_id", ["fade_in"], "cut_at", 7200.0)
+    return kept.select("job_id", *(F.round(c, 6).alias(c) for c in ("fade_out", "fade_in", "cut_at")))
+
+
 @query("candidate_count", """
 select o_orderkey, case when o_orderkey % 2 = 0 and o_custkey % 3 > 0 then (o_orderkey % 5 + 1) * 3 else o_orderkey % 5 + 1 end as n_frames from orders""")
 def candidate_count(spark, sf_dir):

@@ -51,7 +51,7 @@ tags as (select n.id, n.name, array_to_string(b.path, ' > ') as path_string, coa
 
 def tags(spark, sf_dir):
     nodes, edges = tree(spark, sf_dir)
-    return taxonomy.enrich(nodes, edges, "root").where("id <> 'root'").checkpoint()  # read by several steps of a query
+    return taxonomy.summary(nodes, edges, "root").where("id <> 'root'").withColumn("path_count", F.col("path_count").cast("int")).checkpoint()  # read by several steps of a query
 
 
 @query("tag_enrich", f"""{TAGS_SQL} select id, name, path_string, cast(depth as integer) as depth, cast(path_count as integer) as path_count, parent_id, is_leaf from tags""")
@@ -59,6 +59,11 @@ def tag_enrich(spark, sf_dir):
     return tags(spark, sf_dir).select("id", "name", "path_string", "depth", "path_count", "parent_id", "is_leaf")
 
 
+@query("taxonomy_path_counts", f"""{WALK_SQL} select id, count(*) as n_paths, cast(max(len(path)) as integer) as longest from walk where id <> 'root' group by id""")
+def taxonomy_path_counts(spark, sf_dir):
+    return taxonomy.path_counts(*tree(spark, sf_dir), "root").withColumn("n_paths", F.col("n_paths").cast("long"))
+
+
 @query("taxonomy_stats", f"""{TAGS_SQL} select count(*) as n_tags, count(*) filter (where is_leaf) as n_leaves, count(*) filter (where not is_leaf) as n_branches, cast(coalesce(max(depth), 0) as integer) as max_depth from tags""")
 def taxonomy_stats(spark, sf_dir):
     return taxonomy.stats(tags(spark, sf_dir))

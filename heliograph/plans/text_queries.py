@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources import content_hash
 from .base import query, table
 
 
@@ -76,6 +77,24 @@ def cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", t.cache_key(path, F.col("o_custkey"), "faces", params).alias("cache_key"), t.source_index(path).alias("source_index"))
 
 
+@query("content_cache_keys", """
+with d as (select doc_id, case doc_id % 3 when 0 then '/tmp/' when 1 then '/var/tmp/' else '/media/' end || doc_id as path, encode(text) as b from documents),
+h as (select *, sha256(encode(cast(octet_length(b) as varchar)) || b[1:8192] || case when octet_length(b) > 16384 then b[octet_length(b) - 8191:octet_length(b)] else ''::blob end
+  || case when octet_length(b) > 32768 then b[octet_length(b) // 2 + 1:octet_length(b) // 2 + 8192] else ''::blob end) as content_hash from d)
+select doc_id, content_hash, case when doc_id % 3 < 2 and b is not null then sha256('content:' || content_hash || ':frames:{}') else sha256(path || ':' || doc_id || ':frames:{}') end as cache_key from h""")
+def content_cache_keys(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", content_hash.content_hash(F.encode("text", "UTF-8")).alias("content_hash"))
+    folder = F.when(F.col("doc_id") % 3 == 0, "/tmp/").when(F.col("doc_id") % 3 == 1, "/var/tmp/").otherwise("/media/")
+    path = F.concat(folder, F.col("doc_id").cast("string"))
+    return d.select("doc_id", "content_hash", content_hash.content_cache_key(path, F.col("doc_id"), "frames", F.lit("{}"), F.col("content_hash")).alias("cache_key"))
+
+
+@query("file_hashes")
+def file_hashes(spark, sf_dir):
+    found = content_hash.file_hashes(content_hash.listed(spark, sf_dir, "*.parquet"))
+    return found.withColumn("path", F.regexp_extract("path", "[^/]*$", 0))
+
+
 @query("durations", """
 select o_orderkey, case when s = 0 then 'Unknown' when s >= 60 then s // 60 || 'm ' || s % 60 || 's' else s || 's' end as words,
   case when s < 60 then s || '.0s' when s < 3600 then s // 60 || 'm ' || s % 60 || 's' else s // 3600 || 'h ' || s // 60 % 60 || 'm' end as short,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -27,3 +27,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's spark.checkpoint.dir; only a local master that names none (as in tests) gets a temporary one."""
     base = checkpoint_folder(spark)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, label: str = "round") -> DataFrame:
+    """df as a table in the shared folder, read again.
+
+    For loops: a checkpoint would carry what the planner knows of a frame's columns (constraints) from round to round, which grows without end.
+    """
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import hashlib
+import os
 import random
+import urllib.parse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from heliograph.functions import vectors
-from heliograph.operators import clusters, decode, jobs, resources, spans, taxonomy
-from heliograph.sources import media, stores, vtt
+from heliograph.operators import clusters, decode, jobs, ordered, resources, spans, taxonomy
+from heliograph.sources import content_hash, media, stores, vtt
 from heliograph.sources import taxonomy as tag_source
 
 JOB = "job_id long, service string, status string, source string, source_id string, created_at string, cache_key string, completed_at string, progress double"
@@ -109,6 +112,42 @@ def test_leader_clusters(spark):
     assert next(r.cluster for r in got if r.i == 60) == max(r.cluster for r in got if r.job == "a")
 
 
+@pytest.mark.parametrize(("block", "chunk"), [(1, 7), (5, 3), (16, 1000)])
+def test_leader_clusters_in_rounds(spark, block, chunk):
+    rng = np.random.default_rng(6)
+    data = {job: [rng.normal(size=4) for _ in range(n)] for job, n in (("a", 45), (None, 12), ("c", 1))}
+    rows = [(job, i, [float(y) for y in x]) for job, xs in data.items() for i, x in enumerate(xs)]
+    rows += [("a", 45, None), ("a", 46, [0.0] * 4), ("a", 47, None), ("d", 0, None)]
+    random.Random(2).shuffle(rows)
+    got = clusters.leader_clusters(spark.createDataFrame(rows, "job string, i int, v array<double>"), "job", ["i"], "v", 0.6, block, chunk).collect()
+    assert len(got) == len(rows)
+    for job, xs in data.items():
+        mine = [r.cluster for r in sorted((r for r in got if r.job == job and r.i < 45), key=lambda r: r.i)]
+        assert mine == leaders(xs, 0.6)
+    last = max(leaders(data["a"], 0.6))
+    assert sorted((r.i, r.cluster) for r in got if r.job == "a" and r.i >= 45) == [(45, last + 1), (46, last + 2), (47, last + 3)]
+    assert clusters.leader_clusters(spark.createDataFrame([], "job string, i int, v array<double>"), "job", ["i"], "v").count() == 0
+
+
+def test_running_sums_of_one_key_in_many_tasks(spark):
+    rng = random.Random(3)
+    rows = [("g", rng.randrange(50), i, None if i % 7 == 0 else float(rng.randrange(100))) for i in range(3000)] + [(None, 1, -1, 5.0), ("h", 0, -2, None), ("h", 1, -3, 2.0)]
+    frame = spark.createDataFrame(rows, "d string, p int, i int, mb double")
+    got = ordered.running(frame, ["d"], ["p", "i"], {"so_far": "mb"}, "place", parts=9).collect()
+    want = {}
+    for d in ("g", None, "h"):
+        total = None
+        for place, (_, _, i, mb) in enumerate(sorted((r for r in rows if r[0] == d), key=lambda r: r[1:3]), 1):
+            total = total if mb is None else (total or 0.0) + mb
+            want[i] = (place, total)
+    assert {r.i: (r.place, r.so_far) for r in got} == want and len(got) == len(rows)
+    spread = ordered.running(frame, ["d"], ["p", "i"], place="n", parts=9).groupBy(F.spark_partition_id()).count()
+    assert spread.count() > 1
+    whole = resources.queue(frame.withColumnRenamed("mb", "vram_mb"), "d", ["p", "i"], F.lit(400.0))
+    assert {r.i: r.position for r in whole.collect()} == {i: n for i, (n, _) in want.items()}
+    assert {r.i for r in whole.where("granted").collect()} == {i for i, (_, s) in want.items() if s is not None and s <= 400}
+
+
 def test_representative_and_match(spark):
     members = spark.createDataFrame([("j", 0, 0, 0.5), ("j", 0, 1, 0.9), ("j", 0, 2, 0.9), ("j", 1, 3, 0.1)], "job string, cluster int, i int, q double")
     assert {r.cluster: r.i for r in clusters.representatives(members, ["job", "cluster"], "q", "i", []).collect()} == {0: 1, 1: 3}
@@ -181,6 +220,104 @@ def test_cuts_by_method(spark):
         spans.cuts(rows, "k", ["i"], "s", "t", "other")
 
 
+def kept_by_a_walk(times, least):
+    out, last = [], None
+    for t in sorted(times):
+        if last is None or t >= last + least:
+            out.append(t)
+            last = t
+    return out
+
+
+def test_cuts_equal_a_walk(spark):
+    rng = random.Random(5)
+    runs = {"even": [i * 0.5 for i in range(20)], "one": [3.0], "same": [1.0] * 5, "burst": sorted(rng.choice([0.0, 4.0, 9.0]) + rng.random() for _ in range(200)), "long": sorted(rng.random() * 300 for _ in range(700))}
+    rows = [(k, i, t, 9.0) for k, ts in runs.items() for i, t in enumerate(ts)] + [(None, i, float(i), 9.0) for i in range(4)] + [("quiet", i, float(i), 0.0) for i in range(4)]
+    frame = spark.createDataFrame(rows, "k string, i int, t double, s double")
+    for least in (0.6, 2.0, 0.0):
+        got = {}
+        for r in spans.cuts(frame, "k", ["i"], "s", "t", "content", 5.0, least).where("cut").collect():
+            got.setdefault(r.k, []).append(r.t)
+        assert {k: sorted(v) for k, v in got.items()} == {k: kept_by_a_walk(ts, least) if least else sorted(ts) for k, ts in [*runs.items(), (None, [0.0, 1.0, 2.0, 3.0])]}
+    assert spans.cuts(frame, "k", ["i"], "s", "t").count() == len(rows)
+    assert spans.cuts(frame, "k", ["i"], "s", "t", "content", 5.0).where("k = 'even' and cut").count() == 10
+
+
+def test_fades(spark):
+    scores = [20.0, 5.0, None, 4.0, 30.0, 31.0, 2.0, 40.0, 3.0]
+    frame = spark.createDataFrame([("a", i, float(i), s) for i, s in enumerate(scores)] + [("b", 0, 0.0, 1.0), ("b", 1, 2.0, 50.0), ("c", 0, 0.0, None)], "k string, i int, t double, s double")
+    told = lambda bias: sorted(tuple(r) for r in spans.fades(frame, "k", ["i"], "s", "t", 12.0, bias).collect())
+    assert told(0.0) == [("a", 1.0, 4.0, 2.5), ("a", 6.0, 7.0, 6.5), ("b", 0.0, 2.0, 1.0)]
+    assert [x[3] for x in told(-1.0)] == [1.0, 6.0, 0.0] and [x[3] for x in told(1.0)] == [4.0, 7.0, 2.0]
+
+
+def test_paths_are_counted_without_listing_them(spark):
+    names = [f"{k}{i}" for i in range(8) for k in "xyz"]
+    nodes = spark.createDataFrame([(n, n.upper(), i) for i, n in enumerate([*names, "lone"])], "id string, name string, ord long")
+    stack = [(f"{k}{i}", f"x{i}", 0) for i in range(7) for k in "yz"] + [(f"x{i + 1}", f"{k}{i}", o) for i in range(7) for o, k in enumerate("yz")]
+    edges = spark.createDataFrame([*stack, ("y0", "y0", 1), ("x3", "y2", 7)], "child_id string, parent_id string, ord int")
+    tags = {r.id: r for r in taxonomy.summary(nodes, edges, "x0").collect()}
+    assert tags["x7"].path_count == 2**7 and tags["x7"].depth == 14 and tags["x7"].path_string.endswith("X6 > Y6")
+    assert tags["lone"].path_count == 1 and tags["lone"].path == [] and tags["x0"].depth == 0
+    counts = {r.id: (int(r.n_paths), r.longest) for r in taxonomy.path_counts(nodes, edges, "x0").collect()}
+    assert counts["z6"] == (2**6, 13) and "lone" not in counts and "z7" not in counts
+
+
+def test_summary_equals_the_listing_and_leaves_cycles_uncounted(spark):
+    rng = random.Random(7)
+    ids = [f"t{i}" for i in range(14)]
+    nodes = spark.createDataFrame([(n, n.upper(), i) for i, n in enumerate(ids)], "id string, name string, ord long")
+    links = [(ids[i], p, o) for i in range(1, 14) for o, p in enumerate(rng.sample(ids[:i], min(i, rng.randrange(1, 4))))]
+    edges = spark.createDataFrame(links, "child_id string, parent_id string, ord int")
+    listed = {r.id: r for r in taxonomy.enrich(nodes, edges, "t0").collect()}
+    for r in taxonomy.summary(nodes, edges, "t0").collect():
+        a = listed[r.id]
+        assert (r.path, r.path_string, r.depth, r.path_count, r.parent_id, r.all_parent_ids, r.is_leaf) == (a.path, a.path_string, a.depth, a.path_count, a.parent_id, a.all_parent_ids, a.is_leaf)
+    looped = spark.createDataFrame([("a", "r", 0), ("b", "a", 0), ("a", "b", 1), ("c", "b", 0), ("d", "r", 0), ("r", "d", 0)], edges.schema)
+    few = spark.createDataFrame([(n, n, i) for i, n in enumerate("rabcd")], nodes.schema)
+    assert {r.id: r.path_count for r in taxonomy.summary(few, looped, "r").collect()} == {"r": 1, "a": None, "b": None, "c": None, "d": 1}
+    assert {r.id: r.depth for r in taxonomy.summary(few, looped, "r").collect()} == {"r": 0, "a": 1, "b": 2, "c": 3, "d": 1}
+
+
+def sampled(data: bytes) -> str:
+    h = hashlib.sha256(str(len(data)).encode())
+    h.update(data[:8192])
+    if len(data) > 16384:
+        h.update(data[-8192:])
+    if len(data) > 32768:
+        h.update(data[len(data) // 2 :][:8192])
+    return h.hexdigest()
+
+
+def test_content_hashes_of_files_and_columns(spark, tmp_path):
+    rng = random.Random(9)
+    held = {f"f {n}.bin": rng.randbytes(n) for n in (0, 1, 8191, 8192, 8193, 16384, 16385, 32768, 32769, 40960)}
+    (tmp_path / "in").mkdir()
+    for name, data in held.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    got = content_hash.file_hashes(content_hash.listed(spark, str(tmp_path))).collect()
+    assert {(os.path.basename(urllib.parse.unquote(r.path)), r.length, r.content_hash) for r in got} == {(n, len(d), sampled(d)) for n, d in held.items()}
+    frame = spark.createDataFrame([(n, bytearray(d)) for n, d in held.items()] + [("none", None)], "n string, b binary")
+    assert {r.n: r.h for r in frame.select("n", content_hash.content_hash(F.col("b")).alias("h")).collect()} == {n: sampled(d) for n, d in held.items()} | {"none": None}
+    gone = spark.createDataFrame([(f"file:{tmp_path}/in/none", 4)], "path string, length long")
+    assert content_hash.file_hashes(gone).head().content_hash == ""
+
+
+def test_cache_keys_of_temporary_files_go_by_content(spark):
+    rows = spark.createDataFrame([("/tmp/a", "h1"), ("/var/tmp/b", "h1"), ("/tmp/c", ""), ("/media/a", "h1")], "p string, h string")
+    key = [r.k for r in rows.select(content_hash.content_cache_key(F.col("p"), F.lit(5), "m", F.lit("{}"), F.col("h")).alias("k")).collect()]
+    by = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert key == [by("content:h1:m:{}"), by("content:h1:m:{}"), by("/tmp/c:5:m:{}"), by("/media/a:5:m:{}")]
+
+
+def test_file_hash_query_reads_the_given_files(spark, data):
+    from heliograph.plans.registry import QUERIES
+
+    got = {r.path: r.content_hash for r in QUERIES["file_hashes"](spark, data).collect()}
+    want = {f: sampled(open(os.path.join(at, f), "rb").read()) for at, _, names in os.walk(data) for f in names if f.endswith(".parquet")}
+    assert got == want
+
+
 def test_set_difference(spark):
     assert tuple(stores.set_difference(spark.range(5), spark.range(3, 6)).head()) == (3, 1, False)
 

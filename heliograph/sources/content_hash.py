@@ -30,7 +30,7 @@ def ranges(size: int) -> list[tuple[int, int]]:
 
 
 def listed(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path and length of the files under a folder, by Spark's own listing; contents aren't read."""
+    """path and length of the files under a folder, by Spark's own listing, which passes empty files over; contents aren't read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 

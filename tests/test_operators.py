@@ -295,7 +295,8 @@ def test_content_hashes_of_files_and_columns(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, data in held.items():
         (tmp_path / "in" / name).write_bytes(data)
-    got = content_hash.file_hashes(content_hash.listed(spark, str(tmp_path))).collect()
+    empty = spark.createDataFrame([(f"file:{tmp_path}/in/f 0.bin", 0)], "path string, length long")
+    got = content_hash.file_hashes(content_hash.listed(spark, str(tmp_path)).unionByName(empty)).collect()
     assert {(os.path.basename(urllib.parse.unquote(r.path)), r.length, r.content_hash) for r in got} == {(n, len(d), sampled(d)) for n, d in held.items()}
     frame = spark.createDataFrame([(n, bytearray(d)) for n, d in held.items()] + [("none", None)], "n string, b binary")
     assert {r.n: r.h for r in frame.select("n", content_hash.content_hash(F.col("b")).alias("h")).collect()} == {n: sampled(d) for n, d in held.items()} | {"none": None}

@@ -152,7 +152,7 @@ def test_pairs_at_the_threshold_are_decided_by_their_shingles(spark):
         likely.append((2 * g, 2 * g + 1))
         if len(a & b) >= 0.8 * len(a | b):
             want.add((2 * g, 2 * g + 1))
-    marks = next(simhash._marks(5, 0.8)(iter([pd.DataFrame({"doc_id": [n for n, _ in nodes], "text_key": [0] * len(nodes), "text": [t for _, t in nodes]})])))
+    marks = pd.concat(simhash._marks(5, 0.8)(iter([pd.DataFrame({"doc_id": [n for n, _ in nodes], "text_key": [0] * len(nodes), "text": [t for _, t in nodes]})])))
     prints = [np.frombuffer(f, dtype=np.uint8) for f in marks["fp"]]
     apart = {p: int(np.bitwise_count(prints[p[0]] ^ prints[p[1]]).sum()) for p in likely}
     assert want and all(apart[p] <= simhash.hamming_limit(0.8) for p in want)
@@ -286,6 +286,10 @@ def brute_chunks(lines):
     return out
 
 
+def size_of(lines):
+    return sum(len(x.split()) for x in lines)
+
+
 def brute_lines(rows):
     """Texts after line dedup, by plain comparison of strings."""
     where, spans = defaultdict(list), {}
@@ -296,22 +300,29 @@ def brute_lines(rows):
         spans[d] = (lines, cut)
         for a, b in sorted(cut | {(i, i + 2) for i in range(len(lines) - 1)}):
             where["\n".join(lines[a:b])].append((d, a, b))
-    out = {}
-    for d, text in rows:
+    goes = {}
+    for d, _ in rows:
         lines, cut = spans[d]
-        gone = set()
-        for places in where.values():
-            if len(places) > 1 and any(p[0] == d for p in places):
-                gone |= {(a, b) for e, a, b in sorted(places)[1:] if e == d}
-        taken = {i for a, b in gone & cut for i in range(a, b)}
+        first = lambda a, b: min(where["\n".join(lines[a:b])])[:2]  # noqa: B023, E731
+        found = [(a, b, first(a, b)) for a, b in sorted(cut) if first(a, b) != (d, a)]
+        covered = {i for a, b, _ in found for i in range(a, b)}
         i = 0
-        while i < len(lines):
-            j = i
-            while (j, j + 2) in gone:
+        while i + 1 < len(lines):
+            at, j = first(i, i + 2), i + 1  # the longest run of uncovered lines that stands whole where its first pair stands first
+            whole = spans[at[0]][0]
+            while j < len(lines) and at != (d, i) and not covered & set(range(i, j + 1)) and lines[i : j + 1] == whole[at[1] : at[1] + j + 1 - i] and first(j - 1, j + 1) == (at[0], at[1] + j - 1 - i):
                 j += 1
-            if j > i and sum(len(x.split()) for x in lines[i : j + 1]) >= 30:
-                taken |= set(range(i, j + 1))
-            i = max(j, i + 1)
+            if j - i > 1 and size_of(lines[i:j]) >= 30:
+                found.append((i, j, at))
+                i = j
+            else:
+                i = max(j - 1, i + 1)
+        goes[d] = found
+    stays = {(e, k + n) for found in goes.values() for a, b, (e, k) in found for n in range(b - a)}
+    out = {}
+    for d, text in rows:
+        lines, _ = spans[d]
+        taken = {i for a, b, _ in goes[d] for i in range(a, b) if (d, i) not in stays}
         kept, k, waiting = [], -1, []
         for line in text.split("\n"):
             if line.split():
@@ -334,6 +345,55 @@ def test_line_dedup_against_brute_force(spark, documents):
     assert got == brute_lines(rows)
 
 
+def deduped(spark, texts):
+    return {r.row.doc_id: r.kept for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_a_run_needs_one_document_that_holds_it_whole(spark):
+    rng = random.Random(41)
+    a, b, c, d = (" ".join(sentence_words(rng, 20)) for _ in range(4))
+    texts = ["\n".join(x) for x in ((a, b), (b, c), (c, d), (a, b, c, d))]
+    got = deduped(spark, texts)
+    held = [x.split("\n") for x in (got[0], got[1], got[2])]
+    assert [got[i] for i in range(3)] == texts[:3] and all("\n".join(x) in texts for x in held)
+    assert got[3] == ""  # a b stands whole in the first, c d in the third
+    e, f, g = (" ".join(sentence_words(rng, 12)) for _ in range(3))
+    mixed = ["\n".join(x) for x in ((e, f), (f, g), (e, f, g))]
+    assert deduped(spark, mixed) == dict(enumerate(mixed))  # 36 words, but no document holds the three lines, and 24 are too few
+
+
+def test_what_a_removal_points_to_stays(spark):
+    rng = random.Random(42)
+    a, b, c = (" ".join(sentence_words(rng, 20)) for _ in range(3))
+    texts = ["\n".join(x) for x in ((b, c), (a, b, c), (a, b))]
+    got = deduped(spark, texts)
+    assert got[0] == texts[0] and got[1] == f"{a}\n{b}" and got[2] == ""
+
+
+def test_removed_lines_stand_whole_elsewhere(spark, documents):
+    rows = [(r.doc_id, r.text or "") for r in documents.collect()]
+    kept = {r.row.doc_id: r.kept for r in line_dedup.dedup_lines(documents).collect()}
+    left = ["\n".join(["", *(x for x in t.split("\n") if x.split()), ""]) for t in kept.values()]
+    n = 0
+    for doc, text in rows:
+        lines, stays = [x for x in text.split("\n") if x.split()], [x for x in kept[doc].split("\n") if x.split()]
+        if len(stays) == len(lines):
+            continue
+        i = 0
+        gone = []
+        for x in lines:  # what is kept is a subsequence: the others are gone
+            if i < len(stays) and x == stays[i]:
+                i += 1
+                gone.append(None)
+            else:
+                gone.append(x)
+        assert i == len(stays)
+        for x in filter(None, gone):
+            n += 1
+            assert any(f"\n{x}\n" in t for t in left)
+    assert n
+
+
 def test_line_dedup_of_random_lines(spark):
     rng = random.Random(41)
     few = [" ".join(sentence_words(rng, rng.choice([1, 4, 9, 20, 31]))) for _ in range(12)] + ["", " "]

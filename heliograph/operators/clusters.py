@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
@@ -16,9 +17,11 @@ from .ordered import running
 
 #: Undecided detections of a job that are walked in a round, and detections that meet a round's leaders in one task.
 BLOCK, CHUNK = 1_024, 20_000
+#: Pivots of an index and candidates that they are taken from; angles closer than the slack count as equal.
+PIVOTS, SAMPLE, SLACK = 32, 2_048, 1e-6
 
 
-def units(vectors: pd.Series, width: int | None = None) -> np.ndarray:
+def units(vectors: pd.Series | list, width: int | None = None) -> np.ndarray:
     """Unit vectors as rows; a null or zero vector stays zero."""
     width = width or max((len(v) for v in vectors if v is not None), default=0)
     out = np.array([np.zeros(width) if v is None else v for v in vectors], dtype=np.float64).reshape(len(vectors), width)
@@ -95,12 +98,80 @@ def face_report(members: DataFrame, job: str, frame: str) -> DataFrame:
     return members.groupBy(job).agg(F.countDistinct("cluster").alias("unique_faces"), F.count("*").alias("total_detections"), F.countDistinct(frame).alias("frames_processed"))
 
 
-def best_matches(queries: DataFrame, candidates: DataFrame, key: str, threshold: float = 0.6) -> DataFrame:
-    """For each query (query_id, key, vector) the candidate of its key (candidate_id, ord, vector) of highest cosine, strictly over the threshold; the earliest on ties."""
-    both = queries.select(key, "query_id", F.col("vector").alias("q")).join(candidates.select(key, "candidate_id", "ord", F.col("vector").alias("c")), key)
-    scored = both.select("query_id", "candidate_id", "ord", cosine(F.col("q"), F.col("c")).alias("similarity")).where(F.col("similarity") > threshold)
-    best = F.max_by(F.struct("candidate_id", "similarity"), F.struct("similarity", -F.col("ord")))
-    return scored.groupBy("query_id").agg(best.alias("m")).select("query_id", "m.candidate_id", "m.similarity")
+def _pivots(candidates: DataFrame, n: int, sample: int) -> np.ndarray:
+    """Up to n unit vectors far apart, of ``sample`` candidates: each next one is the farthest from those before it."""
+    some = candidates.orderBy(F.xxhash64("candidate_id"), "candidate_id").limit(sample).select("c").toPandas()["c"]
+    widths = [len(v) for v in some]
+    width = max(set(widths), key=widths.count, default=0)
+    unit = units([v for v in some if len(v) == width], width)
+    unit = unit[np.isfinite(unit).all(axis=1) & unit.any(axis=1)]
+    if not len(unit):
+        return np.zeros((0, width))
+    found, nearest = [0], unit @ unit[0]
+    while len(found) < min(n, len(unit)) and nearest.min() < 1 - 1e-9:
+        found.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[found[-1]])
+    return unit[found]
+
+
+def best_matches(queries: DataFrame, candidates: DataFrame, key: str, threshold: float = 0.6, pivots: int = PIVOTS, sample: int = SAMPLE, compared: tuple[Observation, Observation] | None = None) -> DataFrame:
+    """For each query (query_id, key, vector) the candidate of its key (candidate_id, ord, vector) of highest cosine, strictly over the threshold; the earliest on ties.
+
+    Exact, without comparing all: candidates belong to the part of their nearest pivot (``pivots`` of them, from a sample of ``sample`` candidates),
+    and a part knows its range of angles from its pivot. By the triangle inequality of angles a query knows how near a part can come. It meets
+    the part of the nearest pivot first, then those parts, and of these the candidates, that can still beat what it has. Unclustered vectors skip little.
+    Null, NaN and differently long vectors match nothing; a zero vector has the similarity 0. compared: two observations that count the pairs of both rounds.
+    """
+    whole = lambda v: F.forall(F.col(v).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x))
+    told = candidates.where(whole("vector")).select(F.col(key).alias("key"), "candidate_id", "ord", F.col("vector").alias("c"))
+    chosen = _pivots(told, pivots, sample)
+
+    def angles(vectors: pd.Series) -> np.ndarray:
+        """To each pivot; NaN where a vector has none."""
+        out = np.full((len(vectors), len(chosen)), np.nan)
+        fit = np.array([v is not None and len(v) == chosen.shape[1] for v in vectors], dtype=bool)
+        unit = units(vectors[fit], chosen.shape[1])
+        out[fit] = np.where(unit.any(axis=1, keepdims=True), np.arccos(np.clip(unit @ chosen.T, -1, 1)), np.nan)
+        return out
+
+    @F.pandas_udf("array<double>")
+    def to_pivots(vectors: pd.Series) -> pd.Series:
+        return pd.Series([None if np.isnan(a).any() else a for a in angles(vectors)], dtype=object)
+
+    @F.pandas_udf("part int, angle double")
+    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
+        a = angles(vectors)
+        off = np.isnan(a).any(axis=1) | (a.shape[1] == 0)  # a part of its own that every query meets
+        a = np.where(off[:, None], 0.0, a)
+        part = a.argmin(axis=1) if a.shape[1] else np.zeros(len(a), dtype=int)
+        return pd.DataFrame({"part": np.where(off, -1, part), "angle": a[np.arange(len(a)), part] if a.shape[1] else np.zeros(len(a))})
+
+    indexed = landed(told.withColumn("p", nearest_pivot("c")).select("key", "candidate_id", "ord", "c", "p.part", "p.angle"), "index")
+    parts = indexed.groupBy("key", "part").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).groupBy("key").agg(F.collect_list(F.struct("part", "low", "high")).alias("parts"))
+    asked = queries.where(whole("vector")).select(F.col(key).alias("key"), "query_id", F.col("vector").alias("q"), to_pivots("vector").alias("to")).join(parts, "key")
+    own = lambda p: F.when(p["part"] >= 0, F.get(F.col("to"), p["part"]))  # noqa: E731  null: no bound
+    gap = lambda p: F.greatest(F.lit(0.0), own(p) - p["high"], p["low"] - own(p))
+    within = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    near = F.filter(F.transform("parts", lambda p: F.struct(F.coalesce(own(p), F.lit(math.pi)).alias("far"), gap(p).alias("gap"), own(p).alias("own"), p["part"].alias("part"))), lambda p: p["gap"] <= within)
+    asked = asked.select("key", "query_id", "q", F.array_sort(near).alias("near")).where(F.size("near") > 0)
+
+    def meet(some: DataFrame, limit: Column, seen: Observation | None) -> DataFrame:
+        """The best over the threshold of the candidates in the parts p, as far as their own angles allow it."""
+        both = some.select("key", "query_id", "q", "p.own", "p.part", limit.alias("limit")).join(indexed, ["key", "part"]).where((F.size("q") == F.size("c")) & F.coalesce(F.abs(F.col("own") - F.col("angle")) <= F.col("limit"), F.lit(True)))
+        scored = both.select("query_id", "candidate_id", "ord", cosine(F.col("q"), F.col("c")).alias("similarity"))
+        scored = scored.observe(seen, F.count(F.lit(1)).alias("n")) if seen else scored
+        return _best(scored.where(F.col("similarity") > threshold))
+
+    first = landed(meet(asked.withColumn("p", F.get("near", F.lit(0))), F.lit(within), compared and compared[0]), "first")
+    left = asked.join(first.select(F.col("query_id").alias("id"), F.col("similarity").alias("have")), F.col("query_id").eqNullSafe(F.col("id")), "left").drop("id")
+    limit = F.when(F.col("have").isNull(), within).otherwise(F.acos(F.least(F.lit(1.0), "have")) + SLACK)
+    rest = left.withColumn("p", F.explode(F.filter(F.slice("near", 2, pivots + 1), lambda p: p["gap"] <= limit)))
+    return _best(first.unionByName(meet(rest, limit, compared and compared[1]))).select("query_id", "candidate_id", "similarity")
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    best = F.max_by(F.struct("candidate_id", "ord", "similarity"), F.struct("similarity", -F.col("ord")))
+    return scored.groupBy("query_id").agg(best.alias("m")).select("query_id", "m.*")
 
 
 def match_truth(truth: DataFrame, found: DataFrame, frame: list[str], overlap) -> DataFrame:

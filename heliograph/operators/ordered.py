@@ -1,4 +1,4 @@
-"""Running sums and rows kept apart, over keys of any size.
+"""Running sums, trailing means and rows kept apart, over keys of any size.
 
 A window over a key puts all of its rows in one task.  Here rows are laid in ranges of (key, order), each
 range is summed by itself, and the sums of a key's earlier ranges are added: two levels of prefix sums, in as many tasks as there are ranges.
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..session import landed
 
+#: Rows of a key in a block of `trailing`.
+BLOCK = 65_536
+
 
 def _same(left: DataFrame, right: DataFrame, names: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, (left[a].eqNullSafe(right[b]) for a, b in names))
@@ -39,6 +42,22 @@ def running(rows: DataFrame, key: list[str], order: list[str], sums: dict[str, s
     return joined.withColumns(out).drop("__part", "__at", "__n", *names, *(f"__before_{new}" for new in sums))
 
 
+def trailing(rows: DataFrame, key: list[str], order: list[str], samples: int, means: dict[str, str], block: int = BLOCK) -> DataFrame:
+    """rows with means (new column to column) of the last ``samples`` rows of their key up to each, as a window over the key would give them.
+
+    A key's rows are cut by their places into blocks of ``block`` rows (``samples`` at least).  The last ``samples`` - 1 rows of a block also go to the
+    next one, ahead of its own, so each block is a task's window and no task holds a key.
+    """
+    size = max(block, samples)
+    at = F.col("__place") - 1
+    own = F.floor(at / size).cast("long")
+    here = F.struct(own.alias("block"), F.lit(True).alias("own"))
+    ahead = F.struct((own + 1).alias("block"), F.lit(False).alias("own"))
+    laid = running(rows, key, order, place="__place").withColumn("__in", F.explode(F.when(F.pmod(at, F.lit(size)) > size - samples, F.array(here, ahead)).otherwise(F.array(here))))
+    w = Window.partitionBy(*key, "__in.block").orderBy("__place").rowsBetween(1 - samples, 0)
+    return laid.withColumns({new: F.avg(c).over(w) for new, c in means.items()}).where("__in.own").drop("__in", "__place")
+
+
 def kept_apart(marks: DataFrame, key: str, order: list[str], time: str, least: float) -> DataFrame:
     """The marks that a walk in order keeps: the first of each key, then always the first at least ``least`` after the one kept last.
 

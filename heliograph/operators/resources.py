@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import running, trailing
 
 # Buffer length, dead band, times in seconds, and the lease's states.
 BUFFER, DEAD_BAND_MB, LEASE_S, SILENCE_S, WAIT_S = 720, 50.0, 600, 60, 60
@@ -13,14 +13,17 @@ TRANSITIONS = {("pending", "grant"): "active", ("active", "start"): "busy", ("id
 
 
 def rolling(metrics: DataFrame, key: list[str], order: list[str], gauges: list[str], samples: int = BUFFER, decimals: int | None = 1) -> DataFrame:
-    """Means of the last samples up to each row, to one decimal (or as they are)."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(samples - 1), 0)
-    mean = lambda g: F.avg(g).over(w) if decimals is None else F.bround(F.avg(g).over(w), decimals)
-    return metrics.select(*key, *order, *(mean(g).alias(f"avg_{g}") for g in gauges))
+    """Means of the last samples up to each row, to one decimal (or as they are); a gauge's rows are spread over many tasks."""
+    told = trailing(metrics.select(*dict.fromkeys([*key, *order, *gauges])), key, order, samples, {f"avg_{g}": g for g in gauges})
+    mean = lambda g: F.col(f"avg_{g}") if decimals is None else F.bround(f"avg_{g}", decimals)
+    return told.select(*key, *order, *(mean(g).alias(f"avg_{g}") for g in gauges))
 
 
 def latest_averages(metrics: DataFrame, key: list[str], order: list[str], gauges: list[str], totals: list[str], samples: int = BUFFER) -> DataFrame:
-    """Means over the last samples; totals are the latest value, not a mean."""
+    """Means over the last samples; totals are the latest value, not a mean.
+
+    Spark limits each task's rows of a key to ``samples`` ahead of the shuffle (for up to 1000 of them), so a hot gauge is small there.
+    """
     recent = metrics.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order)))).where(F.col("__n") <= samples)
     return recent.groupBy(*key).agg(*(F.bround(F.avg(g), 1).alias(f"avg_{g}") for g in gauges), *(F.min_by(t, "__n").alias(t) for t in totals), F.count("*").alias("n_samples"))
 
@@ -85,8 +88,12 @@ def release_service(leases: DataFrame, requests: DataFrame, device: str, service
 
 def idle_sessions(uses: DataFrame, key: str, time: str, gap: str = "300 seconds", busy: Column | None = None) -> DataFrame:
     """Spans of use; a model unloads when no use falls within the gap. busy: seconds that a use keeps the model busy, before the gap counts."""
+    after = F.expr(f"interval '{gap}'")
+    held = after if busy is None else F.make_dt_interval(secs=(busy + int(gap.split()[0])).cast("decimal(18,6)"))
     whole = gap if busy is None else F.concat((busy + int(gap.split()[0])).cast("string"), F.lit(" seconds"))
-    return uses.groupBy(key, F.session_window(time, whole).alias("w")).agg(F.count("*").alias("n_uses")).select(key, F.col("w.start").alias("loaded_at"), F.col("w.end").alias("unloaded_at"), "n_uses")
+    # Ends are aggregates, not the window's own: Spark moves a later filter on these ahead of the merge of sessions, which cuts them.
+    spans = uses.groupBy(key, F.session_window(time, whole).alias("w")).agg(F.min(time).alias("loaded_at"), F.max(F.col(time) + held).alias("unloaded_at"), F.count("*").alias("n_uses"))
+    return spans.select(key, "loaded_at", "unloaded_at", "n_uses")
 
 
 def queue_stats(jobs: DataFrame, worker: str) -> DataFrame:

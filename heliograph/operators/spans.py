@@ -72,15 +72,17 @@ def points_in_spans(points: DataFrame, spans: DataFrame, key: str, time: str, wi
     """Points joined with the spans (start, end) of their key that hold them.
 
     closed: both ends belong to a span, so a point on a common boundary meets two; else the end doesn't.
-    A null end is no end: such a span is matched by its start alone.
+    A null end is no end: such a span stays open through every bucket up to its key's last point, so its points are
+    met bucket by bucket too, and the points are read once for all spans.  A span without a start, one that ends before it starts and a point without a time meet nothing.
     """
-    low = F.floor(F.col("start") / width).cast("long")
-    bounded = spans.where("end is not null").withColumn("__bucket", F.explode(F.sequence(low, F.floor(F.col("end") / width).cast("long"))))
-    located = points.withColumn("__bucket", F.floor(F.col(time) / width).cast("long"))
-    inside = (F.col(time) >= F.col("start")) & ((F.col(time) <= F.col("end")) if closed else (F.col(time) < F.col("end")))
-    met = located.join(bounded, [key, "__bucket"]).where(inside).drop("__bucket")
-    endless = spans.where("end is null")
-    return met.unionByName(points.join(endless, key).where(F.col(time) >= F.col("start")))
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    last = points.groupBy(key).agg(F.max(bucket(time)).alias("__to"))
+    bounded = spans.where("end is not null").withColumn("__to", bucket("end"))
+    endless = spans.where("end is null").join(last, key)
+    listed = bounded.unionByName(endless).where(bucket("start") <= F.col("__to")).withColumn("__bucket", F.explode(F.sequence(bucket("start"), F.col("__to")))).drop("__to")
+    before = (F.col(time) <= F.col("end")) if closed else (F.col(time) < F.col("end"))
+    inside = (F.col(time) >= F.col("start")) & (F.col("end").isNull() | before)
+    return points.withColumn("__bucket", bucket(time)).join(listed, [key, "__bucket"]).where(inside).drop("__bucket")
 
 
 def nearest_start(points: DataFrame, entries: DataFrame, key: str, point_key: list[str], time: str, start: str = "start", end: str = "end", order: str = "ord") -> DataFrame:

@@ -55,6 +55,16 @@ def frames_in_scene(spark, sf_dir):
     return met.groupBy("job_id", "scene").agg(F.count("*").alias("n_frames"))
 
 
+@query("frames_in_open_scenes", f"""with {FRAMES_SQL}, {SCENES_SQL}
+select s.job_id, cast(s.scene as bigint) as scene, count(*) as n_frames, max(f.t) as last_t from (select *, scene % 3 = 0 as is_open from scenes) s
+join frames f on f.job_id = s.job_id and f.t >= s.start and (s.is_open or f.t < s."end") group by s.job_id, s.scene""")
+def frames_in_open_scenes(spark, sf_dir):
+    """Every third scene of a job has no end yet."""
+    found = scenes(spark, sf_dir)[1].select("job_id", "scene", "start", F.when(F.col("scene") % 3 != 0, F.col("end")).alias("end"))
+    met = spans.points_in_spans(frames(spark, sf_dir), found, "job_id", "t", 86_400.0, closed=False)
+    return met.groupBy("job_id", "scene").agg(F.count("*").alias("n_frames"), F.max("t").alias("last_t"))
+
+
 @query("topn_per_scene", f"""with {FRAMES_SQL}
 select job_id, frame_index, rank from (select *, row_number() over (partition by job_id order by score desc, frame_index) as rank from frames where score >= 24.5) where rank <= 3""")
 def topn_per_scene(spark, sf_dir):

@@ -76,3 +76,14 @@ def stream_rollup_progress(spark, sf_dir):
     updates = event_stream(spark, sf_dir).select((F.col("event_id") % 100 + 1).alias("job_id"), F.col("user_id").cast("double").alias("progress"), F.col("event_type").alias("parent_id"))
     done = streams.run_once(streams.progress_stream(updates, jobs, 1), shared_folder(spark, "stream-progress"), "complete")
     return done.select("parent_id", F.col("progress").cast("long").alias("units"))
+
+
+@query("stream_idle_unload", """
+select * from (select user_id, min(s) as loaded_us, max(s) + 3600000000 as unloaded_us, count(*) as n_uses from (
+  select *, sum(new) over (partition by user_id order by s, event_id rows unbounded preceding) as sess from (
+    select user_id, event_id, epoch_us(ts) as s, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) < 3600000000 then 0 else 1 end as new from events)) group by user_id, sess)
+where unloaded_us <= (select max(epoch_us(ts)) // 1000 * 1000 - 7200000000 from events)""")
+def stream_idle_unload(spark, sf_dir):
+    """Models unloaded for want of use, up to two hours before the newest event."""
+    done = streams.run_once(streams.idle_unloads(event_stream(spark, sf_dir), "user_id", "ts", "3600 seconds", "2 hours"), shared_folder(spark, "stream-idle"))
+    return done.select("user_id", F.unix_micros("loaded_at").alias("loaded_us"), F.unix_micros("unloaded_at").alias("unloaded_us"), "n_uses")

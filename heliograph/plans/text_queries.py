@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..sources import content_hash
+from ..sources import content_hash, media
 from .base import query, table
 
 
@@ -124,3 +124,16 @@ def summary_prompt_lines(spark, sf_dir):
     line = F.concat_ws(" ", t.stamp((F.col("turn") * 65).cast("double")), F.length("text").cast("string"))
     lists = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("ls"))
     return lists.select("conv_id", F.md5(F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("lines"))
+
+
+@query("text_vectors", """
+select doc_id, case when text is not null then length(text) end as n_chars, round(case when length(text) > 0 then (length(text) - length(replace(text, 'e', ''))) / length(text) else case when text is not null then 0.0 end end, 6) as share_e,
+  round(case when length(text) > 0 then (length(text) - length(replace(text, ' ', ''))) / length(text) else case when text is not null then 0.0 end end, 6) as share_blank from documents""")
+def text_vectors(spark, sf_dir):
+    """Vectors by the encoder boundary, of a plain encoder: the length and the shares of two characters."""
+
+    def encode(texts):
+        return [[len(s), s.count("e") / max(len(s), 1), s.count(" ") / max(len(s), 1)] for s in texts]
+
+    d = media.text_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", encode, 3)
+    return d.select("doc_id", F.col("embedding")[0].cast("long").alias("n_chars"), F.round(F.col("embedding")[1], 6).alias("share_e"), F.round(F.col("embedding")[2], 6).alias("share_blank"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,48 @@ def text_model(prompt: Column, generate: Callable[[list[str]], list[str]] | None
     return run(prompt)
 
 
+def text_vectors(rows: DataFrame, text: str, encode: Callable[[list[str]], list[list[float]]] | None, length: int, target: str = "embedding") -> DataFrame:
+    """rows with the vectors of their texts; each distinct text is encoded once, in batches, and joined back.
+
+    A null text has a null vector. A vector of another length than ``length``, or another number of vectors than of texts, raises.
+    """
+    if encode is None:
+        raise NoModel("no text encoder is configured")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [[float(x) for x in v] for v in encode(list(batch["__text"]))]
+            if len(found) != len(batch) or any(len(v) != length for v in found):
+                raise ValueError(f"the encoder gave {len(found)} vectors of lengths {sorted({len(v) for v in found})} for {len(batch)} texts, not of {length}")
+            yield pd.DataFrame({"__text": batch["__text"], "__vector": found})
+
+    encoded = rows.select(F.col(text).alias("__text")).where("__text is not null").distinct().mapInPandas(run, "__text string, __vector array<double>")
+    return rows.join(encoded, F.col(text) == F.col("__text"), "left").withColumn(target, F.col("__vector")).drop("__text", "__vector")
+
+
+def enhance_images(rows: DataFrame, image: str, enhance: Callable[[list[bytes], list[str | None]], list[bytes | None]] | None, prompt: Column | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """rows whose image is the enhanced one, with ``enhanced``: whether the model gave one; else the source image stays.
+
+    The model takes images and their prompts (null where there are none), ``most_bytes`` of images in a call unless one alone is larger. Null images aren't asked for.
+    """
+    if enhance is None:
+        raise NoModel("no image model is configured")
+
+    @F.pandas_udf("binary")
+    def run(images: pd.Series, prompts: pd.Series) -> pd.Series:
+        out: list[bytes | None] = [None] * len(images)
+        asked = [i for i, b in enumerate(images) if b is not None]
+        while asked:
+            size = np.cumsum([len(images.iloc[i]) for i in asked])
+            now, asked = asked[: (n := max(1, int(np.searchsorted(size, most_bytes, side="right"))))], asked[n:]
+            for i, b in zip(now, enhance([images.iloc[i] for i in now], [prompts.iloc[i] for i in now]), strict=True):
+                out[i] = b or None
+        return pd.Series(out, dtype=object)
+
+    made = run(F.col(image), F.lit(None).cast("string") if prompt is None else prompt)
+    return rows.withColumn("__made", made).withColumns({image: F.coalesce("__made", image), "enhanced": F.col("__made").isNotNull()}).drop("__made")
+
+
 def score_model(image: Column, score: Callable[[list[bytes]], list[float]] | None, low: float = 0.0, high: float = 1.0) -> Column:
     """Scores of images, clipped."""
     if score is None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from ..operators.resources import LEASE_S
+from ..operators.resources import LEASE_S, idle_sessions
 
 
 def queue_progress(events: DataFrame) -> DataFrame:
@@ -39,6 +42,38 @@ def progress_stream(updates: DataFrame, jobs: DataFrame, modules: int) -> DataFr
     return updates.join(jobs, "job_id").groupBy("parent_id").agg((F.sum("progress") / modules).alias("progress"))
 
 
+def idle_unloads(uses: DataFrame, key: str, time: str, gap: str = "300 seconds", late: str = "60 seconds") -> DataFrame:
+    """Unload events of models: key, loaded_at, unloaded_at, n_uses, each given once, when the watermark has passed its end.
+
+    For append mode.  A use that comes later than ``late`` behind the newest one may find its session closed and is left out
+    then (``LateRows`` counts); over a table all sessions are given.  Sessions that are still open stay in the state.
+    """
+    return idle_sessions(uses.withWatermark(time, late) if uses.isStreaming else uses, key, time, gap)
+
+
+class LateRows(StreamingQueryListener):
+    """``n``: what a stream left out as it came behind the watermark, over all of its batches.
+
+    Spark counts ahead of the state, where uses of one batch that fall in one session are one.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.n, self.ended = 0, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.n += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
 def file_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
     """A table's files (or its single file) as a stream, with the columns of the table as read.
 
@@ -49,9 +84,14 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigg
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
-def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """All that is there now, written to a folder batch by batch; a repeated batch replaces itself. In complete mode the last batch is the result."""
+def run_once(stream: DataFrame, folder: str, mode: str = "append", late: LateRows | None = None) -> DataFrame:
+    """All that is there now, written to a folder batch by batch; a repeated batch replaces itself. In complete mode the last batch is the result.
+
+    late: counts what is left out while this stream alone runs.
+    """
     spark = stream.sparkSession
+    if late:
+        spark.streams.addListener(late)
     schema = stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -59,6 +99,9 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
+    if late:
+        late.ended.wait(60)  # the last progress is told before the end is
+        spark.streams.removeListener(late)
     if query.lastProgress is None:
         return spark.createDataFrame([], schema)
     out = spark.read.schema(schema.add("batch", "long")).parquet(f"{folder}/out")

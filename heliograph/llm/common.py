@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,17 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; when they end, the worker gives freed memory back, since it lives on beside the executor's heap for the stages that follow."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text only (a null text is empty): other columns can't clash with an operator's own."""
     small_batches(docs.sparkSession)

@@ -27,13 +27,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_tables, join_counted, small_batches, table, tables_written, texts, written
+from .common import drop_tables, join_counted, small_batches, table, tables_written, texts, trimmed, written
 
 #: A line of so many words is a passage by itself.
 LONG = 30
 #: Words in a chunk of several lines, at least.
 LEAST = 8
 MASK = (1 << 64) - 1
+#: Candidates that a worker gathers before it passes them on.
+PIECE = 20_000
 
 
 def worded_lines(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -76,16 +78,23 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for batch in batches:
-            rows, digests = [], []
+        def made(rows: list, digests: list) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["doc_id", "text_key", "first", "end", "own", "head", "tail"])
+            both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            out["doc_id"], out["h1"], out["h2"] = out["doc_id"].astype("Int64"), both[:, 0], both[:, 1]
+            return out
+
+        rows, digests = [], []
+        for batch in trimmed(batches):
             for doc, key, text in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["text"], strict=True):
                 for *span, body in candidates(text):
                     rows.append((doc, key, *span))
                     digests.append(xxhash.xxh128_digest(body))
-            made = pd.DataFrame(rows, columns=["doc_id", "text_key", "first", "end", "own", "head", "tail"])
-            both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            made["doc_id"], made["h1"], made["h2"] = made["doc_id"].astype("Int64"), both[:, 0], both[:, 1]
-            yield made
+                if len(rows) >= PIECE:
+                    yield made(rows, digests)
+                    rows, digests = [], []
+        if rows:
+            yield made(rows, digests)
 
     return docs.mapInPandas(cut, FOUND)
 
@@ -129,11 +138,15 @@ def clashing(marked: DataFrame) -> DataFrame:
     """h1, h2 that stand for different bytes, of rows (text, marks)."""
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
+        rows = []
+        for batch in trimmed(batches):
             for text, marks in zip(batch["text"], batch["marks"], strict=True):
                 lines, at, _ = worded_lines(text)
                 rows += [(m["h1"], m["h2"], "\n".join(lines[i] for i in at[m["first"] : m["end"]])) for m in marks]
+                if len(rows) >= PIECE:
+                    yield pd.DataFrame(rows, columns=["h1", "h2", "body"])
+                    rows = []
+        if rows:
             yield pd.DataFrame(rows, columns=["h1", "h2", "body"])
 
     found = marked.mapInPandas(bodies, "h1 long, h2 long, body string").groupBy("h1", "h2", "body").agg(F.count("*").alias("n"))
@@ -146,7 +159,7 @@ APPLIED = "kept string, n_removed long, words_removed long, lines_removed long"
 def without(text: Column, marks: Column, kept: Column) -> Column:
     @F.pandas_udf(APPLIED)
     def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for bodies, found, stay in batches:
+        for bodies, found, stay in trimmed(batches):
             yield pd.DataFrame([_without(t, ranges(list(g)), [] if k is None else [(x["w_first"], x["n"]) for x in k]) for t, g, k in zip(bodies, found, stay, strict=True)], columns=["kept", "n_removed", "words_removed", "lines_removed"])
 
     return apply(text, marks, kept)

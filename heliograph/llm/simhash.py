@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, table, texts, written
+from .common import join_counted, table, texts, trimmed, written
 from .components import ROWS, connected_components
 
 SEED = 42
@@ -173,7 +173,7 @@ def _marks(words: int, similarity: float):
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for at in range(0, len(batch), 128):
                 part = batch.iloc[at : at + 128]
                 sketches = np.zeros((len(part), BITS), dtype=np.float32)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, small_batches, table, texts, written
+from .common import crc_fold, small_batches, table, texts, trimmed, written
 
 #: Labelled rows that the classifier is fitted on, at most (those of smallest hash).
 MAX_TRAIN_DOCS = 12_000
@@ -211,7 +211,7 @@ def score_documents(docs: DataFrame, model: SentenceModel, locate: bool = False)
     @F.pandas_udf(kind)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = SentenceModel(*shared.value)
-        for batch in batches:
+        for batch in trimmed(batches):
             got = [own.judge(t or "") for t in batch]
             yield pd.DataFrame({"score": pd.Series([g[0] for g in got], dtype=float), "offending": pd.Series([g[1] if locate else [] for g in got], dtype=object)})
 

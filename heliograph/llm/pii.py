@@ -5,7 +5,7 @@ and look-alike characters to ASCII, invisible characters to nothing, spelled dig
 "(at)", "[dot]", " at " and " dot " to @ and full stops.  Each rewritten piece keeps the source
 offsets of what it replaced, the same patterns run on the result, and matches that touch a
 rewritten piece are mapped back to source characters.  They are added to the plain ones where they
-overlap no plain span.
+overlap no plain span, or cover more than all that they overlap ("jane dot doe@example.com" holds a plain address).
 """
 
 from __future__ import annotations
@@ -56,12 +56,17 @@ FOLD = _folding()
 FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(FOLD)) + "]")
 _any = "|".join
 BRACKETED = re.compile(rf"[ ]*[(\[{{<][ ]*(?:(?P<at>{_any(AT_WORDS)}|@)|(?P<dot>{_any(DOT_WORDS)}|\.))[ ]*[)\]}}>][ ]*", re.IGNORECASE)
-_dot, _name, _host = rf" (?:{_any(DOT_WORDS)}) ", r"[A-Za-z0-9._%+-]++", r"[A-Za-z0-9-]+"
-WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_name}(?:{_dot}{_name})*(?:@| @ | (?:{_any(AT_WORDS)}) ){_host}(?:(?:\.|{_dot}){_host})+", re.IGNORECASE)
-WORDED_PART = re.compile(rf"(?P<at> (?:{_any(AT_WORDS)}|@) )|(?P<dot>{_dot})|(?P<stop>\.)", re.IGNORECASE)
+_dot = rf" (?:{_any(DOT_WORDS)}) "
+AT = re.compile(rf" (?:{_any(AT_WORDS)}|@)(?= )|@", re.IGNORECASE)
+HOST_PART = re.compile(r"[A-Za-z0-9-]++")
+DOT = re.compile(_dot, re.IGNORECASE)
+STOP = re.compile(rf"\.|{_dot}", re.IGNORECASE)
+DOT_LENGTHS = sorted({len(w) + 2 for w in DOT_WORDS})
+DOTTED = re.compile(rf"(?<!\w)[0-9]{{1,3}}(?:(?:\.|{_dot})[0-9]{{1,3}}){{3}}(?!\w)", re.IGNORECASE)
 _word = rf"(?:{_any(sorted(DIGIT_WORDS, key=len, reverse=True))})"
 SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|más|mas)[ -]+)?(?:{_word}|[0-9]+)(?:(?:[ -]+(?:(?:{_any(DOT_WORDS)})[ -]+)?|[ ]?\.[ ]?)(?:{_word}|[0-9]+))+(?!\w)", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"(?P<plus>plus|más|mas)[ -]+|(?P<word>{_word})|(?P<digits>[0-9]+)|[ -]+(?:{_any(DOT_WORDS)})[ -]+(?P<dot>)|[ -]+(?P<gap>)|[ ]?\.[ ]?(?P<stop>)", re.IGNORECASE)
+MIXED = re.compile(rf"[0-9][ -]{{1,3}}{_word}(?!\w)", re.IGNORECASE)
 BRACKET = re.compile(r"[(\[{<]")
 FOLDED_LATIN = [chr(c) for c in FOLD if 127 < c < 256]
 BEYOND_LATIN = frozenset(chr(c) for c in FOLD if c > 255)
@@ -81,8 +86,8 @@ def shows_folded(text: str) -> bool:
 
 
 def shows_spelled(text: str) -> bool:
-    """Whether three digit words stand anywhere in the text; the parts of a spelled number are whole words, so none is passed over."""
-    return sum(map(DIGIT_WORDS.__contains__, LETTERS.findall(text.casefold()))) >= 3
+    """Whether three digit words stand anywhere in the text, or one after a digit; the parts of a spelled number are whole words, so none is passed over."""
+    return sum(map(DIGIT_WORDS.__contains__, LETTERS.findall(text.casefold()))) >= 3 or MIXED.search(text) is not None
 
 
 def luhn(digits: str) -> bool:
@@ -196,31 +201,77 @@ def deobfuscate(text: str) -> Rewritten | None:
     low = out.text.lower()
     ats = ("@", *AT_WORDS) if out.edits else ("@",)  # at words count beside a dot word or an edit only
     if any(f" {w} " in low for w in (*DOT_WORDS, *ats)):
-        out = out.apply([joint for m in WORDED.finditer(out.text) for joint in _joints(out, m)])
+        out = out.apply(_worded(out))
+    if any(f" {w} " in low for w in DOT_WORDS):
+        out = out.apply([(m.start() + d.start(), m.start() + d.end(), ".") for m in DOTTED.finditer(out.text) for d in DOT.finditer(m.group())])
     if shows_spelled(out.text):
         out = out.apply(_spelled(out.text))
     return out if out.edits else None
 
 
-def _joints(out: Rewritten, worded: re.Match) -> list[tuple[int, int, str]]:
-    """The rewritings of an address told in words.
+def _host(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
+    """The stops of a host name from ``at`` on, as full stops or words, and its end."""
+    stops: list[tuple[int, int]] = []
+    part, end = HOST_PART.match(text, at), at
+    while part:
+        end = part.end()
+        stop = STOP.match(text, end)
+        part = HOST_PART.match(text, stop.end()) if stop else None
+        if part:
+            stops.append(stop.span())
+    return stops, end
+
+
+def _local(text: str, at: int, least: int) -> tuple[list[tuple[int, int]], bool]:
+    """The dot words of a name that ends at ``at``, not further left than ``least``, and whether there is a name."""
+    dots: list[tuple[int, int]] = []
+    end, named = at, False
+    while True:
+        start = end
+        while start > least and text[start - 1] in LOCAL_CHARS:
+            start -= 1
+        if start == end or (start and text[start - 1] in LOCAL_CHARS):  # none, or what stands before it is told already
+            return (dots[:-1] if named else []), named
+        named = True
+        before = next((start - n for n in DOT_LENGTHS if start - n > least and DOT.fullmatch(text, start - n, start)), None)
+        if before is None:
+            return dots, True
+        dots.append((before, start))
+        end = before
+
+
+def _worded(out: Rewritten) -> list[tuple[int, int, str]]:
+    """The rewritings of addresses told in words, found from each @ or at word to the right and, past the last address, to the left.
 
     " at " before a plain host name ("meet at example.com") is ordinary prose; a dot word or a dot from brackets shows a disguise.
     """
-    parts = [(worded.start() + p.start(), worded.start() + p.end(), p) for p in WORDED_PART.finditer(worded.group())]
-    at = next(i for i, (a, b, p) in enumerate(parts) if p["at"] or out.text[a] == "@") if any(p["at"] for _, _, p in parts) else None
-    after = parts if at is None else parts[at + 1 :]
-    if at is not None and parts[at][2]["at"].strip() != "@" and not any(p["dot"] or out.touched(a, b) for a, b, p in after):
-        return []
-    return [(a, b, "@" if p["at"] else ".") for a, b, p in parts if p["at"] or p["dot"]]
+    text, edits, done = out.text, [], 0
+    for m in AT.finditer(text):
+        a, word = m.start(), m.group() != "@"
+        if a < done:
+            continue
+        b = m.end() + word
+        stops, end = _host(text, b)
+        if not stops:
+            continue
+        dots, named = _local(text, a, done)
+        if not named:
+            continue
+        done = end
+        if word and m.group() != " @" and not any(text[i] == " " or out.touched(i, j) for i, j in stops):
+            continue
+        edits += [(i, j, ".") for i, j in reversed(dots)] + [(a, b, "@")] * word + [(i, j, ".") for i, j in stops if text[i] == " "]
+    return edits
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    """The rewritings of runs with three digit words or more."""
+    """The rewritings of runs with three digit words or more, and of runs of 12 digits or more with a word between digits."""
     edits = []
     for m in SPELLED.finditer(text):
         parts = list(SPELLED_PART.finditer(m.group()))
-        if sum(p["word"] is not None for p in parts) < 3:
+        words, digits = sum(p["word"] is not None for p in parts), sum(len(p["digits"] or "") for p in parts)
+        ends = [p for p in parts if p["word"] or p["digits"]]
+        if words < 3 and not (words and words + digits >= 12 and ends[0]["digits"] and ends[-1]["digits"]):
             continue
         for p in parts:
             a, b = m.start() + p.start(), m.start() + p.end()
@@ -236,18 +287,22 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that only the deobfuscated text shows, in source offsets; none overlaps a plain span or one added before."""
+    """Spans that only the deobfuscated text shows, in source offsets; none overlaps one added before, or a plain span that it doesn't cover.
+
+    A span that a plain one equals or covers tells nothing new and is left out.
+    """
     clear = deobfuscate(text)
     if clear is None:
         return []
     starts = [a for a, _, _ in base]
-    ends = list(accumulate((b for _, _, b in base), max))  # the furthest end so far
+    plain = {(a, b) for a, _, b in base}
+    ends = [0, *accumulate((b for _, _, b in base), max)]  # the furthest end of those before
     found, last = [], 0
     for a, kind, b in base_spans(clear.text):
         if clear.touched(a, b):
             sa, sb = clear.source(a, b)
-            i = bisect_left(starts, sb)
-            if sa >= last and not (i and ends[i - 1] > sa):
+            apart = ends[bisect_left(starts, sa)] <= sa and ends[bisect_left(starts, sb)] <= sb
+            if sa >= last and apart and (sa, sb) not in plain:
                 found.append((sa, kind, sb))
                 last = sb
     return found

@@ -4,9 +4,11 @@ A document is a bag of sentences.  A sentence s with a word that has a weight ha
 sigmoid(bias + sum of its words' weights); the document's score is the noisy-or 1 - prod(1 - p(s)) over these.
 Only document labels train it, and the trained sentence scores then locate the offending sentences.
 
-Sentences without a weighted word say nothing, and those under FLOOR are taken as clean, so a text's score doesn't
-grow with its length: joining texts that each score under FLOOR gives one that does.  A text without any
-sentence over FLOOR scores as its likeliest sentence, one without weighted words sigmoid(bias).
+Sentences without a weighted word say nothing, and those under FLOOR are taken as clean.  Of the evidence -log(1 - p(s))
+of sentences under one half, what so many clean sentences bring by themselves is taken off first: ALLOWED times
+their mean in clean training rows, and SPREADS of its standard deviations.  So many clean sentences don't add up to a toxic text, however long it
+is.  Likelier sentences count in full, and a text scores at least as its likeliest sentence; one without
+weighted words scores sigmoid(bias).
 
 A word's weight is the sum over its features: the whole word and its prefixes of 3 to 8 letters,
 so that inflected forms of a stem share what is learnt.
@@ -33,6 +35,8 @@ MAX_TRAIN_DOCS = 12_000
 MAX_TRAIN_CHARS = 100_000_000
 #: Probability under which a sentence is taken as clean, and how much a clean training row weighs against a toxic one.
 FLOOR, CLEAN_WEIGHT = 0.05, 3.0
+#: What clean sentences may bring: so many times the mean in clean training rows (which the model was fitted on), and so many standard deviations.
+ALLOWED, SPREADS = 3.0, 3.0
 #: Features kept from the training rows, at most.
 MAX_FEATURES = 400
 #: Share of the toxic training rows that a feature stands in at least (and 3 rows), and its least log odds.
@@ -55,6 +59,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 class SentenceModel:
     bias: float
     weights: dict[str, float]
+    #: Mean and standard deviation of the evidence of a clean row's sentence, where it is under one half.
+    usual: float = 0.0
+    spread: float = 0.0
     known: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -78,17 +85,17 @@ class SentenceModel:
     def judge(self, text: str, threshold: float = 0.5) -> tuple[float, list[dict]]:
         """The document's score, and the sentences at or over the threshold."""
         low, openings = lowered(text), self.openings
-        p = np.zeros(0)
+        p, n = np.zeros(0), 0
         if any(self.word(w) for w in WORD.findall(low) if w[:3] in openings):
             spans, z = self.sentence_logits(text)
-            told = z > self.bias
+            told, n = z > self.bias, len(z)
             spans, p = [s for s, t in zip(spans, told.tolist(), strict=True) if t], 1 / (1 + np.exp(-z[told]))
         if not len(p):
             return 1 / (1 + math.exp(-self.bias)), []
         found = [{"start": a, "end": b, "score": float(x)} for (a, b), x in zip(spans, p, strict=True) if x >= threshold]
-        if p.max() < FLOOR:
-            return float(p.max()), found
-        return float(-np.expm1(np.log1p(-np.minimum(p[p >= FLOOR], 1 - 1e-15)).sum())), found
+        brought = -np.log1p(-np.minimum(p, 1 - 1e-15))
+        weak = brought[(p >= FLOOR) & (p < 0.5)].sum() - ALLOWED * self.usual * n - SPREADS * self.spread * math.sqrt(n)
+        return float(-np.expm1(-max(brought[p >= 0.5].sum() + max(weak, 0.0), brought.max()))), found
 
     def score(self, text: str) -> float:
         return self.judge(text)[0]
@@ -167,7 +174,17 @@ def train(rows: list, chosen: dict[str, int], rounds: int = 250, ridge: float =
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = np.maximum(w + move[:-1], 0.0), bias + move[-1]
-    return SentenceModel(float(bias), {f: float(w[i]) for f, i in chosen.items() if w[i] > 1e-3})
+    return SentenceModel(float(bias), {f: float(w[i]) for f, i in chosen.items() if w[i] > 1e-3}, *usual_evidence(rows, bag, bias + np.bincount(sent, weights=w[col], minlength=n)))
+
+
+def usual_evidence(rows: list, bag: np.ndarray, z: np.ndarray) -> tuple[float, float]:
+    """Mean and standard deviation of the evidence of clean rows' sentences between FLOOR and one half, with one more sentence of one half."""
+    clean = np.array([not r.toxic for r in rows])
+    p = 1 / (1 + np.exp(-z[clean[bag]]))
+    brought = np.append(-np.log1p(-p[(p >= FLOOR) & (p < 0.5)]), math.log(2))
+    n = sum(r.n for r in rows if not r.toxic) + 1
+    mean = float(brought.sum()) / n
+    return mean, math.sqrt(max(float((brought**2).sum()) / n - mean * mean, 0.0))
 
 
 def bounded(sample: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
@@ -205,7 +222,7 @@ def score_documents(docs: DataFrame, model: SentenceModel, locate: bool = False)
     A null text is empty and scores sigmoid(bias); null ids and repeated rows stay, no rows give no rows.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.usual, model.spread))
     kind = "score double, offending array<struct<start:long,end:long,score:double>>"
 
     @F.pandas_udf(kind)

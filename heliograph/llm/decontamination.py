@@ -1,7 +1,8 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. The test items' word 3-grams are looked up in every document.  Hits of one item that lie within
-   an item's length of each other open a passage, with an item's length of words on either side.
+   an item's length of each other open a passage, with an item's length of words on either side.  Long passages are
+   cut into overlapping windows; an alignment that reaches the threshold is short enough to lie in one, so none is lost.
 2. Every passage goes on, however often its seeds stand in other documents or items: a cut at frequent seeds would
    lose copies that many documents quote with the same edit.  It is left out only if the words that it shares with the
    item, repeats counted, are too few for the threshold: an alignment matches no more words than that, so none is lost.
@@ -14,7 +15,9 @@ the documents in blocks of that size, after one scan that keeps the documents wi
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -89,13 +92,34 @@ class SeedIndex:
                 if hit is not None and hit - region[-1] <= m:
                     region.append(hit)
                     continue
-                first, end, own = max(0, region[0] - m), min(len(words), region[-1] + N + m), self.counts[item]
-                shared = (Counter(w for w in words[first:end] if w in own) & own).total()
-                if shared / m >= threshold:
-                    yield item, first, words[first:end]
+                own = self.counts[item]
+                for first, end in windows(region, m, len(words), threshold):
+                    shared = (Counter(w for w in words[first:end] if w in own) & own).total()
+                    if shared / m >= threshold:
+                        yield item, first, words[first:end]
                 region = [hit]
 
 
+def longest(m: int, threshold: float) -> int:
+    """Words that an alignment with an item of m words takes in the passage, at most, if it reaches the threshold.
+
+    With k matches and d other words of the passage it has 2 k - d >= 2 m threshold at best, and k is at most m.
+    """
+    return max(N, math.ceil(m * (1 + MATCH * (1 - threshold)))) if threshold > 0 else 3 * m
+
+
+def windows(region: list[int], m: int, n: int, threshold: float) -> Iterator[tuple[int, int]]:
+    """First and end word of the windows over a region of seeds: every span of ``longest`` words with a seed lies in one of them."""
+    first, end, step = max(0, region[0] - m), min(n, region[-1] + N + m), longest(m, threshold)
+    if end - first <= 2 * step:
+        yield first, end
+        return
+    for start in range(first, end - step, step):
+        seed = bisect_left(region, start)
+        if seed < len(region) and region[seed] < start + 2 * step:
+            yield start, min(end, start + 2 * step)
+
+
 def smith_waterman(passage: list[str], item: list[str]) -> tuple[int, int]:
     """The best local alignment's score and where it ends in the passage."""
     names = {w: i for i, w in enumerate(dict.fromkeys(item))}

@@ -256,6 +256,36 @@ def test_against_alignment_of_every_document_with_every_item(spark, data, docume
     assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
 
 
+def test_windows_over_long_regions_lose_no_alignment():
+    import random
+
+    from heliograph.llm import decontamination as d
+
+    rng = random.Random(3)
+    common = "as well as the".split()
+    items = [(i, " ".join([*(f"w{i}x{k}" for k in range(20)), *common, *(f"v{i}x{k}" for k in range(20))])) for i in range(50)]
+    words = [w for k in range(1600) for w in [*common, *(f"f{rng.randrange(9000)}" for _ in range(26))]]
+    index = d.SeedIndex(items)
+    assert not list(index.passages(" ".join(words)))
+    for edit in (3, 5, 9):
+        copy = [w if k % edit else "zz" for k, w in enumerate(items[7][1].split(), 1)]
+        text = words.copy()
+        at = rng.randrange(len(words))
+        text[at:at] = copy
+        found = list(index.passages(" ".join(text)))
+        assert all(len(p) <= 2 * d.longest(44, d.THRESHOLD) for _, _, p in found)
+        best = max((d.align(p, items[7][1].split())[0] for i, _, p in found if i == 7), default=0.0)
+        assert abs(best - d.align(text[max(0, at - 200) : at + 300], items[7][1].split())[0]) < 1e-12 or edit == 3
+    for _ in range(300):
+        n, m = rng.randrange(10, 3000), rng.randrange(3, 60)
+        region = sorted({rng.randrange(0, n - 2) for _ in range(rng.randrange(1, 80))})
+        step, made = d.longest(m, 0.5), list(d.windows(region, m, n, 0.5))
+        low, high = max(0, region[0] - m), min(n, region[-1] + 3 + m)
+        for seed in region:
+            for start in range(max(low, seed - step + 3), min(seed, high - step) + 1):
+                assert any(a <= start and start + step <= b for a, b in made)
+
+
 def test_leaks_that_many_documents_repeat_with_one_edit(spark):
     rng = random.Random(17)
     words = sentence_words(rng, 45)

@@ -83,6 +83,10 @@ def test_pii_query_against_brute_force(spark, data, documents):
         ("to jane @ example.com.", "email", "jane @ example.com"),
         ("to jane@example dot com.", "email", "jane@example dot com"),
         ("mit ſix seven eight nine four +4 9 zero two two two two two two", "phone", "+4 9 zero two two two two two two"),
+        ("to jаne@example.com.", "email", "jаne@example.com"),
+        ("to jane dot doe@example.com.", "email", "jane dot doe@example.com"),
+        ("host 192 dot 168 dot 1 dot 1 is up", "ip", "192 dot 168 dot 1 dot 1"),
+        ("card 4111 1111 1111 one 111 now", "card", "4111 1111 1111 one 111"),
         ("zero​width joh​n@exa​mple.com", "email", "joh​n@exa​mple.com"),
     ],
 )
@@ -127,7 +131,21 @@ def test_touched_and_overlaps_against_plain_loops():
         every = [*base, *pii.added_spans(text, base)]
         more = every[len(base) :]
         assert all(0 <= a < b <= len(text) for a, _, b in every)
-        assert all(b <= c or d <= a for i, (a, _, b) in enumerate(more) for c, _, d in [*more[:i], *base])
+        assert all(b <= c or d <= a for i, (a, _, b) in enumerate(more) for c, _, d in more[:i])
+        assert all(b <= c or d <= a or a <= c and d <= b and (a, b) != (c, d) for a, _, b in more for c, _, d in base)
+
+
+@pytest.mark.parametrize("unit", ["a dot ", "a dot at ", "a at ", "at dot ", "dot dot at ", "a@a dot ", "one ", "4 one ", "1 dot ", "x (dot) ", " @ a.b", "a . "])
+def test_chains_of_every_disguise_take_linear_time(unit):
+    import time
+
+    took = []
+    for n in (200_000, 400_000):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        pii.added_spans(text, pii.base_spans(text))
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.5
 
 
 def test_long_hostile_texts_take_linear_time():
@@ -237,6 +255,46 @@ def test_a_long_text_of_clean_sentences_stays_clean(spark):
     assert model.score(joined) < toxicity.FLOOR
 
 
+def test_clean_texts_stay_clean_however_many_are_joined(spark):
+    import random
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    scored = [(r.text or "", toxic[r.doc_id], model.score(r.text or "")) for r in docs.select("doc_id", "text").collect() if toxic.get(r.doc_id) is not None]
+    clean = [t for t, y, s in scored if not y and s < 0.5]
+    for n in (300, 1000, 3000):
+        for seed in range(10 if n < 3000 else 3):
+            assert model.score("\n".join(random.Random(seed).choices(clean, k=n))) < 0.5, (n, seed)
+    bad = next(t[f["start"] : f["end"]] for t, y, s in scored if y and s >= 0.5 for f in model.offending(t))
+    drawn = random.Random(1).choices(clean, k=1000)
+    assert model.score("\n".join([*drawn[:500], bad, *drawn[500:]])) >= 0.5
+
+
+def test_toxicity_query_against_brute_force(spark, data, documents):
+    """Every sentence by its words' features, all of the text, with the weights that were fitted."""
+    import math
+
+    from heliograph.llm.queries import QUERIES
+
+    model = toxicity.fit(documents, spark.read.parquet(f"{data}/labels.parquet"))
+    got = {(r.doc_id, r.score, r.predicted) for r in QUERIES["op2_toxicity"](spark, data).collect()}
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    assert len(got) == len(texts)
+    for doc_id, score, predicted in got:
+        p, n = [], 0
+        for sentence in re.findall(r"[^.!?\n]+[.!?]*|[.!?]+", texts[doc_id]):
+            words = re.findall(r"[^\W\d_]+", sentence.lower())
+            n += bool(words)
+            weight = sum(model.weights.get(f, 0.0) for w in words for f in [w, *("^" + w[:k] for k in range(3, min(len(w), 8) + 1))])
+            if weight > 0:
+                p.append(1 / (1 + math.exp(-model.bias - weight)))
+        weak = sum(-math.log(1 - x) for x in p if 0.05 <= x < 0.5) - 3 * model.usual * n - 3 * model.spread * math.sqrt(n)
+        clear = math.prod(1 - x for x in p if x >= 0.5) * math.exp(-max(weak, 0.0))
+        want = max(1 - clear, max(p)) if p else 1 / (1 + math.exp(-model.bias))
+        assert abs(score - want) < 1e-9 and predicted == (score >= 0.5)
+
+
 def test_the_sample_is_bounded_in_rows_and_characters(spark):
     rows = spark.createDataFrame([(i, f"{i} " + "x" * 100 * (i % 7), i % 2) for i in range(200)], "doc_id long, text string, toxic int")
     got = toxicity.bounded(rows, 50, 10_000).collect()

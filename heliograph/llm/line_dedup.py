@@ -9,7 +9,8 @@ Chunks that occur again anywhere in the corpus are repeated.  The first and last
 passage stand in chunks with a document's own lines, so the pairs of neighbouring lines are looked up as
 well.  Each repeated chunk or pair points to its first occurrence (the smallest doc_id, the first place there).  A run of pairs goes like a
 chunk if it has LONG words or more and its pairs point to places that follow one another in one document: so that
-document holds the run whole.  Pairs whose first occurrences lie apart make no run.
+document holds the run whole.  Pairs whose first occurrences lie apart make no run.  Runs reach through chunks, so a chunk inside a
+passage leaves none of its edges behind; chunks that runs cover point to nothing of their own.
 
 Lines that a chunk or run points to stay where they are, whatever else covers them: what goes is still somewhere in the
 corpus, whole and in order.  No other line goes.
@@ -100,12 +101,10 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
 
 
 def ranges(marks: list[dict]) -> list[tuple[int, int, int, int, int]]:
-    """(first, end, the document, its row and the place where they stand first) of the lines that go: repeated chunks, then runs of repeated pairs."""
+    """(first, end, the document, its row and the place where they stand first) of the lines that go: runs of repeated pairs, then repeated chunks that runs don't cover."""
     gone = sorted((m for m in marks if m["gone"]), key=lambda m: (m["first"], m["end"]))
-    found = [(m["first"], m["end"], m["w_place"], m["w_key"], m["w_first"]) for m in gone if m["own"]]
-    taken = {i for a, b, *_ in found for i in range(a, b)}
-    pairs = {m["first"]: m for m in gone if m["end"] - m["first"] == 2 and not taken & {m["first"], m["first"] + 1}}
-    i = -1
+    pairs = {m["first"]: m for m in gone if m["end"] - m["first"] == 2}
+    found, i = [], -1
     for start in sorted(pairs):
         if start < i:
             continue
@@ -118,7 +117,8 @@ def ranges(marks: list[dict]) -> list[tuple[int, int, int, int, int]]:
         if words >= LONG:
             found.append((start, start + n + 1, *where, m["w_first"]))
             i += 1
-    return found
+    taken = {i for a, b, *_ in found for i in range(a, b)}
+    return found + [(m["first"], m["end"], m["w_place"], m["w_key"], m["w_first"]) for m in gone if m["own"] and not taken.issuperset(range(m["first"], m["end"]))]
 
 
 POINTED = "array<struct<w_place:long,w_key:int,w_first:int,n:int>>"

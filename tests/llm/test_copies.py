@@ -334,20 +334,19 @@ def brute_lines(rows):
     for d, _ in rows:
         lines, cut = spans[d]
         first = lambda a, b: min(where["\n".join(lines[a:b])])[:2]  # noqa: B023, E731
-        found = [(a, b, first(a, b)) for a, b in sorted(cut) if first(a, b) != (d, a)]
-        covered = {i for a, b, _ in found for i in range(a, b)}
-        i = 0
+        found, i = [], 0
         while i + 1 < len(lines):
-            at, j = first(i, i + 2), i + 1  # the longest run of uncovered lines that stands whole where its first pair stands first
+            at, j = first(i, i + 2), i + 1  # the longest run of lines that stands whole where its first pair stands first
             whole = spans[at[0]][0]
-            while j < len(lines) and at != (d, i) and not covered & set(range(i, j + 1)) and lines[i : j + 1] == whole[at[1] : at[1] + j + 1 - i] and first(j - 1, j + 1) == (at[0], at[1] + j - 1 - i):
+            while j < len(lines) and at != (d, i) and lines[i : j + 1] == whole[at[1] : at[1] + j + 1 - i] and first(j - 1, j + 1) == (at[0], at[1] + j - 1 - i):
                 j += 1
             if j - i > 1 and size_of(lines[i:j]) >= 30:
                 found.append((i, j, at))
                 i = j
             else:
                 i = max(j - 1, i + 1)
-        goes[d] = found
+        covered = {i for a, b, _ in found for i in range(a, b)}
+        goes[d] = found + [(a, b, first(a, b)) for a, b in sorted(cut) if first(a, b) != (d, a) and set(range(a, b)) - covered]
     stays = {(e, k + n) for found in goes.values() for a, b, (e, k) in found for n in range(b - a)}
     out = {}
     for d, text in rows:

@@ -33,6 +33,16 @@ def lookup(jobs: DataFrame, job_id: str, service: str) -> DataFrame:
     return jobs.where((F.col("service") == service) & (F.col("job_id") == job_id))
 
 
+def lookup_each(asked: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """``asked`` with ``found`` and ``row``, a struct of the other columns of the row of that key.
+
+    A null in a key finds nothing; of several rows of a key the smallest counts, so no request is repeated.
+    """
+    rest = F.struct(*(c for c in rows.columns if c not in key))
+    one = rows.groupBy(*key).agg(F.min(rest).alias("row"))
+    return asked.join(one, key, "left").withColumn("found", F.col("row").isNotNull())
+
+
 def first_hit(jobs: DataFrame, order: tuple[str, ...] = LOOKUP_ORDER, key: str = "job_id") -> DataFrame:
     """For each job id the row of the first namespace (in lookup order) that has it."""
     place = F.array_position(F.array(*(F.lit(s) for s in order)), F.col("service"))

@@ -45,6 +45,10 @@ def test_job_filters_and_pages(spark):
 def test_stores(spark):
     j = job_rows(spark)
     assert stores.lookup(j, "3", "vision").count() == 1
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (None, "n"), (2, None)], "id long, name string")
+    asked = spark.createDataFrame([(10, 1), (11, 2), (12, None), (13, 9), (13, 9)], "n int, id long")
+    assert sorted((r.n, r.found, r.row.name if r.found else None) for r in stores.lookup_each(asked, rows, ["id"]).collect()) == [(10, True, "a"), (11, True, None), (12, False, None), (13, False, None), (13, False, None)]
+    assert stores.lookup_each(asked, rows.limit(0), ["id"]).where("found").count() == 0
     good, stale = stores.valid_cache(spark.createDataFrame([("k", 1), ("l", 99)], "cache_key string, job_id long"), j, ["job_id"])
     assert good.count() == 1 and stale.head().job_id == 99
     hops = spark.createDataFrame([(10, 11), (11, 12)], "alias_job_id long, target_job_id long")

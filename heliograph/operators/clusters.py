@@ -7,10 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.vectors import cosine
 from ..session import landed
 from .ordered import running
 
@@ -19,6 +21,8 @@ from .ordered import running
 BLOCK, CHUNK = 1_024, 20_000
 #: Pivots of an index and candidates that they are taken from; angles closer than the slack count as equal.
 PIVOTS, SAMPLE, SLACK = 32, 2_048, 1e-6
+#: Candidates, and queries, that meet as matrices in one task; queries multiplied at a time; products closer than TIE are decided by the exact cosine, so many numbers at a time.
+MEET, TILE, TIE, EXACT = 8_192, 64, 1e-9, 1 << 22
 
 
 def units(vectors: pd.Series | list, width: int | None = None) -> np.ndarray:
@@ -114,16 +118,81 @@ def _pivots(candidates: DataFrame, n: int, sample: int) -> np.ndarray:
     return unit[found]
 
 
-def best_matches(queries: DataFrame, candidates: DataFrame, key: str, threshold: float = 0.6, pivots: int = PIVOTS, sample: int = SAMPLE, compared: tuple[Observation, Observation] | None = None) -> DataFrame:
+def _rows(table: pa.Table, names: list[str], vector: str) -> tuple[list[np.ndarray], pa.Array, np.ndarray]:
+    """Columns as numbers (NaN for null), and the vectors with their lengths."""
+    column = table.column(vector).combine_chunks()
+    return [table.column(n).to_numpy() for n in names], column, pc.list_value_length(column).to_numpy(zero_copy_only=False)
+
+
+def _matrix(vectors: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+    return vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed left to right as `vectors.dot` does it."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _meet(asked: pa.Table, others: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(places of queries, places of candidates, similarities) of each query's best over the threshold in its part g, and the pairs compared.
+
+    A tile of queries times the candidates that their angles allow is one matrix product; only candidates that it puts within TIE of
+    the best, or can't tell (numbers too large or small), get the exact cosine, and among equal ones the first in order stays.
+    """
+    rank = pc.rank(others.column("ord").combine_chunks(), sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy()
+    (qg, own, limit), qv, qw = _rows(asked, ["g", "own", "limit"], "q")
+    (cg, angle), cv, cw = _rows(others, ["g", "angle"], "c")
+    q_order, c_order = np.lexsort((own, qw, qg)), np.lexsort((angle, cw, cg))
+    cut = lambda order, g, w: np.split(order, np.nonzero(np.diff(g[order]) | np.diff(w[order]))[0] + 1) if len(order) else []
+    there = {(cg[rows[0]], cw[rows[0]]): rows for rows in cut(c_order, cg, cw)}
+    found, pairs = [(np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))], 0
+    for mine in cut(q_order, qg, qw):
+        rows = there.get((qg[mine[0]], width := int(qw[mine[0]])))
+        if rows is None:
+            continue
+        q, c, angles = _matrix(qv, mine, width), _matrix(cv, rows, width), angle[rows]
+        with np.errstate(all="ignore"):
+            q2, c2 = _dots(q, q), _dots(c, c)
+            told = lambda n2: (n2 == 0) | (n2 > 1e-280) & (n2 < 1e280)
+            q_unit, c_unit = (np.where((told(n2) & (n2 > 0))[:, None], m / np.sqrt(n2)[:, None], 0.0) for m, n2 in ((q, q2), (c, c2)))
+            low, high = (np.where(np.isnan(own[mine]), end, own[mine] + way * limit[mine]) for end, way in ((-np.inf, -1), (np.inf, 1)))
+            for at in range(0, len(mine), TILE):
+                tile = slice(at, at + TILE)
+                span = slice(np.searchsorted(angles, low[tile].min()), np.searchsorted(angles, high[tile].max(), "right"))
+                sims = q_unit[tile] @ c_unit[span].T
+                pairs += sims.size
+                sims[~told(q2[tile])] = np.nan
+                sims[:, ~told(c2[span])] = np.nan
+                top = np.fmax.reduce(sims, axis=1, initial=threshold)
+                i, j = np.nonzero(~(sims < top[:, None] - TIE))
+                i, j = i + at, j + span.start
+                for some in range(0, len(i), step := max(1, EXACT // max(1, width))):
+                    x, y = i[some : some + step], j[some : some + step]
+                    s = np.where((q2[x] == 0) | (c2[y] == 0), 0.0, _dots(q[x], c[y]) / (np.sqrt(q2[x]) * np.sqrt(c2[y])))
+                    over = ~(s <= threshold)  # NaN counts as the highest, as in Spark
+                    x, y, s = x[over], y[over], s[over]
+                    first = np.lexsort((rank[rows[y]], -np.where(np.isnan(s), np.inf, s), x))
+                    first = first[np.nonzero(np.diff(x[first], prepend=-1))[0]]
+                    found.append((mine[x[first]], rows[y[first]], s[first]))
+    return (*(np.concatenate(parts) for parts in zip(*found, strict=True)), pairs)
+
+
+def best_matches(queries: DataFrame, candidates: DataFrame, key: str, threshold: float = 0.6, pivots: int = PIVOTS, sample: int = SAMPLE, compared: tuple[Observation, Observation] | None = None, block: int = MEET) -> DataFrame:
     """For each query (query_id, key, vector) the candidate of its key (candidate_id, ord, vector) of highest cosine, strictly over the threshold; the earliest on ties.
 
-    Exact, without comparing all: candidates belong to the part of their nearest pivot (``pivots`` of them, from a sample of ``sample`` candidates),
+    Exact, without comparing all: of equal vectors the earliest counts, candidates belong to the part of their nearest pivot (``pivots`` of them, from a sample of ``sample`` candidates),
     and a part knows its range of angles from its pivot. By the triangle inequality of angles a query knows how near a part can come. It meets
-    the part of the nearest pivot first, then those parts, and of these the candidates, that can still beat what it has. Unclustered vectors skip little.
+    the part of the nearest pivot first, then those parts, and of these the candidates, that can still beat what it has. Unclustered vectors skip little,
+    so queries and candidates meet as matrices: in blocks of about ``block`` of each, so that no task holds a key or a part.
     Null, NaN and differently long vectors match nothing; a zero vector has the similarity 0. compared: two observations that count the pairs of both rounds.
     """
     whole = lambda v: F.forall(F.col(v).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x))
-    told = candidates.where(whole("vector")).select(F.col(key).alias("key"), "candidate_id", "ord", F.col("vector").alias("c"))
+    told = candidates.where(whole("vector")).select(F.col(key).alias("key"), "candidate_id", "ord", F.col("vector").cast("array<double>").alias("c"))
+    earliest = F.max_by(F.struct("candidate_id", "ord"), F.struct(-F.col("ord"))).alias("one")  # of copies; a null order comes last
+    told = landed(told.groupBy("key", "c").agg(earliest).select("key", "one.candidate_id", "one.ord", "c"), "told")
     chosen = _pivots(told, pivots, sample)
 
     def angles(vectors: pd.Series) -> np.ndarray:
@@ -147,20 +216,39 @@ def best_matches(queries: DataFrame, candidates: DataFrame, key: str, threshold:
         return pd.DataFrame({"part": np.where(off, -1, part), "angle": a[np.arange(len(a)), part] if a.shape[1] else np.zeros(len(a))})
 
     indexed = landed(told.withColumn("p", nearest_pivot("c")).select("key", "candidate_id", "ord", "c", "p.part", "p.angle"), "index")
-    parts = indexed.groupBy("key", "part").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).groupBy("key").agg(F.collect_list(F.struct("part", "low", "high")).alias("parts"))
-    asked = queries.where(whole("vector")).select(F.col(key).alias("key"), "query_id", F.col("vector").alias("q"), to_pivots("vector").alias("to")).join(parts, "key")
+    sizes = indexed.groupBy("key", "part").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n"))
+    sizes = landed(sizes.withColumns({"blocks": F.ceil(F.col("n") / block).cast("int"), "g": F.monotonically_increasing_id()}), "parts")
+    bins = -(-(sizes.agg(F.sum("n")).head()[0] or 1) // block)  # small parts share a task
+    parts = sizes.groupBy("key").agg(F.collect_list(F.struct("part", "low", "high", "blocks", "g")).alias("parts"))
+    asked = queries.where(whole("vector")).select(F.col(key).alias("key"), "query_id", F.col("vector").cast("array<double>").alias("q"), to_pivots("vector").alias("to")).join(parts, "key")
     own = lambda p: F.when(p["part"] >= 0, F.get(F.col("to"), p["part"]))  # noqa: E731  null: no bound
     gap = lambda p: F.greatest(F.lit(0.0), own(p) - p["high"], p["low"] - own(p))
     within = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
-    near = F.filter(F.transform("parts", lambda p: F.struct(F.coalesce(own(p), F.lit(math.pi)).alias("far"), gap(p).alias("gap"), own(p).alias("own"), p["part"].alias("part"))), lambda p: p["gap"] <= within)
-    asked = asked.select("key", "query_id", "q", F.array_sort(near).alias("near")).where(F.size("near") > 0)
+    near = F.filter(F.transform("parts", lambda p: F.struct(F.coalesce(own(p), F.lit(math.pi)).alias("far"), gap(p).alias("gap"), own(p).alias("own"), p["g"].alias("g"), p["blocks"].alias("blocks"))), lambda p: p["gap"] <= within)
+    asked = landed(asked.select("key", "query_id", "q", F.array_sort(near).alias("near")).where(F.size("near") > 0), "asked")
+    rows_of = asked.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("q_blocks"))
+    grid = ["bin", "q_block", "block"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spot = lambda n, *of: F.pmod(F.xxhash64(*of), n).cast("int")
+    laid = indexed.join(sizes.select("key", "part", "g", "blocks"), ["key", "part"]).join(rows_of, "key")
+    laid = laid.select(spot(F.lit(bins), "g").alias("bin"), each("q_blocks").alias("q_block"), spot(F.col("blocks"), "candidate_id", "ord", "angle").alias("block"), "g", "candidate_id", "ord", "c", "angle")
+    ids = [asked.schema["query_id"], indexed.schema["candidate_id"], indexed.schema["ord"]]
+    schema = StructType([StructField(f.name, f.dataType) for f in ids] + [StructField("similarity", DoubleType()), StructField("pairs", LongType())])
+
+    def compare(some: pa.Table, others: pa.Table) -> pa.Table:
+        """Each query's best here, and a row without ids that counts the pairs."""
+        i, j, s, pairs = _meet(some, others, threshold) if some.num_rows and others.num_rows else ([], [], [], 0)
+        i, j = (pa.array([*x, None], pa.int64()) for x in (i, j))
+        columns = [some.column("query_id").take(i), others.column("candidate_id").take(j), others.column("ord").take(j)]
+        return pa.table([*columns, pa.array([*s, None], pa.float64(), from_pandas=False), pa.array([None] * (len(i) - 1) + [pairs], pa.int64())], names=schema.names)
 
     def meet(some: DataFrame, limit: Column, seen: Observation | None) -> DataFrame:
         """The best over the threshold of the candidates in the parts p, as far as their own angles allow it."""
-        both = some.select("key", "query_id", "q", "p.own", "p.part", limit.alias("limit")).join(indexed, ["key", "part"]).where((F.size("q") == F.size("c")) & F.coalesce(F.abs(F.col("own") - F.col("angle")) <= F.col("limit"), F.lit(True)))
-        scored = both.select("query_id", "candidate_id", "ord", cosine(F.col("q"), F.col("c")).alias("similarity"))
-        scored = scored.observe(seen, F.count(F.lit(1)).alias("n")) if seen else scored
-        return _best(scored.where(F.col("similarity") > threshold))
+        some = some.join(rows_of, "key").select("query_id", "q", "p.own", "p.g", "p.blocks", limit.alias("limit"), spot(F.col("q_blocks"), "query_id").alias("q_block"))
+        some = some.select(spot(F.lit(bins), "g").alias("bin"), "q_block", each("blocks").alias("block"), "g", "query_id", "q", "own", "limit")
+        scored = some.groupBy(*grid).cogroup(laid.groupBy(*grid)).applyInArrow(compare, schema)
+        scored = scored.observe(seen, F.coalesce(F.sum("pairs"), F.lit(0)).alias("n")) if seen else scored
+        return _best(scored.where("pairs is null").drop("pairs"))
 
     first = landed(meet(asked.withColumn("p", F.get("near", F.lit(0))), F.lit(within), compared and compared[0]), "first")
     left = asked.join(first.select(F.col("query_id").alias("id"), F.col("similarity").alias("have")), F.col("query_id").eqNullSafe(F.col("id")), "left").drop("id")

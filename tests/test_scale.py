@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
+from heliograph.functions.vectors import cosine
 from heliograph.operators import clusters, resources, scores, spans
 from heliograph.operators.ordered import trailing
 from heliograph.sources import media
@@ -130,6 +131,29 @@ def test_pivot_index_of_nothing(spark):
     assert clusters.best_matches(asked, zero, "job", -0.1).head().similarity == 0.0
 
 
+def test_copies_meet_a_query_once(spark):
+    vector = lambda i: F.array(*(F.sin(i * k + 1) for k in range(1, 7)))
+    queries = spark.range(300).select(F.lit("j").alias("job"), F.col("id").alias("query_id"), vector(F.col("id")).alias("vector"))
+    copies = spark.range(3000).select(F.lit("j").alias("job"), F.col("id").alias("candidate_id"), (-F.col("id")).alias("ord"), vector(F.col("id") % 5).alias("vector"))
+    seen = (Observation("first"), Observation("rest"))
+    got = {r.query_id: (r.candidate_id, r.similarity) for r in clusters.best_matches(queries, copies, "job", -1.0, compared=seen).collect()}
+    assert len(got) == 300 and {c for c, _ in got.values()} <= set(range(2995, 3000)) and all(got[i][0] == 2995 + i for i in range(5))
+    assert sum(o.get["n"] for o in seen) <= 300 * 5, "copies aren't compared one by one"
+
+
+def test_matches_in_small_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [("j" if i % 5 else "k", i, (rng.normal(size=3) * 10.0 ** rng.choice([-170, -3, 0, 3, 160])).tolist()) for i in range(300)]
+    asked, others = rows[::10], [(k, i, i, v) for k, i, v in rows if i % 10]
+    queries, candidates = spark.createDataFrame(asked, "job string, query_id long, vector array<double>"), spark.createDataFrame(others, "job string, candidate_id long, ord long, vector array<double>")
+    # the exact cosine of each pair as a column, and the best by it
+    pairs = queries.join(candidates.withColumnRenamed("vector", "c"), "job").withColumn("s", cosine(F.col("vector"), F.col("c"))).where("s > 0.2")
+    want = pairs.groupBy("query_id").agg(F.max_by(F.struct("candidate_id", "s"), F.struct("s", -F.col("ord"))).alias("m")).select("query_id", "m.candidate_id", "m.s")
+    told = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    for block in (7, 8_192):
+        assert told(clusters.best_matches(queries, candidates, "job", 0.2, block=block)) == told(want)
+
+
 def arrivals(rows, n):
     """Uses in n files that a stream takes one after the other."""
     folder = tempfile.mkdtemp(prefix="spark-uses-")

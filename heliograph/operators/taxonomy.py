@@ -129,10 +129,26 @@ def summary(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:
     """
     best, counted = shortest(nodes, edges, root_id), path_counts(nodes, edges, root_id).select("id", "n_paths")
     rows = nodes.join(best, "id", "left").join(counted, "id", "left").join(_parents(edges), "id", "left").join(_inner(edges), "id", "left")
-    empty = F.array().cast("array<string>")
-    path = F.coalesce("path", empty)
     count = F.when(F.col("path").isNull(), F.lit(1)).otherwise(F.col("n_paths")).cast("decimal(38,0)")
-    return rows.select("id", "name", path.alias("path"), F.array_join(path, " > ").alias("path_string"), F.size(path).alias("depth"), count.alias("path_count"), *_told())
+    return rows.select("id", "name", *_way(), count.alias("path_count"), *_told())
+
+
+def located(nodes: DataFrame, edges: DataFrame, root_id: str) -> DataFrame:
+    """``summary`` without path_count: paths aren't counted."""
+    rows = nodes.join(shortest(nodes, edges, root_id), "id", "left").join(_parents(edges), "id", "left").join(_inner(edges), "id", "left")
+    return rows.select("id", "name", *_way(), *_told())
+
+
+def first_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, name, parent_id (first listed), is_leaf: what a decoder needs, without a walk from the root."""
+    first = edges.groupBy(F.col("child_id").alias("id")).agg(F.min(F.struct("ord", "parent_id"))["parent_id"].alias("parent_id"))
+    rows = nodes.join(first, "id", "left").join(_inner(edges), "id", "left")
+    return rows.select("id", "name", F.coalesce("parent_id", F.lit("")).alias("parent_id"), F.col("has_children").isNull().alias("is_leaf"))
+
+
+def _way() -> list[Column]:
+    path = F.coalesce("path", F.array().cast("array<string>"))
+    return [path.alias("path"), F.array_join(path, " > ").alias("path_string"), F.size(path).alias("depth")]
 
 
 def _parents(edges: DataFrame) -> DataFrame:

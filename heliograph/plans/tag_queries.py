@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decode, taxonomy
+from ..session import landed
 from ..sources.taxonomy import nodes_and_edges
 from .base import query, table
 
@@ -51,7 +52,15 @@ tags as (select n.id, n.name, array_to_string(b.path, ' > ') as path_string, coa
 
 def tags(spark, sf_dir):
     nodes, edges = tree(spark, sf_dir)
-    return taxonomy.summary(nodes, edges, "root").where("id <> 'root'").withColumn("path_count", F.col("path_count").cast("int")).checkpoint()  # read by several steps of a query
+    return taxonomy.summary(nodes, edges, "root").where("id <> 'root'").withColumn("path_count", F.col("path_count").cast("int"))
+
+
+def located(spark, sf_dir):
+    return taxonomy.located(*tree(spark, sf_dir), "root").where("id <> 'root'")
+
+
+def first_parents(spark, sf_dir):
+    return landed(taxonomy.first_parents(*tree(spark, sf_dir)).where("id <> 'root'"), "tags")  # read by several steps of a query
 
 
 @query("tag_enrich", f"""{TAGS_SQL} select id, name, path_string, cast(depth as integer) as depth, cast(path_count as integer) as path_count, parent_id, is_leaf from tags""")
@@ -66,14 +75,14 @@ def taxonomy_path_counts(spark, sf_dir):
 
 @query("taxonomy_stats", f"""{TAGS_SQL} select count(*) as n_tags, count(*) filter (where is_leaf) as n_leaves, count(*) filter (where not is_leaf) as n_branches, cast(coalesce(max(depth), 0) as integer) as max_depth from tags""")
 def taxonomy_stats(spark, sf_dir):
-    return taxonomy.stats(tags(spark, sf_dir))
+    return taxonomy.stats(located(spark, sf_dir))
 
 
 @query("taxonomy_order", f"""{TAGS_SQL} select id, row_number() over (order by depth, name, id) as place from tags""")
 def taxonomy_order(spark, sf_dir):
     from pyspark.sql import Window
 
-    t = tags(spark, sf_dir)
+    t = landed(located(spark, sf_dir).select("id", "depth", "name"), "tags")  # read twice
     own = Window.partitionBy("depth").orderBy("name", "id")
     sizes = t.groupBy("depth").agg(F.count("*").alias("n"))  # a row for each depth
     before = sizes.select("depth", (F.sum("n").over(Window.orderBy("depth")) - F.col("n")).alias("before"))
@@ -130,9 +139,9 @@ SCORE_SQL = """scores as (
 def scores(spark, sf_dir):
     e, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer").count()
     i, scene = F.col("event_id"), F.concat("event_type", (F.col("user_id") % 20).cast("string"))
-    one = lambda tag, score: e.select(scene.alias("scene"), tag.alias("tag_id"), score.alias("score"))
+    one = lambda tag, score: F.struct(tag.alias("tag_id"), score.alias("score"))
     named = lambda p, k: F.concat(F.lit(p), k.cast("string"))
-    every = one(named("c", i % n + 1), i * 7919 % 1000 / 1000).unionByName(one(named("n", i % 25), i * 31 % 900 / 1000)).unionByName(one(named("r", i % 5), F.lit(0.5) + i % 5 * 0.05))
+    every = e.select(scene.alias("scene"), F.inline(F.array(one(named("c", i % n + 1), i * 7919 % 1000 / 1000), one(named("n", i % 25), i * 31 % 900 / 1000), one(named("r", i % 5), F.lit(0.5) + i % 5 * 0.05))))
     return every.groupBy("scene", "tag_id").agg(F.max("score").alias("score"))
 
 
@@ -150,13 +159,13 @@ decoded as (select scene, tag_id, score, case when direct then 'direct' else 'co
 
 
 def decoded(spark, sf_dir):
-    t = tags(spark, sf_dir)
+    t = first_parents(spark, sf_dir)
     return decode.hierarchical(scores(spark, sf_dir), t, "scene", least=0.3), t
 
 
 @query("hier_decode", f"""{DECODED_SQL} select d.scene, d.tag_id, t.name as tag_name, t.path_string as path, round(d.score, 4) as score, d.decode_type, row_number() over (partition by d.scene order by d.score desc, d.tag_id) as rank from decoded d join tags t on t.id = d.tag_id""")
 def hier_decode(spark, sf_dir):
-    return decode.predictions(*decoded(spark, sf_dir)).select("scene", "tag_id", "tag_name", "path", "score", "decode_type", F.col("rank").cast("long").alias("rank"))
+    return decode.predictions(decoded(spark, sf_dir)[0], located(spark, sf_dir)).select("scene", "tag_id", "tag_name", "path", "score", "decode_type", F.col("rank").cast("long").alias("rank"))
 
 
 @query("decode_support", f"""{DECODED_SQL}, up(node, ancestor) as (select distinct tag_id, tag_id from decoded union select u.node, t.parent_id from up u join tags t on t.id = u.ancestor where t.parent_id <> '')
@@ -174,5 +183,5 @@ def decode_by_type(spark, sf_dir):
 @query("group_by_ancestor", f"""{TAGS_SQL}, long as (select id, path_string || ' > ' || name || ' > x' as path from tags)
 select case when len(string_split(path, ' > ')) > 3 then string_split(path, ' > ')[3] else 'shallow' end as group_name, count(*) as n_tags from long group by 1""")
 def group_by_ancestor(spark, sf_dir):
-    t = tags(spark, sf_dir).select(F.col("id").alias("tag_id"), F.concat_ws(" > ", "path_string", "name", F.lit("x")).alias("path"))
+    t = located(spark, sf_dir).select(F.col("id").alias("tag_id"), F.concat_ws(" > ", "path_string", "name", F.lit("x")).alias("path"))
     return decode.by_ancestor(t, []).select("group_name", "n_tags")

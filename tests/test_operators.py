@@ -191,6 +191,44 @@ def test_hierarchical_decode(spark):
     assert {r.tag_id for r in decode.supporting(got, tags, "scene").collect()} == {"A", "A1b", "R"}
 
 
+@pytest.mark.parametrize("name", ["decode_by_type"])
+def test_decoders_do_not_walk_the_taxonomy(spark, data, name, monkeypatch):
+    from heliograph.plans.registry import QUERIES
+
+    def refuse(*_):
+        raise AssertionError("no path is needed")
+
+    monkeypatch.setattr(taxonomy, "shortest", refuse)
+    monkeypatch.setattr(taxonomy, "path_counts", refuse)
+    assert QUERIES[name](spark, data).count() > 0
+
+
+def test_decode_equals_joins(spark):
+    rng = random.Random(4)
+    parents = {f"t{i}": "" if i < 3 else f"t{rng.randrange(i)}" if i % 9 else "out" for i in range(60)} | {"x": "y", "y": "x"}
+    tags = spark.createDataFrame([(k, p, k not in parents.values()) for k, p in parents.items()], "id string, parent_id string, is_leaf boolean")
+    given = [(s, t, round(rng.uniform(0.4, 1.0), 2)) for s in ("a", "b", None) for t in [*parents, "out", "none"] if rng.random() < 0.8]
+    scores = spark.createDataFrame(given, "scene string, tag_id string, score double")
+    tags.createOrReplaceTempView("some_tags"), scores.createOrReplaceTempView("some_scores")
+    want = spark.sql("""select scene, tag_id, if(direct, 'direct', 'competition') as kind from (
+      select s.scene, s.tag_id, (t.parent_id = '' or coalesce(p.score, 0) >= 0.60) and s.score >= if(t.is_leaf, 0.78, 0.60) as direct,
+        max(s.score) over (partition by s.scene, t.parent_id) as top, s.score, row_number() over (partition by s.scene, t.parent_id order by s.score desc, s.tag_id) as place
+      from some_scores s join some_tags t on t.id = s.tag_id left join some_scores p on p.scene = s.scene and p.tag_id = t.parent_id)
+      where direct or (top >= 0.78 and top - score <= 0.08 and place <= 2)""")
+    found = decode.hierarchical(scores, tags, "scene")
+    kept = {(r.scene, r.tag_id, r.kind) for r in want.collect()}
+    assert {(r.scene, r.tag_id, r.decode_type) for r in found.collect()} == kept and len(kept) == found.count()
+    up = set()
+    for scene, tag, _ in kept:
+        at, seen = parents[tag], set()
+        while at and at not in seen:
+            seen.add(at)
+            at = parents.get(at)
+        up |= {(scene, a) for a in seen if a != tag and (scene is None or not any(k[:2] == (scene, a) for k in kept))}
+    got = decode.supporting(found, tags, "scene")
+    assert {(r.scene, r.tag_id) for r in got.collect()} == up and len(up) == got.count()
+
+
 def test_grants_stop_at_the_first_that_does_not_fit(spark):
     rows = spark.createDataFrame([("g", 1, 10.0), ("g", 2, 50.0), ("g", 3, 5.0)], "d string, i int, vram_mb double")
     assert [r.granted for r in resources.grants(rows, "d", ["i"], F.lit(20.0)).orderBy("i").collect()] == [True, False, False]

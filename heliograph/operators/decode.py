@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import landed
 from .taxonomy import ancestors
 
 # Thresholds of the decoder.
@@ -50,11 +51,19 @@ def hierarchical(scores: DataFrame, tags: DataFrame, scene: str, least: float =
 
 
 def supporting(decoded: DataFrame, tags: DataFrame, scene: str) -> DataFrame:
-    """(scene, tag_id) of the suppressed ancestors of decoded tags, by first listed parents."""
-    primary = tags.where("parent_id <> ''").select(F.col("id").alias("child_id"), "parent_id")
-    up = ancestors(primary, decoded.select(F.col("tag_id").alias("id")).distinct())
-    own = decoded.select(scene, "tag_id")
-    return own.join(up, own["tag_id"] == up["node"]).select(scene, F.col("ancestor").alias("tag_id")).distinct().join(own, [scene, "tag_id"], "left_anti")
+    """(scene, tag_id) of the suppressed ancestors of decoded tags, by first listed parents.
+
+    The closure starts from the parents of tags, not from the tags: leaves share few parents, and a scene names each once.
+    """
+    primary = landed(tags.where("parent_id <> ''").select(F.col("id").alias("child_id"), "parent_id"), "primary")
+    inner = primary.select(F.col("parent_id").alias("id")).distinct()
+    over = ancestors(primary, inner).unionByName(inner.select(F.col("id").alias("node"), F.col("id").alias("ancestor")))
+    own = landed(decoded.select(scene, "tag_id"), "decoded")
+    # only a tag with children can be its own ancestor
+    mine = primary.join(inner.select(F.col("id").alias("child_id"), F.col("id").alias("self")), "child_id", "left")
+    parents = own.join(mine, own["tag_id"] == mine["child_id"]).select(scene, "parent_id", "self").distinct()
+    up = parents.join(over, parents["parent_id"] == over["node"]).where("self is null or self <> ancestor")
+    return up.select(scene, F.col("ancestor").alias("tag_id")).distinct().join(own, [scene, "tag_id"], "left_anti")
 
 
 def predictions(decoded: DataFrame, tags: DataFrame) -> DataFrame:

@@ -191,16 +191,19 @@ def test_hierarchical_decode(spark):
     assert {r.tag_id for r in decode.supporting(got, tags, "scene").collect()} == {"A", "A1b", "R"}
 
 
-@pytest.mark.parametrize("name", ["decode_by_type"])
+@pytest.mark.parametrize("name", ["decode_by_type", "decode_support"])
 def test_decoders_do_not_walk_the_taxonomy(spark, data, name, monkeypatch):
     from heliograph.plans.registry import QUERIES
 
     def refuse(*_):
         raise AssertionError("no path is needed")
 
+    starts, closure = [], decode.ancestors
     monkeypatch.setattr(taxonomy, "shortest", refuse)
     monkeypatch.setattr(taxonomy, "path_counts", refuse)
+    monkeypatch.setattr(decode, "ancestors", lambda edges, nodes: starts.append(nodes.count()) or closure(edges, nodes))
     assert QUERIES[name](spark, data).count() > 0
+    assert all(n <= 31 for n in starts), "the closure starts from the inner tags: root, regions, nations"
 
 
 def test_decode_equals_joins(spark):
